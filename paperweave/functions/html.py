@@ -9,6 +9,7 @@ nested elements of the same name are read whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -23,6 +24,15 @@ _TAG = r"(?s)</?[a-zA-Z!?][^>]*>"
 _REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used.
+
+    Rules that mention their input several times would otherwise multiply the
+    expression each time they are nested.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def visible(c: Column | str) -> Column:
     """The page without comments, scripts and style sheets."""
     return F.regexp_replace(F.col(c) if isinstance(c, str) else c, _HIDDEN, "")
@@ -58,15 +68,15 @@ def _character(reference: Column) -> Column:
     ).otherwise("�")
 
 
-def decode_references(c: Column) -> Column:
-    """Resolve character references once, from left to right."""
-    names = F.create_map(*[
-        F.lit(item) for name, code in name2codepoint.items() for item in (name, chr(code))
-    ])
+_NAMES = {item: chr(code) for item, code in name2codepoint.items()}
+
+
+def _resolved(c: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
     characters = F.transform(
         F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(1)),
         lambda r: F.when(r.startswith("#"), _character(r)).otherwise(
-            F.coalesce(F.get(F.array(names[r]), F.lit(0)), F.concat(F.lit("&"), r, F.lit(";")))),
+            F.coalesce(F.try_element_at(names, r), F.concat(F.lit("&"), r, F.lit(";")))),
     )
     pieces = F.zip_with(
         F.split(c, _REFERENCE, -1), characters,
@@ -75,6 +85,11 @@ def decode_references(c: Column) -> Column:
     return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
 
 
+def decode_references(c: Column) -> Column:
+    """Resolve character references once, from left to right."""
+    return bound(c, _resolved)
+
+
 def text_of(c: Column) -> Column:
     """Text of a fragment: tags dropped, character references resolved."""
     return decode_references(F.regexp_replace(c, _TAG, ""))
@@ -131,12 +146,19 @@ def _element_body(rest: Column, tag: str) -> Column:
     Tags of the same name are dropped from the result, other tags stay.
     """
     any_tag = rf"(?i)</?{tag}\b[^>]*>"
-    head = F.get(F.split(rest, rf"(?i)</{tag}\s*>", 2), F.lit(0))
-    tags = F.concat(
-        F.array(F.lit(f"<{tag}>")), F.regexp_extract_all(rest, F.lit(any_tag), F.lit(0)))
-    gaps = F.concat(F.array(F.lit("")), F.split(rest, any_tag, -1))
-    nested = _between_tags(gaps, F.lit(1), _closing_index(tags, F.lit(1)))
-    return F.when(head.rlike(rf"(?i)<{tag}\b"), nested).otherwise(head)
+
+    def body(page: Column) -> Column:
+        head = F.get(F.split(page, rf"(?i)</{tag}\s*>", 2), F.lit(0))
+        return bound(head, lambda h: F.when(h.rlike(rf"(?i)<{tag}\b"), nested(page)).otherwise(h))
+
+    def nested(page: Column) -> Column:
+        tags = F.concat(
+            F.array(F.lit(f"<{tag}>")), F.regexp_extract_all(page, F.lit(any_tag), F.lit(0)))
+        gaps = F.concat(F.array(F.lit("")), F.split(page, any_tag, -1))
+        return bound(tags, lambda found: _between_tags(
+            gaps, F.lit(1), _closing_index(found, F.lit(1))))
+
+    return bound(rest, body)
 
 
 def first_element(page: Column | str, tag: str, opening: str) -> Column:
@@ -178,19 +200,27 @@ def labelled_values(page: Column | str, opening: str) -> Column:
     """
     page = F.col(page) if isinstance(page, str) else page
     any_div = r"(?i)</?div\b[^>]*>"
-    tags = F.regexp_extract_all(page, F.lit(any_div), F.lit(0))
-    gaps = F.split(page, any_div, -1)
-    positions = F.filter(
-        F.transform(tags, lambda t, i: F.when(t.rlike(opening), i + 1)),
-        lambda i: i.isNotNull(),
-    )
 
-    def pair(at: Column) -> Column:
-        outer = _enclosing_index(tags, at)
-        end = F.when(outer == 0, F.size(tags) + 1).otherwise(_closing_index(tags, outer))
-        return F.struct(
-            text_of(_between_tags(gaps, outer, end)).alias("label"),
-            text_of(_between_tags(gaps, at, _closing_index(tags, at))).alias("value"),
+    def pairs(div: Column) -> Column:
+        tags, gaps = div["tags"], div["gaps"]
+        positions = F.filter(
+            F.transform(tags, lambda t, i: F.when(t.rlike(opening), i + 1)),
+            lambda i: i.isNotNull(),
         )
-
-    return F.transform(positions, pair)
+        spans = F.transform(positions, lambda at: F.struct(
+            at.alias("at"), _enclosing_index(tags, at).alias("outer")))
+
+        def pair(span: Column) -> Column:
+            at, outer = span["at"], span["outer"]
+            end = F.when(outer == 0, F.size(tags) + 1).otherwise(_closing_index(tags, outer))
+            return F.struct(
+                text_of(_between_tags(gaps, outer, end)).alias("label"),
+                text_of(_between_tags(gaps, at, _closing_index(tags, at))).alias("value"),
+            )
+
+        return F.transform(spans, pair)
+
+    return bound(F.struct(
+        F.regexp_extract_all(page, F.lit(any_div), F.lit(0)).alias("tags"),
+        F.split(page, any_div, -1).alias("gaps"),
+    ), pairs)

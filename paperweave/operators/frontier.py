@@ -80,16 +80,20 @@ def lease(frontier: DataFrame, n: int = 20, next_seq: Column | None = None) -> D
     return transitions(pending(frontier, n), IN_PROGRESS, next_seq)
 
 
+def mark(frontier: DataFrame, urls: DataFrame, state: int, next_seq: Column | None = None) -> DataFrame:
+    """Transitions to ``state`` for the links of the frontier among ``urls``."""
+    named = urls.select("url").distinct()
+    return transitions(frontier.join(named, "url", "left_semi"), state, next_seq)
+
+
 def complete(frontier: DataFrame, merged: DataFrame, next_seq: Column | None = None) -> DataFrame:
-    """Transitions to finished for links whose record was inserted or merged."""
-    done = merged.select(F.col("raw_url").alias("url")).distinct()
-    return transitions(frontier.join(done, "url", "left_semi"), FINISHED, next_seq)
+    """Links whose record was inserted or merged are finished."""
+    return mark(frontier, merged.select(F.col("raw_url").alias("url")), FINISHED, next_seq)
 
 
 def invalidate(frontier: DataFrame, failed: DataFrame, next_seq: Column | None = None) -> DataFrame:
-    """Transitions to invalid for links whose page could not be used."""
-    bad = failed.select("url").distinct()
-    return transitions(frontier.join(bad, "url", "left_semi"), INVALID, next_seq)
+    """Links whose page could not be fetched or parsed are invalid."""
+    return mark(frontier, failed, INVALID, next_seq)
 
 
 def recover(frontier: DataFrame, next_seq: Column | None = None) -> DataFrame:

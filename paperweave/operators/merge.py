@@ -381,6 +381,16 @@ def inserted(records: DataFrame, plan: MergePlan) -> DataFrame:
     return records.join(created, "seq", "left_semi")
 
 
+def membership_ids(members: DataFrame, plan: MergePlan) -> DataFrame:
+    """Memberships with the ``id`` of their row; the lists in unjoined form."""
+    rows = plan.groups.table.join(plan.absorbed.select("gid"), "gid", "left_anti").select(
+        "_title", F.col("_pub").alias("_row_pub"), F.col("gid").alias("id"),
+        (F.col("n") + F.col("n_links")).alias("n"))
+    return salted_join(
+        members.where(~F.col("absorbed")), rows.drop("n"), _ROW,
+        _hot_keys(rows, _ROW, "n", plan.groups.hot), F.col("seq")).drop(*_ROW, "absorbed")
+
+
 def contributions(members: DataFrame) -> DataFrame:
     """How many rows were made from each combination of sources.
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.operators.frontier import transitions
+from paperweave.operators.frontier import mark
 from paperweave.schema import WRONG_DATE
 
 # The default year range.
@@ -38,13 +38,11 @@ def search(records: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR, *
     return records.where(matches(**criteria) & year_in_range(first, last))
 
 
-def wrong_dates(records: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR,
-                next_seq: Column | None = None) -> DataFrame:
+def wrong_dates(frontier: DataFrame, records: DataFrame, first: int = FIRST_YEAR,
+                last: int = LAST_YEAR, next_seq: Column | None = None) -> DataFrame:
     """Transitions for links whose record has a year outside the range.
 
     Records without a readable year are left alone.
     """
-    url = "raw_url" if "raw_url" in records.columns else "url"
     outside = records.where(~year_in_range(first, last))
-    return transitions(
-        outside.select(F.col(url).alias("url"), "source", "seq"), WRONG_DATE, next_seq)
+    return mark(frontier, outside.select(F.col("raw_url").alias("url")), WRONG_DATE, next_seq)

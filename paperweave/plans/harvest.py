@@ -73,9 +73,7 @@ def harvest(list_pages: DataFrame, detail_pages: DataFrame, mode: str = "123",
         log,
         frontier.complete(log, records, F.lit(_LATER)),
         frontier.invalidate(log, unusable, F.lit(_LATER + 1)),
-        search.wrong_dates(
-            records.withColumn("source", F.lit(None).cast("string")),
-            first_year, last_year, F.lit(_LATER + 2)),
+        search.wrong_dates(log, records, first_year, last_year, F.lit(_LATER + 2)),
     ]
     states = frontier.current_state(reduce(DataFrame.unionByName, events))
     return Harvest(states, records, result)
