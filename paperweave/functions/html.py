@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _HIDDEN = (
@@ -33,6 +33,16 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows with all columns computed at this point.
+
+    A filter on a derived column is normally moved below the projection, which
+    repeats the whole derivation inside the filter. It is not moved below a
+    generator, so one generated row per input row keeps heavy columns single.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def visible(c: Column | str) -> Column:
     """The page without comments, scripts and style sheets."""
     return F.regexp_replace(F.col(c) if isinstance(c, str) else c, _HIDDEN, "")
@@ -68,11 +78,12 @@ def _character(reference: Column) -> Column:
     ).otherwise("�")
 
 
-_NAMES = {item: chr(code) for item, code in name2codepoint.items()}
+# name, equals sign, character; one entry per line
+_NAMES = "\n".join(f"{name}={chr(code)}" for name, code in name2codepoint.items())
 
 
 def _resolved(c: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
+    names = F.str_to_map(F.lit(_NAMES), F.lit("\n"), F.lit("="))
     characters = F.transform(
         F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(1)),
         lambda r: F.when(r.startswith("#"), _character(r)).otherwise(
@@ -109,12 +120,19 @@ def _closing_index(tags: Column, opened: Column) -> Column:
             .otherwise(s["found"]).alias("found"),
         )
 
-    return F.aggregate(
+    closes = lambda i: F.coalesce(F.get(tags, i - 1).startswith("</"), F.lit(False))
+    counted = F.aggregate(
         F.slice(tags, opened + 1, F.size(tags)),
         F.struct(F.lit(1).alias("depth"), opened.alias("at"), F.lit(0).alias("found")),
         step,
         lambda s: F.when(s["found"] > 0, s["found"]).otherwise(F.size(tags) + 1),
     )
+    # most elements hold no other, or just one
+    return (
+        F.when(closes(opened + 1), opened + 1)
+        .when(closes(opened + 2) & closes(opened + 3), opened + 3)
+        .otherwise(counted)
+    )
 
 
 def _enclosing_index(tags: Column, opened: Column) -> Column:
@@ -128,12 +146,18 @@ def _enclosing_index(tags: Column, opened: Column) -> Column:
             .otherwise(s["found"]).alias("found"),
         )
 
-    return F.aggregate(
+    previous = F.get(tags, opened - 2)
+    counted = F.aggregate(
         F.reverse(F.slice(tags, F.lit(1), opened - 1)),
         F.struct(F.lit(0).alias("depth"), opened.alias("at"), F.lit(0).alias("found")),
         step,
         lambda s: s["found"],
     )
+    return (
+        F.when(opened == 1, F.lit(0))
+        .when(previous.startswith("</"), counted)
+        .otherwise(opened - 1)
+    )
 
 
 def _between_tags(gaps: Column, opened: Column, closed: Column) -> Column:
@@ -141,20 +165,20 @@ def _between_tags(gaps: Column, opened: Column, closed: Column) -> Column:
 
 
 def _element_body(rest: Column, tag: str) -> Column:
-    """What belongs to an element, given the page after its opening tag.
+    """What belongs to an element, given the page from its opening tag on.
 
     Tags of the same name are dropped from the result, other tags stay.
     """
     any_tag = rf"(?i)</?{tag}\b[^>]*>"
+    up_to_close = rf"(?is)^<[^>]*>(.*?)(?:</{tag}\s*>|\z)"
 
     def body(page: Column) -> Column:
-        head = F.get(F.split(page, rf"(?i)</{tag}\s*>", 2), F.lit(0))
+        head = F.regexp_extract(page, up_to_close, 1)
         return bound(head, lambda h: F.when(h.rlike(rf"(?i)<{tag}\b"), nested(page)).otherwise(h))
 
     def nested(page: Column) -> Column:
-        tags = F.concat(
-            F.array(F.lit(f"<{tag}>")), F.regexp_extract_all(page, F.lit(any_tag), F.lit(0)))
-        gaps = F.concat(F.array(F.lit("")), F.split(page, any_tag, -1))
+        tags = F.regexp_extract_all(page, F.lit(any_tag), F.lit(0))
+        gaps = F.split(page, any_tag, -1)
         return bound(tags, lambda found: _between_tags(
             gaps, F.lit(1), _closing_index(found, F.lit(1))))
 
@@ -164,7 +188,8 @@ def _element_body(rest: Column, tag: str) -> Column:
 def first_element(page: Column | str, tag: str, opening: str) -> Column:
     """Body of the first element whose opening tag matches; NULL when none."""
     page = F.col(page) if isinstance(page, str) else page
-    return _element_body(F.get(F.split(page, opening, 2), F.lit(1)), tag)
+    return _element_body(F.nullif(
+        F.regexp_extract(page, f"{opening}(?s).*", 0), F.lit("")), tag)
 
 
 def all_elements(page: Column | str, tag: str, opening: str) -> Column:
@@ -172,7 +197,8 @@ def all_elements(page: Column | str, tag: str, opening: str) -> Column:
     page = F.col(page) if isinstance(page, str) else page
     rests = F.split(page, opening, -1)
     return F.transform(
-        F.slice(rests, F.lit(2), F.size(rests)), lambda rest: _element_body(rest, tag))
+        F.slice(rests, F.lit(2), F.size(rests)),
+        lambda rest: _element_body(F.concat(F.lit(f"<{tag}>"), rest), tag))
 
 
 def attributes(page: Column | str, opening: str, name: str) -> Column:

@@ -16,7 +16,7 @@ from paperweave.functions.clean import (
     section, squeeze, trim_lines,
 )
 from paperweave.functions.html import (
-    all_elements, attributes, first_element, labelled_values, open_tag, text_of, visible,
+    all_elements, attributes, first_element, labelled_values, open_tag, settled, text_of, visible,
 )
 from paperweave.functions.numerals import replace_numbers
 from paperweave.schema import INVALID, RECORD_FIELDS, SITES, with_record_defaults
@@ -45,12 +45,12 @@ def _finish(df: DataFrame, keep: list[str]) -> DataFrame:
     """Page identity, all record fields in order, ``ok``."""
     fields = [name for name in RECORD_FIELDS if name != "url"]
     have = set(df.columns)
-    return df.select(
+    return settled(df.select(
         *keep,
         *[F.coalesce(F.col(n), F.lit("")).alias(n) if n in have else F.lit("").alias(n)
           for n in fields],
         "ok",
-    )
+    ))
 
 
 def _identity(pages: DataFrame) -> list[str]:

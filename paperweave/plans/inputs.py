@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.functions.clean import normalise_records
+from paperweave.functions.html import settled
 from paperweave.operators.detail import (
     STYLE_ABSTRACT, STYLE_AUTHORS, STYLE_INFO, STYLE_SOURCE, STYLE_TITLE,
 )
@@ -218,9 +219,9 @@ def _maybe_lost(html: Column) -> Column:
 def detail_pages(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     """Every article as a page of one layout."""
     site = next(s for s, letter in _LETTERS.items() if letter == layout)
-    return articles(spark, sf_dir).select(
+    return settled(articles(spark, sf_dir).select(
         F.col("k").alias("page_id"), F.col(f"url_{layout.lower()}").alias("url"),
-        _maybe_lost(_HTML[layout]()).alias("html"), F.lit(site).alias("source"))
+        _maybe_lost(_HTML[layout]()).alias("html"), F.lit(site).alias("source")))
 
 
 def _by_site(**values: Column) -> Column:
@@ -230,11 +231,11 @@ def _by_site(**values: Column) -> Column:
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article as a page of one of the three sites."""
-    return articles(spark, sf_dir).select(
+    return settled(articles(spark, sf_dir).select(
         F.col("k").alias("page_id"),
         _by_site(a=F.col("url_a"), b=F.col("url_b"), c=F.col("url_c")).alias("url"),
         _maybe_lost(_by_site(a=_html_a(), b=_html_b(), c=_html_c())).alias("html"),
-        pick(list(SITES.values()), F.col("k") % 3).alias("source"))
+        pick(list(SITES.values()), F.col("k") % 3).alias("source")))
 
 
 def _link(layout: str) -> Column:
