@@ -209,11 +209,10 @@ def plan_merge(groups: Groups) -> MergePlan:
             F.count_if(around).alias("n_around"),
         ).where("gid is not null and n_around > 0"), "contained")
     late = asked.where("first_around < gid and not is_row").select("gid")
-    absorbed = materialise(
-        groups.table.join(late, "gid", "left_semi").select(*_KEYS, "gid"), "absorbed")
+    absorbed = groups.table.join(late, "gid", "left_semi").select(*_KEYS, "gid")
     # rows that can take in records of another group
     rows = substrings(
-        keyed.join(absorbed.select("gid"), "gid", "left_anti"), shorter_only=True,
+        keyed.join(late, "gid", "left_anti"), shorter_only=True,
     ).select("tid", "part", F.col("gid").alias("row_id")).distinct()
     met = salted_join(
         rows, asked.select("tid", "part", "last", "n"), ["tid", "part"],

@@ -19,6 +19,7 @@ from paperweave.operators.detail import (
     STYLE_ABSTRACT, STYLE_AUTHORS, STYLE_INFO, STYLE_SOURCE, STYLE_TITLE,
 )
 from paperweave.schema import SITES, with_record_defaults
+from paperweave.session import spread
 
 NUMBERS = ["一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二"]
 _DECOY = ("<!-- <div style=\"float:left;\">《no》1年</div> <th><a href='no'></a></th> -->"
@@ -113,7 +114,8 @@ def result_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers all article pages are made of."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate")).select(
         k.alias("k"), c.alias("c"), F.year("o_orderdate").alias("y"),
         (k % 12 + 1).alias("m"), pick(NUMBERS, k % 12).alias("cn"),
         fill("Study {c}", c=c).alias("title"),
@@ -284,7 +286,7 @@ def link_pages(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
 
     entries = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(
         F.array().cast("array<string>"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(
         F.col("o_orderkey").alias("page_id"),
         F.concat(F.lit(f"<html>{_DECOY}"), F.array_join(entries, "\n"), F.lit("</html>")).alias("html"))
 
@@ -320,7 +322,8 @@ def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (q >= 10) & (q < 20), F.concat(F.lit("一"), small)).otherwise(small))
     large = F.concat(digit(line), F.lit("千"), after_thousand)
     year = F.year("l_shipdate").cast("string")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag")).select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag",
         F.when(F.col("l_returnflag") == "N", small).otherwise(large).alias("spelt"),
         F.translate(year, "0123456789", "零一二三四五六七八九").alias("spelt_year"),
