@@ -293,9 +293,9 @@ def fold(members: DataFrame, large: DataFrame | None = None,
         # the hash decides, so that both steps agree
         marked = members.withColumn("_hash", F.xxhash64(*_ROW)).join(marks, "_hash", "left")
         block = F.floor(F.col("seq") / max_links).cast("bigint")
-        rows = marked.groupBy(
+        rows = materialise(marked.groupBy(
             *_ROW, "_large", F.when(F.col("_large"), block).otherwise(0).alias("part"),
-        ).agg(*values)
+        ).agg(*values), "folded")
         whole = rows.where("_large").groupBy(*_ROW).agg(
             F.min("id").alias("id"), F.max("absorbed").alias("absorbed"),
             F.min("part").alias("_lead"), *[F.min(n).alias(n) for n in _FOLDED])

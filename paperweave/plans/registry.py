@@ -15,7 +15,7 @@ from paperweave.functions import clean, numerals
 from paperweave.operators import detail, frontier, listing, merge, search
 from paperweave.plans import inputs as I
 from paperweave.plans import oracle as O
-from paperweave.plans.harvest import harvest, links_of_sites
+from paperweave.plans.harvest import harvest, link_seq, links_of_sites
 from paperweave.schema import PAGE_SCHEMA, RECORD_FIELDS, RECORD_SCHEMA, TRANSITION_SCHEMA
 from paperweave.session import materialise, shared_folder
 from paperweave.sources.tables import (
@@ -205,8 +205,7 @@ def lst7(spark, sf_dir):
 
 def _numbered_links(spark, sf_dir):
     links = listing.extract_links(I.link_pages(spark, sf_dir, "A"), "A")
-    seq = F.shiftleft(F.col("page_id"), 20) + F.col("position")
-    return links.select("url", seq.alias("seq"), F.lit("Cnki").alias("source"))
+    return links.select("url", link_seq().alias("seq"), F.lit("Cnki").alias("source"))
 
 
 _NUMBERED = f"""{O.LINK_N}, numbered AS (
@@ -659,6 +658,21 @@ def str2(spark, sf_dir):
     return spark.read.schema(links.schema).parquet(out)
 
 
+@query("str2_first_arrivals", f"""WITH found AS (
+    SELECT page_id, regexp_extract_all({O.VISIBLE}, '(?i)<a\\b[^>]*\\shref="([^"]*)"', 1) AS urls
+    FROM pages),
+  numbered AS (
+    SELECT page_id * 1048576 + generate_subscripts(urls, 1) - 1 AS seq,
+      {O.plain('unnest(urls)')} AS url FROM found)
+  SELECT url, min(seq) AS seq FROM numbered GROUP BY url""")
+def str2_first(spark, sf_dir):
+    sink = stream.LinkSink(spark, shared_folder(spark, "frontier"))
+    pages = stream.stream_table(spark, f"{sf_dir}/page[s].parquet", files_per_batch=20)
+    links = listing.extract_links(pages, "any").select("url", link_seq().alias("seq"))
+    _run(sink.start, links, _checkpoint(spark))
+    return sink.links()
+
+
 @query("str3_extraction", f"""WITH {O.HARVEST}
   SELECT page_id, url, ok, publication, year FROM shown WHERE ok
   UNION ALL SELECT page_id, url, ok, '', '' FROM shown WHERE NOT ok""")

@@ -179,3 +179,15 @@ def test_streaming_links_equal_batch(spark):
     wanted = listing.extract_links(pages, "any").select("url").distinct().collect()
     got = [r["url"] for r in spark.read.schema(links.schema).parquet(out).collect()]
     assert sorted(got) == sorted(r["url"] for r in wanted)
+
+
+def test_streaming_first_arrivals(spark):
+    rows = [(u, i) for i, u in enumerate(["a", "b", "a", "c", "b", "a", "d", "a", "e", "c"] * 3)]
+    links = spark.createDataFrame(rows, "url string, seq long")
+    inbox, store, check = (shared_folder(spark, n) for n in ("inbox", "store", "check"))
+    sink = stream.LinkSink(spark, store)
+    for half in (links.where("seq < 4"), links.where("seq >= 4")):
+        feed(spark, half, inbox, 2)
+        sink.start(stream.stream_table(spark, inbox, links.schema, 1), check, pace=None).awaitTermination()
+    assert sorted(tuple(r) for r in sink.links().collect()) == [
+        ("a", 0), ("b", 1), ("c", 3), ("d", 6), ("e", 8)]
