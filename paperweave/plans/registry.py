@@ -45,6 +45,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "documents")
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all documents, written so that texts are read only once."""
+    return materialise(I.records(spark, sf_dir), "records")
+
+
 def _halves(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records up to the middle arrival number, and those after it."""
     middle = records.agg(F.floor(F.max("seq") / 2)).first()[0]
@@ -76,7 +81,7 @@ def src2(spark, sf_dir):
 @query("src3_result_table", f"WITH {O.RECORDS}, {O.MERGE} SELECT {O.MERGED_COLUMNS} FROM merged")
 def src3(spark, sf_dir):
     table = ResultTable(spark, shared_folder(spark, "result"))
-    first, second = _halves(I.records(spark, sf_dir))
+    first, second = _halves(_records(spark, sf_dir))
     table.replace(merge.merge_into(table.read(), first))
     table.replace(merge.merge_into(table.read(), second))
     return table.read()
@@ -538,7 +543,7 @@ def nrm14(spark, sf_dir):
   SELECT p.seq, count(m.id) AS n_matches FROM probes p LEFT JOIN merged m
     ON m.title = p.title AND contains(m.publication, p.publication) GROUP BY p.seq""")
 def mrg1(spark, sf_dir):
-    first, second = _halves(I.records(spark, sf_dir))
+    first, second = _halves(_records(spark, sf_dir))
     result = materialise(merge.merge_records(first), "first-half")
     return merge.count_matches(result, second).select("seq", "n_matches")
 
@@ -546,7 +551,7 @@ def mrg1(spark, sf_dir):
 @query("mrg2_insert", f"""WITH {O.RECORDS}, {O.MERGE}
   SELECT seq, url, source, {O.FIELD_LIST} FROM records WHERE seq IN (SELECT s0 FROM creators)""")
 def mrg2(spark, sf_dir):
-    records = I.records(spark, sf_dir)
+    records = _records(spark, sf_dir)
     plan = merge.plan_merge(merge.build_groups(merge.with_keys(records)))
     return merge.inserted(records, plan).select("seq", *RECORD_FIELDS, "source")
 
@@ -554,7 +559,7 @@ def mrg2(spark, sf_dir):
 @query("mrg3_enrich", f"""WITH {O.RECORDS}, {O.MERGE}
   SELECT id, seq, url, source FROM members""")
 def mrg3(spark, sf_dir):
-    keyed = merge.with_keys(I.records(spark, sf_dir))
+    keyed = merge.with_keys(_records(spark, sf_dir))
     plan = merge.plan_merge(merge.build_groups(keyed))
     return merge.membership_ids(merge.memberships(keyed, plan), plan).select(
         "id", "seq", "url", "source")
@@ -562,12 +567,12 @@ def mrg3(spark, sf_dir):
 
 @query("mrg4_batch", f"WITH {O.RECORDS}, {O.MERGE} SELECT {O.MERGED_COLUMNS} FROM merged")
 def mrg4(spark, sf_dir):
-    return merge.merge_records(I.records(spark, sf_dir))
+    return merge.merge_records(_records(spark, sf_dir))
 
 
 @query("mrg5_incremental", f"WITH {O.RECORDS}, {O.MERGE} SELECT {O.MERGED_COLUMNS} FROM merged")
 def mrg5(spark, sf_dir):
-    first, second = _halves(I.records(spark, sf_dir))
+    first, second = _halves(_records(spark, sf_dir))
     result = materialise(merge.merge_records(first), "first-half")
     return merge.merge_into(result, second)
 
@@ -586,7 +591,7 @@ def mrg6(spark, sf_dir):
                FROM members GROUP BY id)
   SELECT sources, count(*) AS n_rows FROM combined GROUP BY sources""")
 def mrg7(spark, sf_dir):
-    keyed = merge.with_keys(I.records(spark, sf_dir))
+    keyed = merge.with_keys(_records(spark, sf_dir))
     plan = merge.plan_merge(merge.build_groups(keyed))
     return merge.contributions(merge.memberships(keyed, plan))
 
@@ -699,7 +704,7 @@ def _in_two_runs(spark, rows, schema, sink) -> None:
 @query("str4_merge", f"WITH {O.RECORDS}, {O.MERGE} SELECT {O.MERGED_COLUMNS} FROM merged")
 def str4(spark, sf_dir):
     sink = stream.MergeSink(spark, shared_folder(spark, "merge"))
-    _in_two_runs(spark, I.records(spark, sf_dir), RECORD_SCHEMA, sink)
+    _in_two_runs(spark, _records(spark, sf_dir), RECORD_SCHEMA, sink)
     return sink.result()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,11 @@ def local_session(cpus: int | str = "*", app: str = "paperweave", **conf) -> Spa
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="paperweave-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder all executors can reach.
 
@@ -44,7 +50,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="paperweave-")
+        base = _local_folder()
     return f"{base.rstrip('/')}/paperweave/{name}-{uuid.uuid4().hex}"
 
 
