@@ -19,7 +19,9 @@ from paperweave.functions.html import (
     all_elements, attributes, first_element, labelled_values, open_tag, settled, text_of, visible,
 )
 from paperweave.functions.numerals import replace_numbers
-from paperweave.schema import INVALID, RECORD_FIELDS, SITES, with_record_defaults
+from paperweave.schema import (
+    INVALID, LAYOUT_OF_SITE, RECORD_FIELDS, SITES, with_record_defaults,
+)
 
 # Style attributes of layout A.
 STYLE_TITLE = ("text-align:center; width:740px; font-size: 28px;color: #0000a0; "
@@ -249,7 +251,6 @@ def extract_c(pages: DataFrame, require_abstract: bool = False) -> DataFrame:
 
 
 _EXTRACT = {"A": extract_a, "B": extract_b, "C": extract_c}
-LAYOUT_OF_SITE = dict(zip(SITES.values(), "ABC"))
 
 
 def chosen_sites(mode: str) -> list[str]:
@@ -258,14 +259,29 @@ def chosen_sites(mode: str) -> list[str]:
 
 
 def extract(pages: DataFrame, mode: str = "123") -> DataFrame:
-    """Records of the chosen sites; ``source`` of a page names its site."""
-    jobs = [
-        _EXTRACT[LAYOUT_OF_SITE[site]](pages.where(F.col("source") == site))
-        for site in chosen_sites(mode)
-    ]
-    if not jobs:
+    """Records of the chosen sites in one pass; ``source`` names the site of a page.
+
+    Every reader sees the pages of its own site and NULL for all others, so
+    the html is scanned once however many sites are chosen.
+    """
+    sites = chosen_sites(mode)
+    if not sites:
         return extract_a(pages.where(F.lit(False)))
-    return reduce(DataFrame.unionByName, jobs)
+    keep = _identity(pages)
+    staged = pages.where(F.col("source").isin(*sites)).select(
+        *keep,
+        *[F.when(F.col("source") == site, F.col("html")).alias(f"_html_{LAYOUT_OF_SITE[site]}")
+          for site in sites])
+    fields = [name for name in RECORD_FIELDS if name != "url"] + ["ok"]
+    for site in sites:
+        layout = LAYOUT_OF_SITE[site]
+        rest = [c for c in staged.columns if c != f"_html_{layout}"]
+        staged = _EXTRACT[layout](staged.withColumnRenamed(f"_html_{layout}", "html")).select(
+            *rest, F.struct(*fields).alias(f"_{layout}"))
+    mine = F.coalesce(*[
+        F.when(F.col("source") == site, F.col(f"_{LAYOUT_OF_SITE[site]}")) for site in sites])
+    return staged.select(*keep, mine.alias("_mine")).select(
+        *keep, *[F.col("_mine")[name].alias(name) for name in fields])
 
 
 def records_of(extracted: DataFrame) -> DataFrame:

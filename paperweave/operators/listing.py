@@ -12,6 +12,7 @@ from paperweave.functions.clean import is_nonblank, percent_quote
 from paperweave.functions.html import (
     all_elements, attributes, first_attribute, first_element, open_tag, text_of, visible,
 )
+from paperweave.schema import LAYOUT_OF_SITE
 
 # Layout -> (hits per list page, most list pages or None).
 PAGING = {"A": (15, None), "B": (10, None), "C": (50, 100)}
@@ -160,14 +161,21 @@ def _links_any(page: Column) -> Column:
 _LINKS = {"A": _links_a, "B": _links_b, "C": _links_c, "any": _links_any}
 
 
-def extract_links(pages: DataFrame, layout: str) -> DataFrame:
+def extract_links(pages: DataFrame, layout: str | None = None) -> DataFrame:
     """Links of result pages with their place on the page.
 
-    ``layout`` is A, B or C, or ``any`` for every anchor. The html itself is
-    dropped here, before any shuffle.
+    ``layout`` is A, B or C, or ``any`` for every anchor; without it the
+    ``source`` of a page tells its layout. The html itself is dropped here,
+    before any shuffle.
     """
     keep = [c for c in pages.columns if c not in ("html", "url")]
+    page = visible("html")
+    if layout is not None:
+        links = _LINKS[layout](page)
+    else:
+        links = F.coalesce(*[
+            F.when(F.col("source") == site, _LINKS[letter](page))
+            for site, letter in LAYOUT_OF_SITE.items()])
     return pages.select(
-        *keep,
-        F.posexplode(_LINKS[layout](visible("html"))).alias("position", "url"),
+        *keep, F.posexplode(links).alias("position", "url"),
     ).where(F.col("url").isNotNull())

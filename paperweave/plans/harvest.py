@@ -30,11 +30,7 @@ def link_seq() -> Column:
 
 def links_of_sites(list_pages: DataFrame) -> DataFrame:
     """Links of all three layouts as ``(url, source, seq)``."""
-    jobs = [
-        listing.extract_links(list_pages.where(F.col("source") == site), layout)
-        for site, layout in detail.LAYOUT_OF_SITE.items()
-    ]
-    return reduce(DataFrame.unionByName, jobs).select("url", "source", link_seq().alias("seq"))
+    return listing.extract_links(list_pages).select("url", "source", link_seq().alias("seq"))
 
 
 @dataclass

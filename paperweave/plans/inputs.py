@@ -18,7 +18,7 @@ from paperweave.functions.html import settled
 from paperweave.operators.detail import (
     STYLE_ABSTRACT, STYLE_AUTHORS, STYLE_INFO, STYLE_SOURCE, STYLE_TITLE,
 )
-from paperweave.schema import SITES, with_record_defaults
+from paperweave.schema import LAYOUT_OF_SITE, SITES, with_record_defaults
 from paperweave.session import spread
 
 NUMBERS = ["一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二"]
@@ -209,7 +209,6 @@ def _html_c() -> Column:
 
 
 _HTML = {"A": _html_a, "B": _html_b, "C": _html_c}
-_LETTERS = dict(zip(SITES.values(), "ABC"))
 
 
 def _maybe_lost(html: Column) -> Column:
@@ -220,7 +219,7 @@ def _maybe_lost(html: Column) -> Column:
 
 def detail_pages(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     """Every article as a page of one layout."""
-    site = next(s for s, letter in _LETTERS.items() if letter == layout)
+    site = next(s for s, letter in LAYOUT_OF_SITE.items() if letter == layout)
     return settled(articles(spark, sf_dir).select(
         F.col("k").alias("page_id"), F.col(f"url_{layout.lower()}").alias("url"),
         _maybe_lost(_HTML[layout]()).alias("html"), F.lit(site).alias("source")))

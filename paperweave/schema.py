@@ -18,6 +18,9 @@ RECORD_FIELDS = [
 # Mode digit -> site name as kept in the frontier.
 SITES = {1: "Cnki", 2: "Cqvip", 3: "Wanfang"}
 
+# Page layout of each site.
+LAYOUT_OF_SITE = dict(zip(SITES.values(), "ABC"))
+
 # Link states.
 INITIAL, IN_PROGRESS, FINISHED = 0, 10, 20
 WRONG_DATE, ERROR, INVALID = -5, -10, -15
