@@ -9,11 +9,12 @@ shingle sets.
 
 Documents of one shingle set form a class and are represented by the smallest
 id. Within a bucket of a band, representatives are compared with leaders, not
-with each other: once the confirmed links have been contracted to components,
-only members of different components are compared further, with one, two, four
-... further leaders of the bucket per round, until no two members of a bucket
-are both unlinked and uncompared. So no candidate is lost, and a large group of
-near copies costs one comparison per member and leader instead of all pairs.
+with each other, and the confirmed links are contracted to components. What is
+left are texts that share a bucket with a text of another component. Among
+those, an exact bound on the first common shingle in order of rarity (see
+:func:`_by_prefix`) finds every pair that can still be similar, and pairs of
+different components are compared. So no candidate is lost, and a large group
+of near copies costs a comparison per member and leader instead of all pairs.
 
 Defined cases: null and empty texts have no shingles and are linked with
 nothing; repeated ids count as one document whose sets are united by their
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperweave.llm.components import components
@@ -39,6 +40,7 @@ PERMUTATIONS = 64
 BAND = 2            # permutations per band, so four values
 SHINGLE = 5
 PERCENT = 75
+LEADERS = (1, 4)    # per bucket, round by round, before the rest is joined by prefix
 BLOCK = 32          # comparisons that share one copy of a leader
 
 _random = np.random.default_rng(7)
@@ -155,28 +157,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     if not bucket.isEmpty():
         asked = bucket.select(F.col("rep").alias("id")).distinct()
         texts = stored(named.join(asked, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    rest, labels, leaders, tested = bucket, None, 1, None
-    while texts is not None:
+    rest, labels, tested = bucket, None, None
+    for leaders in LEADERS if texts is not None else ():
         lead = rest.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(leaders)), F.lit(leaders)).alias("part")) \
-            .agg(F.min("rep").alias("leader"), F.max("rep").alias("last"))
+            .agg(F.min("rep").alias("leader"))
         lead = stored(lead.select("key", "leader"), "leaders")
         member = rest.join(lead.select("key", F.col("leader").alias("rep"), F.lit(True).alias("leads")),
                            ["key", "rep"], "left")
         pairs = member.join(lead, "key").where("rep <> leader AND (leads IS NULL OR leader < rep)")
         if labels is not None:
             pairs = _apart(pairs, labels)
-        pairs = pairs.select(F.least("leader", "rep").alias("lo"), F.greatest("leader", "rep").alias("hi"),
-                             F.col("leader").alias("a"), F.col("rep").alias("b")) \
-            .groupBy("lo", "hi").agg(F.min("a").alias("a"))
-        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi"))
-                             .otherwise(F.col("lo")).alias("b"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti") \
-                .join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        result = stored(compared(pairs, texts), "compared")
-        tested = result if tested is None else tested.unionByName(result)
-        links = tested.where("similar").select("a", "b")
-        labels = components(links)
+        pairs = pairs.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+        links, labels, tested = _linked(pairs, texts, tested)
         rest = rest.join(lead.withColumnRenamed("leader", "rep"), ["key", "rep"], "left_anti")
         known = rest.join(labels.withColumnRenamed("v", "rep"), "rep", "left") \
             .select("key", "rep", F.coalesce("c", "rep").alias("c"))
@@ -185,7 +177,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         rest = stored(known.join(open_, "key").select("key", "rep"), "buckets")
         if rest.isEmpty():
             break
-        leaders *= 2
+    else:
+        if texts is not None:
+            left = rest.select(F.col("rep").alias("id")).distinct()
+            pairs = _apart(_by_prefix(texts.join(left, "id", "left_semi")), labels)
+            links, labels, tested = _linked(pairs.select(F.col("leader").alias("a"), F.col("rep").alias("b")),
+                                            texts, tested)
     class_of = signed.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("class_id"))
     members = signed.select("id", "n", "set_a", "set_b").join(class_of, ["n", "set_a", "set_b"]) \
         .select("id", F.col("n").alias("n_shingles"),
@@ -202,6 +199,50 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     return found.select(F.col("id").alias(id), "n_shingles", "class_id", "component_id", "n_links")
 
 
+def _linked(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None):
+    """Links, labels of components and all compared pairs after comparing ``pairs (a, b)`` too."""
+    pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")) \
+        .agg(F.min("a").alias("a")) \
+        .select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti") \
+            .join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    result = stored(compared(pairs, texts), "compared")
+    tested = result if tested is None else tested.unionByName(result)
+    links = tested.where("similar").select("a", "b")
+    return links, components(links), tested
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        shingles, at = shingle_sets(batch["text"])
+        yield pa.RecordBatch.from_arrays([batch["id"], lists(int64(shingles), at)], ["id", "shingles"])
+
+
+def _by_prefix(texts: DataFrame) -> DataFrame:
+    """Every pair of texts that can reach the threshold: ``(leader, rep)``, leader < rep.
+
+    Shingles are ordered by rarity. With ``o`` the least intersection that the
+    two sizes allow, the first common shingle of a similar pair has at least
+    ``o - 1`` shingles behind it in both texts, so it stands in the first quarter
+    of either; only those are joined, under that bound.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    sets = texts.select("id", "text").mapInArrow(_sets, f"id {kind}, shingles array<bigint>")
+    rows = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "shingle")
+    ranked = rows.join(often, "shingle").withColumn("at", F.row_number().over(order) - 1)
+    kept = stored(ranked.where(f"df > 1 AND 100 * (n - at) >= {PERCENT} * n").select("shingle", "id", "n", "at"),
+                  "prefixes")
+    one = kept.select("shingle", F.col("id").alias("leader"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    two = kept.select("shingle", F.col("id").alias("rep"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    reach = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    return one.join(two, (one["shingle"] == two["shingle"]) & (one["leader"] < two["rep"])
+                    & ((100 + PERCENT) * reach >= PERCENT * (F.col("n1") + F.col("n2")))) \
+        .select("leader", "rep")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of different components."""
     one = labels.select(F.col("v").alias("rep"), F.col("c").alias("c1"))
