@@ -1,4 +1,11 @@
 """Operators that prepare training data for language models.
 
-Nothing else in the package imports this subpackage.
+Nothing else in the package imports this subpackage. Its functions are sent to
+the executors by value, so those need not have the package installed.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,7 +6,7 @@ proportions, and the set of languages is the nested set (by proportion) of the
 largest log-likelihood less ``log(n)`` per language, n trigrams.
 
 The model is ``2 ** BITS`` numbers per language whatever the corpus, so it is
-summed up in Spark, fetched and broadcast; texts never leave their tasks.
+summed up in Spark, fetched and sent with the tasks; texts never leave theirs.
 
 Defined cases: a null text, a text without a letter and a corpus without
 learned languages give ``und``, score 0; equal proportions go to the language
@@ -183,13 +183,11 @@ def _predicted(texts: pa.Array, model: LanguageModel) -> list[pa.Array]:
 def predict(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: its id, language, score (the share of the language, smoothed by the
     number of trigrams), and the languages of its set with their shares."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], *_predicted(batch["text"], shared.value)],
+                [batch["id"], *_predicted(batch["text"], model)],
                 ["id", "lang_pred", "score", "share", "languages", "shares"])
 
     kind = docs.schema[id].dataType.simpleString()
@@ -201,11 +199,9 @@ def identified(docs: DataFrame, model: LanguageModel, least: float = 0.5,
                text: str = "text") -> DataFrame:
     """The documents, columns as they are, whose language is known and has at least the share
     ``least`` of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
         for batch in slices(batches, text):
-            name, _, share, *_ = _predicted(batch[text], shared.value)
+            name, _, share, *_ = _predicted(batch[text], model)
             keep = (name.to_numpy(False) != UNKNOWN) & (share.to_numpy() >= least)
             yield batch.filter(pa.array(keep))
 
