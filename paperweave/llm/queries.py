@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm import contamination, language, minhash, packing, quality, substrings
+from paperweave.llm import (
+    contamination, language, main_text, minhash, mixing, packing, quality, substrings, urls, warc,
+)
 from paperweave.llm.shared import table
+from paperweave.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,6 +91,16 @@ _QUALITY_SQL = r"""WITH
   FROM m JOIN bad USING (doc_id)"""
 
 
+_WARC_SQL = """WITH
+  p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+  d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+  e AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last
+      FROM d)
+  SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN last <> page_id THEN last END AS refers_to FROM e"""
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -122,6 +135,16 @@ def op4(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file()).drop("ids", "queue")
 
 
+@query("op5_main_text")
+def op5(spark, sf_dir):
+    return main_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op6_mixing")
+def op6(spark, sf_dir):
+    return mixing.scored(table(spark, sf_dir, "documents"))
+
+
 @query("op7_language")
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -137,3 +160,19 @@ def op8(spark, sf_dir):
     return contamination.judged(docs.select("doc_id", "text"), items.select("item_id", "text")).select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_warc", _WARC_SQL)
+def op9(spark, sf_dir):
+    folder = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    captures = warc.assembled(warc.read_archives(spark, folder, payload=False))
+    page = lambda fields: F.col(fields)["page-id"].cast("long")
+    return captures.select(page("metadata").alias("page_id"), "response.payload_bytes", "response.payload_digest",
+                           F.col("response.type").alias("record_type"), page("response.refers").alias("refers_to"))
+
+
+@query("op10_urls")
+def op10(spark, sf_dir):
+    model, shares = urls.fit(urls.labelled(spark))
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), model, shares)

@@ -67,11 +67,11 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+def words_of(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
     data, at = utf8(texts)
     if lower:
         data = LOWER[data]
-    inside = ~space[data]
+    inside = ~SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cut = at[:-1][at[:-1] < len(data)]
@@ -82,10 +82,11 @@ def words_of(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) ->
     stop = np.flatnonzero(over)
     end = stop[np.searchsorted(stop, start, "right")] if len(start) else start
     first = np.searchsorted(start, at)
-    return Words(data, start, end, first, _hashes(data, start, end))
+    return Words(data, start, end, first, hashes(data, start, end) if hashed else np.zeros(0, np.uint64))
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from each start to its end."""
     if not len(start):
         return np.zeros(0, np.uint64)
     length = end - start
@@ -96,14 +97,14 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed(np.add.reduceat(terms, at) + length.astype(np.uint64))
 
 
-def windows(hashes: np.ndarray, k: int) -> np.ndarray:
+def windows(of: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of ``k`` neighbours, over the ends of texts too."""
-    n = len(hashes) - k + 1
+    n = len(of) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, k, np.uint64)
     for j in range(k):
-        out += hashes[j:j + n] * _PLACE[j]
+        out += of[j:j + n] * _PLACE[j]
     return mixed(out)
 
 
@@ -115,7 +116,7 @@ def window_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str,
-           most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+           most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one hold about ``most`` bytes, whole texts only."""
     for batch in batches:
         length = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
