@@ -61,7 +61,7 @@ def _met(tokens: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST_ROWS:
         return at.join(F.broadcast(wanted), "shingle")
     asked = id_filter(wanted.select(F.col("shingle").alias("id")))
-    return possible(at.withColumn("id", F.col("shingle")), asked).drop("id").join(wanted, "shingle")
+    return possible(at, asked, key="shingle").join(wanted, "shingle")
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:

@@ -200,6 +200,13 @@ LABELLED = [
     f"<ul><li><a>-Start</a><li><a>-Contact us here</a></ul><article><h1>+List</h1><p><a>+A link as a paragraph</a></p>"
     f"<p><a>+And one more</a></p><ul><li><a>+Book one</a><li><a>+Book two</a></ul><p>+{_LONG}</p></article><p><a>-More</a></p>",
     f"<table><tr><td><a>-A</a><td><a>-B c</a></table><div>+{_LONG * 4}</div><div>+{_LONG * 2}</div><div><a>-Top</a></div>",
+    f"<article><h1>+Talk</h1><p>+{_LONG}</p><p>+{_LONG}</p></article><section id=comments><p>-{_LONG}</p><p>-{_LONG * 2}</p>"
+    f"<p>-I agree with all of it</p></section><footer>-(c) some site and its owner, {_LONG}</footer><div class=newsletter>"
+    f"-Get our letter {_LONG}</div>",
+    f"<div class='banner notice'>-{_LONG}</div><div class='story'><p>+{_LONG * 2}</p><p>+{_LONG}</p></div>"
+    f"<div class='related'><p>-{_LONG}</p><p>-{_LONG}</p></div><footer><p>-{_LONG * 2}</p><p>-All rights reserved</p></footer>",
+    f"<main><p>+{_LONG}</p><p>+So it goes.</p></main><aside><p>-{_LONG * 2}</p><p>-{_LONG}</p></aside><form>-{_LONG}</form>"
+    f"<footer>-{_LONG}</footer>",
     f"<section class='sidebar'><h3>-Popular</h3><p>-{_LONG * 2}</p></section><article><p>+{_LONG}</p><h2>+Part</h2>"
     f"<p>+One.</p><p>+Two words.</p></article><div class=footer><p>-{_LONG}</p><p>-2024</p></div>",
 ]
@@ -213,7 +220,7 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
 
 def main_text(page: str | None, tree: Tree) -> str:
     texts, x = blocks(page or "")
-    keep = tree.share(x) >= 0.5
+    keep = tree.share(x) > 0.5
     return "\n\n".join(t for t, k in zip(texts, keep) if k)
 
 

@@ -55,9 +55,9 @@ def id_filter(ids: DataFrame) -> DataFrame:
                   .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "filter")
 
 
-def possible(df: DataFrame, bitmap: DataFrame, wanted: bool = True) -> DataFrame:
-    """Rows of ``df`` whose ``id`` may be in the filter, or those that surely are not."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
+def possible(df: DataFrame, bitmap: DataFrame, wanted: bool = True, key: str = "id") -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in the filter, or those that surely are not."""
+    slot = F.pmod(F.xxhash64(key), F.lit(_FILTER_BITS))
     byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     found = F.coalesce(F.getbit(byte, F.pmod(F.col("__bit"), F.lit(8)).cast("int")) == 1, F.lit(False))
     joined = df.withColumn("__bucket", F.floor(slot / _BUCKET)).withColumn("__bit", F.pmod(slot, F.lit(_BUCKET))) \
