@@ -23,9 +23,11 @@ other columns are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,22 +37,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperweave.llm.shared import small_or_shuffled, stored
-from paperweave.llm.words import slices, words_of
+from paperweave.llm.words import LOWER, SPACE, hashes, slices, utf8, words_of
 
 LENGTH = 2048
 QUEUES = 4096      # at most; also the bound of what reaches the driver
 WIDTH = 2          # bytes of an id in the token table
-_MEMORY = 200_000  # words whose ids a task remembers
+_MEMORY = 1_000_000  # parts of words whose ids a task remembers
+
+# Fixed value: the pattern that the short way is right for.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 # ------------------------------------------------------------------- tokens
 
+_KIND = np.full(256, 3, np.uint8)  # 0 blank, 1 letter, 2 digit, 3 other
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[SPACE] = 0
+
+
+def _odd(data: np.ndarray) -> np.ndarray:
+    """Bytes that are not ASCII or letters from U+00C0 to U+023F that stay one under lower-casing
+    and composition, and apostrophes, which the pattern treats apart."""
+    high = data >= 0x80
+    lead = (data >= 0xC3) & (data <= 0xC8)
+    after = np.append(False, lead[:-1])
+    odd = (high & ~lead & ~after) | (data == 0x27)
+    follow = np.append(data[1:], 0)
+    bad = ((data == 0xC3) & ((follow == 0x97) | (follow == 0xB7))) | ((data == 0xC4) & (follow == 0xB0))
+    return odd | bad
+
+
 class Encoder:
-    """Ids of many texts, every distinct word of a run encoded once.
+    """Ids of many texts, every distinct part of a word encoded once per run.
 
-    Right for tokenizers that drop white space and never join across it.
+    Right for tokenizers that drop white space and never join across it. For the
+    pattern of letters, single digits and other characters, words are cut into
+    their parts here and a part is given to the tokenizer's model; words with
+    unusual characters, and all words of tokenizers built in another way, go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str, end: int | None):
@@ -59,30 +86,91 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = end
-        self.known: dict[int, np.ndarray] = {}
+        self._forget()
+        with open(path, encoding="utf-8") as file:
+            setup = json.load(file)
+        steps = [x.get("type") for x in (setup["normalizer"] or {}).get("normalizers", [])]
+        cuts = (setup["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.cut = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] \
+            and cuts[0]["pattern"] == {"Regex": _PATTERN} and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed" \
+            and not cuts[1]["add_prefix_space"]
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = iter(range(0x100, 0x200))  # stand for the bytes that cannot be shown, in their order
+        self.shown = "".join(chr(b) if b in visible else chr(next(hidden)) for b in range(256))
+
+    def _encoded(self, part: bytes, odd: bool) -> tuple[int, ...]:
+        text = part.decode("utf-8", "replace")
+        if odd:
+            return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if not (text.isascii() and text.isprintable()):
+            text = text.lower().encode().decode("latin-1").translate(self.shown)
+        return tuple([t.id for t in self.tokenizer.model.tokenize(text)])
+
+    def _forget(self) -> None:
+        """No part is known. Known ones are kept by hash in order, their ids in one array."""
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _held(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys are, and whether they are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def _learn(self, raw: bytes, keys: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> None:
+        encoded, tokenize, found = self._encoded, self.tokenizer.model.tokenize, []
+        for a, b, whole in zip(start.tolist(), end.tolist(), odd.tolist()):
+            part = raw[a:b]
+            if whole or not part.isalnum():  # bytes: ASCII only
+                found.append(encoded(part, whole))
+            else:
+                found.append([t.id for t in tokenize(part.decode("ascii"))])
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+        keys, begin, size = (np.append(x, y) for x, y in ((self.keys, keys), (self.begin, begin), (self.size, size)))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.begin, self.size = keys[order], begin[order], size[order]
+
+    def _parts(self, texts: pa.Array):
+        """Bytes, start and end of every part, whether it is a whole odd word, and parts per text."""
+        data, at = utf8(texts)
+        odd_sum = np.append(0, np.cumsum(_odd(data)))
+        words = words_of(texts, hashed=False)
+        odd = (odd_sum[words.end] > odd_sum[words.start]) | (not self.cut)
+        kind = _KIND[data]
+        whole = np.zeros(len(data) + 1, np.int8)  # inside odd words
+        np.add.at(whole, words.start[odd], 1)
+        np.add.at(whole, words.end[odd], -1)
+        inside = np.cumsum(whole[:-1]) > 0
+        kind[inside] = 4
+        begins = np.append(True, kind[1:] != kind[:-1])[:len(kind)] | (kind == 2)
+        begins[words.start] = True
+        begins &= kind > 0
+        start = np.flatnonzero(begins)
+        over = np.flatnonzero(np.append(begins | (kind == 0), True))
+        end = over[np.searchsorted(over, start, "right")] if len(start) else start
+        return data, start, end, inside[start] if len(start) else np.zeros(0, bool), np.searchsorted(start, at)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text starts and the last ends."""
-        words = words_of(texts)
-        code, distinct = pd.factorize(words.hash)
+        if len(self.keys) > _MEMORY:
+            self._forget()
+        data, start, end, odd, first_part = self._parts(texts)
+        lower = LOWER[data]
+        code, distinct = pd.factorize(hashes(lower, start, end))
         first = np.zeros(len(distinct), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        if len(self.known) > _MEMORY:
-            self.known.clear()
-        new = [i for i, h in enumerate(distinct.tolist()) if h not in self.known]
-        strings = [words.text(first[i]).decode("utf-8", "replace") for i in new]
-        hashes = distinct[new].tolist() if new else []
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
-            self.known[h] = np.array(e.ids, np.uint32)
-        parts = [self.known[h] for h in distinct.tolist()]
-        size = np.array([len(x) for x in parts], np.int64)
-        flat = np.concatenate([*parts, np.zeros(0, np.uint32)])
-        at = np.cumsum(size) - size
-        n_of_word = size[code] if len(code) else np.zeros(0, np.int64)
-        total = np.append(0, np.cumsum(n_of_word))
-        ids = flat[np.repeat(at[code], n_of_word) + np.arange(total[-1]) - np.repeat(total[:-1], n_of_word)] \
-            if len(code) else flat
-        bounds = total[words.first]
+        new = np.flatnonzero(~self._held(distinct)[1])
+        if len(new):
+            self._learn(lower.tobytes(), distinct[new], start[first[new]], end[first[new]], odd[first[new]])
+        at, _ = self._held(distinct)
+        begin, size, flat = self.begin[at], self.size[at], self.flat
+        n = size[code] if len(code) else np.zeros(0, np.int64)
+        total = np.append(0, np.cumsum(n))
+        ids = flat[np.repeat(begin[code] - total[:-1], n) + np.arange(total[-1])] if len(code) else flat[:0]
+        bounds = total[first_part]
         if self.end is not None:
             ids = np.insert(ids, bounds[1:], self.end)
             bounds = bounds + np.arange(len(bounds))
@@ -97,7 +185,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None, id: str, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder(tokenizer, end), TaskContext.get().partitionId()
         sums: dict[str | None, int] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids, at = encoder.ids(batch["text"])
             if len(ids) and ids.max() >= 1 << (8 * WIDTH):
                 raise ValueError("the vocabulary needs wider ids")
