@@ -16,18 +16,24 @@ arrival order ``seq``:
 Containment without comparing pairs
 -----------------------------------
 Publications are first reduced to distinct (title, publication) *groups*. Each
-group then lists those substrings of its publication whose length occurs among
-the publications of the title. "Does an earlier publication contain mine" is
-the smallest ``seq`` per (title, substring): an aggregation that is combined
-before its shuffle, however many publications share a title.
+group then lists those substrings of its publication that the title can ask
+for: of a length that occurs among its publications, starting with characters
+that one of them starts with, each once. They travel as 128-bit hashes, never as
+text. "Does an earlier publication contain mine" is the smallest ``seq`` per
+(title, hash): an aggregation that is combined before its shuffle, however many
+publications share a title. Pairs of groups are confirmed on the texts.
+
+Results
+-------
+``papers`` has a row per paper with its first-filled fields and number of
+contributions; ``membership_ids`` lists the contributions. ``fold`` joins their
+addresses and sources to one text, which is as long as a paper has contributions.
 
 Skew
 ----
 A title may hold a third of all rows. Narrow aggregations are combined before
-they are shuffled. Joins go through ``salted_join``, which spreads hot keys.
-The joined lists of a paper with more than ``max_links`` contributions are cut
-into consecutive rows by ranges of ``seq`` (column ``part``), so that no task
-and no value holds an unbounded list; nothing is dropped.
+they are shuffled, and every join has a side with one row per key, so that
+adaptive execution can split the other one.
 
 ``seq`` must be unique.
 """
@@ -42,11 +48,9 @@ from pyspark.sql import functions as F
 from paperweave.schema import RECORD_FIELDS
 from paperweave.session import materialise
 
-SALTS = 64
-HOT_ROWS = 200_000
-MAX_LINKS = 100_000
-# A broadcast list of hot keys holds one 8-byte hash per key with more than
-# ``hot`` rows, so at most rows / hot entries.
+#: Characters of a start that are looked up before a substring is listed.
+OPENING = 3
+_WORDS = 16  # of 64 bits, for the starts of a title's publications
 _KEYS = ["_title", "_pub"]
 
 
@@ -68,36 +72,6 @@ def with_keys(records: DataFrame, collation: str | None = None) -> DataFrame:
     })
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None,
-                spread: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join in which rows of hot keys are spread over ``salts`` tasks.
-
-    ``hot`` holds the hash of every hot key, or is None when there is none.
-    Both sides decide by that hash, so a hash shared by two keys costs time but
-    changes no result.
-    """
-    if hot is None:
-        return big.join(small, keys, how)
-    marks = F.broadcast(hot.select(F.col("_hash"), F.lit(True).alias("_hot")))
-
-    def marked(df: DataFrame) -> DataFrame:
-        return df.withColumn("_hash", F.xxhash64(*keys)).join(marks, "_hash", "left")
-
-    left = marked(big).withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-        .otherwise(0)).drop("_hash", "_hot")
-    right = marked(small).withColumn("_salt", F.explode(
-        F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    )).drop("_hash", "_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
-def _hot_keys(counted: DataFrame, keys: list[str], n: str, hot: int) -> DataFrame | None:
-    """Hashes of the keys with more than ``hot`` rows; None when no key has."""
-    found = counted.where(F.col(n) > hot).select(F.xxhash64(*keys).alias("_hash")).distinct()
-    return None if found.isEmpty() else found
-
-
 @dataclass
 class Groups:
     """Distinct (title, publication) pairs of a set of records.
@@ -109,36 +83,39 @@ class Groups:
     """
 
     table: DataFrame
-    hot: int = HOT_ROWS
 
     def __post_init__(self) -> None:
-        self._titles: DataFrame | None = None
+        self._keyed: DataFrame | None = None
 
-    def titles_with_choice(self) -> DataFrame:
-        """Titles with more than one publication.
+    def keyed(self) -> DataFrame:
+        """Groups of titles with more than one publication.
 
         ``tid`` stands for the title, ``lengths`` are the publication lengths
-        that occur (a set of small numbers, bounded by the longest name).
+        that occur (bounded by the longest name), ``starts`` is a bitmap of 128
+        bytes of the characters that its publications start with.
         """
-        if self._titles is None:
-            self._titles = materialise(
-                self.table.groupBy("_title").agg(
-                    F.min("gid").alias("tid"),
-                    F.collect_set(F.length("_pub")).alias("lengths"),
-                    F.count(F.lit(1)).alias("n_pubs"),
-                ).where("n_pubs > 1"), "titles")
-        return self._titles
-
-    def keyed(self) -> DataFrame:
-        """Groups of those titles, with ``tid`` and ``lengths``."""
-        titles = self.titles_with_choice()
-        return salted_join(
-            self.table, titles, ["_title"],
-            _hot_keys(titles, ["_title"], "n_pubs", self.hot), F.col("_pub"))
-
-
-def build_groups(records: DataFrame, existing: DataFrame | None = None,
-                 hot: int = HOT_ROWS) -> Groups:
+        if self._keyed is None:
+            bit = _start_bit(F.col("_pub"), F.lit(1), F.length("_pub"))
+            word = F.call_function(
+                "shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))
+            starts = F.array(*[
+                F.bit_or(F.when(F.floor(bit / 64) == i, word).otherwise(F.lit(0).cast("bigint")))
+                for i in range(_WORDS)])
+            titles = self.table.groupBy("_title").agg(
+                F.min("gid").alias("tid"), F.collect_set(F.length("_pub")).alias("lengths"),
+                starts.alias("starts"), F.count(F.lit(1)).alias("n_pubs"),
+            ).where("n_pubs > 1").drop("n_pubs")
+            self._keyed = materialise(self.table.join(titles, "_title"), "keyed")
+        return self._keyed
+
+
+def _start_bit(text: Column, at: Column, length: Column) -> Column:
+    """Place in the bitmap for the first characters of a substring."""
+    start = F.substr(text, at, F.least(length, F.lit(OPENING)))
+    return F.pmod(F.xxhash64(start), F.lit(64 * _WORDS))
+
+
+def build_groups(records: DataFrame, existing: DataFrame | None = None) -> Groups:
     """Groups of ``records`` (with keys) and of the existing rows they can meet.
 
     ``existing`` has ``_title _pub id n_links``. Only its rows with a title
@@ -160,24 +137,32 @@ def build_groups(records: DataFrame, existing: DataFrame | None = None,
             F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
             F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"),
             F.coalesce(F.max("is_row"), F.lit(False)).alias("is_row"))
-    return Groups(materialise(table, "groups"), hot)
+    return Groups(materialise(table, "groups"))
 
 
-def substrings(keyed: DataFrame, shorter_only: bool = False) -> DataFrame:
-    """``(tid, part, gid, own, ...)`` for the substrings a title can ask for.
+def _hashes(part: Column) -> Column:
+    return F.struct(F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(1), part).alias("h2"))
 
-    Only lengths that occur under the title are listed. ``own`` marks the
-    publication itself.
-    """
-    size = F.length("_pub")
-    wanted = F.filter("lengths", lambda n: (n < size) if shorter_only else (n <= size))
-    spots = F.sequence(F.lit(1), F.greatest(size - F.col("_len") + 1, F.lit(1)))
+
+def substrings(keyed: DataFrame, shorter_only: bool = False) -> DataFrame:
+    """``(tid, h1, h2, gid, own, ...)`` for the substrings a title can ask for, each once per
+    publication. ``own`` marks the publication itself."""
+    size, n = F.length("_pub"), F.col("_len")
+    wanted = F.filter("lengths", lambda x: (x < size) if shorter_only else (x <= size))
+    # the empty text is contained once
+    spots = F.sequence(F.lit(1), F.when(n > 0, F.greatest(size - n + 1, F.lit(1))).otherwise(1))
+
+    def opens(at: Column) -> Column:
+        bit = _start_bit(F.col("_pub"), at, n)
+        word = F.get("starts", F.floor(bit / 64).cast("int"))
+        return F.getbit(word, F.pmod(bit, F.lit(64)).cast("int")) == 1
+
+    parts = F.array_distinct(F.transform(
+        F.filter(spots, opens), lambda at: _hashes(F.substr(F.col("_pub"), at, n))))
     return (
         keyed.withColumn("_len", F.explode(wanted))
-        # the empty text is contained once
-        .withColumn("_at", F.explode(F.when(F.col("_len") > 0, spots).otherwise(F.array(F.lit(1)))))
-        .select("tid", F.substr("_pub", F.col("_at"), F.col("_len")).alias("part"),
-                (F.col("_len") == size).alias("own"), "gid", "last", "n", "is_row")
+        .select("tid", F.explode(parts).alias("_part"), (n == size).alias("own"), "gid", "last", "n", "is_row")
+        .select("tid", "_part.h1", "_part.h2", "own", "gid", "last", "n", "is_row")
     )
 
 
@@ -186,9 +171,9 @@ class MergePlan:
     """How the groups of a merge relate.
 
     ``absorbed``: ``(_title, _pub, gid)`` of groups that create no row, because
-    an earlier publication contains theirs. ``pairs``: ``(_title, _pub, n,
-    row_id, _row_pub)`` - records of the group that are later than ``row_id``
-    also go to that row, whose publication properly contains theirs.
+    an earlier publication contains theirs. ``pairs``: ``(_title, _pub, row_id,
+    _row_pub)`` - records of the group that are later than ``row_id`` also go to
+    that row, whose publication properly contains theirs.
     """
 
     groups: Groups
@@ -196,32 +181,29 @@ class MergePlan:
     pairs: DataFrame
 
 
+_PART = ["tid", "h1", "h2"]
+
+
 def plan_merge(groups: Groups) -> MergePlan:
     own, around = F.col("own"), ~F.col("own")
     keyed = groups.keyed()
     asked = materialise(
-        substrings(keyed).groupBy("tid", "part").agg(
+        substrings(keyed).groupBy(*_PART).agg(
             F.min(F.when(own, F.col("gid"))).alias("gid"),
             F.max(F.when(own, F.col("last"))).alias("last"),
-            F.max(F.when(own, F.col("n"))).alias("n"),
             F.max(own & F.col("is_row")).alias("is_row"),
             F.min(F.when(around, F.col("gid"))).alias("first_around"),
             F.count_if(around).alias("n_around"),
-        ).where("gid is not null and n_around > 0"), "contained")
+        ).where("gid is not null and n_around > 0").drop("n_around"), "contained")
     late = asked.where("first_around < gid and not is_row").select("gid")
     absorbed = groups.table.join(late, "gid", "left_semi").select(*_KEYS, "gid")
     # rows that can take in records of another group
-    rows = substrings(
-        keyed.join(late, "gid", "left_anti"), shorter_only=True,
-    ).select("tid", "part", F.col("gid").alias("row_id")).distinct()
-    met = salted_join(
-        rows, asked.select("tid", "part", "last", "n"), ["tid", "part"],
-        _hot_keys(asked, ["tid", "part"], "n_around", groups.hot), F.col("row_id"),
-    ).where(F.col("last") > F.col("row_id"))
-    pairs = met.join(
-        groups.table.select(
-            F.col("gid").alias("row_id"), "_title", F.col("_pub").alias("_row_pub")), "row_id",
-    ).select("_title", F.col("part").alias("_pub"), "n", "row_id", "_row_pub")
+    rows = substrings(keyed.join(late, "gid", "left_anti"), shorter_only=True) \
+        .select(*_PART, F.col("gid").alias("row_id"))
+    met = rows.join(asked.select(*_PART, "gid", "last"), _PART).where(F.col("last") > F.col("row_id"))
+    pairs = met.select("gid", "row_id").join(groups.table.select("gid", *_KEYS), "gid").join(
+        groups.table.select(F.col("gid").alias("row_id"), F.col("_pub").alias("_row_pub")), "row_id",
+    ).where(F.col("_row_pub").contains(F.col("_pub"))).select("_title", "_pub", "row_id", "_row_pub")
     return MergePlan(groups, absorbed, materialise(pairs, "pairs"))
 
 
@@ -239,33 +221,14 @@ def memberships(records: DataFrame, plan: MergePlan) -> DataFrame:
     shaped = records.select(
         *_KEYS, "seq", *RECORD_FIELDS, "source", F.lit(False).alias("absorbed"))
     members = shaped.withColumnRenamed("_pub", "_row_pub")
-    if plan.pairs.isEmpty():
-        return members
-    also = salted_join(
-        shaped, plan.pairs.drop("n"), _KEYS,
-        _hot_keys(plan.pairs, _KEYS, "n", plan.groups.hot), F.col("seq"),
-    ).where(F.col("seq") > F.col("row_id")).drop("_pub", "row_id")
+    also = shaped.join(plan.pairs, _KEYS) \
+        .where(F.col("seq") > F.col("row_id")).drop("_pub", "row_id")
     markers = plan.absorbed.select(
         "_title", F.col("_pub").alias("_row_pub"), F.col("gid").alias("seq"),
         F.lit(True).alias("absorbed"))
     return members.unionByName(also).unionByName(markers, allowMissingColumns=True)
 
 
-def _large_rows(plan: MergePlan, max_links: int) -> DataFrame | None:
-    """Hashes of the rows that may have more than ``max_links`` contributions."""
-    given = plan.groups.table.select(
-        "_title", F.col("_pub").alias("_row_pub"), (F.col("n") + F.col("n_links")).alias("n"))
-    taken = plan.pairs.select("_title", "_row_pub", "n")
-    summed = given.unionByName(taken).groupBy(*_ROW).agg(F.sum("n").alias("n"))
-    return _hot_keys(summed, _ROW, "n", max_links)
-
-
-def large_rows_of(members: DataFrame, max_links: int = MAX_LINKS) -> DataFrame | None:
-    """The same, counted from the memberships themselves."""
-    counted = members.groupBy(*_ROW).agg(F.count(F.lit(1)).alias("n"))
-    return _hot_keys(counted, _ROW, "n", max_links)
-
-
 def _first_filled(name: str) -> Column:
     """The first non-blank value in arrival order, with its ``seq``."""
     return F.min(F.when(F.col(name) != "", F.struct("seq", F.col(name).alias("v")))).alias(name)
@@ -275,54 +238,46 @@ def _joined(name: str) -> Column:
     return F.expr(f"listagg({name}, ';') within group (order by seq)").alias(name)
 
 
-def fold(members: DataFrame, large: DataFrame | None = None,
-         max_links: int = MAX_LINKS) -> DataFrame:
+def _rows(members: DataFrame, *lists: Column) -> DataFrame:
+    """First-filled fields of every row, and what else is asked for."""
+    rows = members.groupBy(*_ROW).agg(
+        F.min("seq").alias("id"), F.max("absorbed").alias("absorbed"),
+        F.count_if(~F.col("absorbed")).alias("n_links"), *lists, *[_first_filled(n) for n in _FOLDED])
+    return rows.where(~F.col("absorbed"))
+
+
+def _values(name: str) -> Column:
+    return F.coalesce(F.col(name)["v"], F.lit("")).alias(name)
+
+
+def papers(members: DataFrame) -> DataFrame:
+    """A row per paper: ``id``, its first-filled fields and ``n_links``, the number of its
+    contributions. No list is built, so no row grows with them."""
+    return _rows(members).select("id", "n_links", *[_values(n) for n in _FOLDED])
+
+
+def fold(members: DataFrame) -> DataFrame:
     """Result rows from memberships.
 
     ``url`` and ``source`` are joined with ``;`` in arrival order, every other
-    field takes its first non-blank value. Rows in ``large`` come as one row
-    per range of ``max_links`` arrivals; all of them carry title and
-    publication, the first one carries the other fields.
+    field takes its first non-blank value. The joined texts have no limit; see
+    ``papers`` and ``membership_ids`` for the same result without them.
     """
-    values = [F.min("seq").alias("id"), F.max("absorbed").alias("absorbed"),
-              _joined("url"), _joined("source"), *[_first_filled(n) for n in _FOLDED]]
-    if large is None:
-        rows = members.groupBy(*_ROW).agg(*values).withColumn("part", F.lit(0).cast("bigint"))
-    else:
-        marks = F.broadcast(large.select("_hash", F.lit(True).alias("_large")))
-        # the hash decides, so that both steps agree
-        marked = members.withColumn("_hash", F.xxhash64(*_ROW)).join(marks, "_hash", "left")
-        block = F.floor(F.col("seq") / max_links).cast("bigint")
-        rows = materialise(marked.groupBy(
-            *_ROW, "_large", F.when(F.col("_large"), block).otherwise(0).alias("part"),
-        ).agg(*values), "folded")
-        whole = rows.where("_large").groupBy(*_ROW).agg(
-            F.min("id").alias("id"), F.max("absorbed").alias("absorbed"),
-            F.min("part").alias("_lead"), *[F.min(n).alias(n) for n in _FOLDED])
-        keep = ("title", "publication")
-        cut = rows.where("_large").select(*_ROW, "part", "url", "source").join(whole, _ROW).select(
-            *_ROW, "part", "url", "source", "id", "absorbed",
-            *[F.col(n) if n in keep else F.when(F.col("part") == F.col("_lead"), F.col(n)).alias(n)
-              for n in _FOLDED])
-        rows = rows.where("_large is null").drop("_large").unionByName(cut)
-    return rows.where(~F.col("absorbed")).select(
-        "id", "part",
-        *[F.coalesce(F.col(n), F.lit("")).alias(n) if n == "url"
-          else F.coalesce(F.col(n)["v"], F.lit("")).alias(n) for n in RECORD_FIELDS],
+    return _rows(members, _joined("url"), _joined("source")).select(
+        "id",
+        *[F.coalesce(F.col(n), F.lit("")).alias(n) if n == "url" else _values(n) for n in RECORD_FIELDS],
         F.coalesce("source", F.lit("")).alias("source"),
     )
 
 
-def merge_records(records: DataFrame, collation: str | None = None,
-                  hot: int = HOT_ROWS, max_links: int = MAX_LINKS) -> DataFrame:
+def merge_records(records: DataFrame, collation: str | None = None) -> DataFrame:
     """Merge a whole table of normalised records into result rows.
 
     Reads ``records`` more than once: hand in a written table, not a plan that
     still has pages to parse.
     """
     keyed = with_keys(records, collation)
-    plan = plan_merge(build_groups(keyed, hot=hot))
-    return fold(memberships(keyed, plan), _large_rows(plan, max_links), max_links)
+    return fold(memberships(keyed, plan_merge(build_groups(keyed))))
 
 
 def _as_existing(result: DataFrame, collation: str | None) -> DataFrame:
@@ -330,47 +285,42 @@ def _as_existing(result: DataFrame, collation: str | None) -> DataFrame:
         "n_links", F.size(F.split("source", ";")).cast("bigint"))
 
 
-def rows_as_members(result: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
+def rows_as_members(result: DataFrame) -> DataFrame:
     """Rows of a result table (with keys) as memberships of themselves."""
-    seq = F.when(F.col("part") == 0, F.col("id")).otherwise(
-        F.greatest("id", F.col("part") * max_links))
     return result.select(
-        "_title", F.col("_pub").alias("_row_pub"), seq.alias("seq"), *RECORD_FIELDS, "source",
+        "_title", F.col("_pub").alias("_row_pub"), F.col("id").alias("seq"), *RECORD_FIELDS, "source",
         F.lit(False).alias("absorbed"))
 
 
-def merge_into(result: DataFrame, records: DataFrame, collation: str | None = None,
-               hot: int = HOT_ROWS, max_links: int = MAX_LINKS) -> DataFrame:
+def merge_into(result: DataFrame, records: DataFrame, collation: str | None = None) -> DataFrame:
     """Merge new records into an existing result.
 
-    Every ``seq`` must be larger than those already merged. Rows whose title
-    does not occur among the new records are passed through unchanged.
+    Every ``seq`` must be larger than the ids of the rows there; that is
+    checked. Rows whose title does not occur among the new records are passed
+    through unchanged.
     """
+    last, first = result.agg(F.max("id")).first()[0], records.agg(F.min("seq")).first()[0]
+    if last is not None and first is not None and first <= last:
+        raise ValueError(f"new records start at {first}, but the result holds {last} already")
     old, new = _as_existing(result, collation), with_keys(records, collation)
-    plan = plan_merge(build_groups(new, old, hot))
+    plan = plan_merge(build_groups(new, old))
     titles = plan.groups.table.select("_title").distinct()
-    touched = rows_as_members(old.join(titles, "_title", "left_semi"), max_links)
+    touched = rows_as_members(old.join(titles, "_title", "left_semi"))
     untouched = old.join(titles, "_title", "left_anti").drop(*_KEYS, "n_links")
     members = touched.unionByName(memberships(new, plan))
-    return untouched.unionByName(fold(members, _large_rows(plan, max_links), max_links))
+    return untouched.unionByName(fold(members))
 
 
-def count_matches(result: DataFrame, records: DataFrame, collation: str | None = None,
-                  hot: int = HOT_ROWS) -> DataFrame:
+def count_matches(result: DataFrame, records: DataFrame, collation: str | None = None) -> DataFrame:
     """For every record the number of result rows it would be merged into."""
     old, new = _as_existing(result, collation), with_keys(records, collation)
-    groups = build_groups(new, old, hot)
-    found = substrings(groups.keyed()).select("tid", "part", "gid", "own", "is_row").distinct()
-    around = found.groupBy("tid", "part").agg(
+    groups = build_groups(new, old)
+    around = substrings(groups.keyed()).groupBy(*_PART).agg(
         F.min(F.when(F.col("own"), F.col("gid"))).alias("gid"),
         F.count_if(F.col("is_row")).alias("n_rows")).where("gid is not null")
-    counts = materialise(
-        groups.table.where("n > 0").join(around.select("gid", "n_rows"), "gid", "left").select(
-            *_KEYS, "n", F.coalesce("n_rows", F.col("is_row").cast("bigint")).alias("n_matches")),
-        "matches")
-    return salted_join(
-        new, counts.drop("n"), _KEYS, _hot_keys(counts, _KEYS, "n", hot), F.col("seq"),
-    ).drop(*_KEYS)
+    counts = groups.table.where("n > 0").join(around.select("gid", "n_rows"), "gid", "left").select(
+        *_KEYS, F.coalesce("n_rows", F.col("is_row").cast("bigint")).alias("n_matches"))
+    return new.join(counts, _KEYS).drop(*_KEYS)
 
 
 def inserted(records: DataFrame, plan: MergePlan) -> DataFrame:
@@ -383,11 +333,8 @@ def inserted(records: DataFrame, plan: MergePlan) -> DataFrame:
 def membership_ids(members: DataFrame, plan: MergePlan) -> DataFrame:
     """Memberships with the ``id`` of their row; the lists in unjoined form."""
     rows = plan.groups.table.join(plan.absorbed.select("gid"), "gid", "left_anti").select(
-        "_title", F.col("_pub").alias("_row_pub"), F.col("gid").alias("id"),
-        (F.col("n") + F.col("n_links")).alias("n"))
-    return salted_join(
-        members.where(~F.col("absorbed")), rows.drop("n"), _ROW,
-        _hot_keys(rows, _ROW, "n", plan.groups.hot), F.col("seq")).drop(*_ROW, "absorbed")
+        "_title", F.col("_pub").alias("_row_pub"), F.col("gid").alias("id"))
+    return members.where(~F.col("absorbed")).join(rows, _ROW).drop(*_ROW, "absorbed")
 
 
 def contributions(members: DataFrame) -> DataFrame:

@@ -52,13 +52,15 @@ def pick(values: list[str], index: Column) -> Column:
 # ------------------------------------------------------------------ documents
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records: title is the first line, publication the source."""
+    """Documents as records: title is the first line, publication the source, abstract the rest
+    of every second document."""
     site = pick(["cnki", "cqvip", "wanfang"], F.col("doc_id") % 3)
     return with_record_defaults(table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("source").alias("publication"),
-        F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("abstract"),
+        F.when(F.col("doc_id") % 2 == 0, F.substr(
+            "text", F.length(F.substring_index("text", "\n", 1)) + 2)).otherwise("").alias("abstract"),
         F.when(F.col("doc_id") % 3 == 0, "").otherwise(
             (1990 + F.col("doc_id") % 30).cast("string")).alias("year"),
         fill("http://www.{site}.example/{doc_id}", site=site).alias("url"),

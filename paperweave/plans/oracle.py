@@ -14,14 +14,14 @@ def _clean(c: str) -> str:
 RECORDS = f"""
 raw_records AS (
   SELECT doc_id AS seq, split_part(text, chr(10), 1) AS title, source AS publication,
-    CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS abstract,
+    CASE WHEN doc_id % 2 = 0 THEN substr(text, length(split_part(text, chr(10), 1)) + 2) ELSE '' END AS abstract,
     CASE WHEN doc_id % 3 = 0 THEN '' ELSE CAST(1990 + doc_id % 30 AS VARCHAR) END AS year,
     'http://www.' || CASE doc_id % 3 WHEN 0 THEN 'cnki' WHEN 1 THEN 'cqvip' ELSE 'wanfang' END
       || '.example/' || doc_id AS raw_url
   FROM documents),
 records AS (
   SELECT seq, {_clean('title')} AS title, translate({_clean('publication')}, '《》', '') AS publication,
-    abstract, year, {_clean('raw_url')} AS url, raw_url,
+    {_clean('abstract')} AS abstract, year, {_clean('raw_url')} AS url, raw_url,
     CASE seq % 3 WHEN 0 THEN 'cnki' WHEN 1 THEN 'cqvip' ELSE 'wanfang' END AS source,
     '' AS authors, '' AS unit, '' AS keywords, '' AS volume, '' AS issue, '' AS pagecode,
     '' AS doi, '' AS sponser, '' AS type
@@ -40,12 +40,12 @@ members AS (
   SELECT c.s0 AS id, c.title AS ctitle, c.pub AS cpub, r.* FROM creators c
   JOIN records r ON r.title = c.title AND contains(c.pub, r.publication) AND r.seq >= c.s0),
 merged AS (
-  SELECT id, CAST(0 AS BIGINT) AS part, string_agg(url, ';' ORDER BY seq) AS url,
+  SELECT id, string_agg(url, ';' ORDER BY seq) AS url,
     string_agg(source, ';' ORDER BY seq) AS source, """ + ", ".join(
     f"coalesce(arg_min({f}, seq) FILTER (WHERE {f} <> ''), '') AS {f}" for f in _FIELDS) + """
   FROM members GROUP BY id)"""
 
-MERGED_COLUMNS = "id, part, url, source, " + FIELD_LIST
+MERGED_COLUMNS = "id, url, source, " + FIELD_LIST
 
 SITE_OF_USER = "CASE user_id % 3 WHEN 0 THEN 'Cnki' WHEN 1 THEN 'Cqvip' ELSE 'Wanfang' END"
 TRANSITIONS = f"""

@@ -570,6 +570,13 @@ def mrg4(spark, sf_dir):
     return merge.merge_records(_records(spark, sf_dir))
 
 
+@query("mrg4_papers", f"""WITH {O.RECORDS}, {O.MERGE}, counted AS (SELECT id, count(*) AS n_links FROM members GROUP BY id)
+  SELECT id, n_links, {O.FIELD_LIST} FROM merged JOIN counted USING (id)""")
+def mrg4_papers(spark, sf_dir):
+    keyed = merge.with_keys(_records(spark, sf_dir))
+    return merge.papers(merge.memberships(keyed, merge.plan_merge(merge.build_groups(keyed))))
+
+
 @query("mrg5_incremental", f"WITH {O.RECORDS}, {O.MERGE} SELECT {O.MERGED_COLUMNS} FROM merged")
 def mrg5(spark, sf_dir):
     first, second = _halves(_records(spark, sf_dir))

@@ -63,11 +63,9 @@ RECORD_SCHEMA = T.StructType(
     + [T.StructField("source", T.StringType())]
 )
 
-# ``id`` is the arrival number of the record that created the row. ``part`` is
-# 0 except for papers with so many contributions that the joined lists are cut
-# into bounded consecutive rows (see operators.merge).
+# ``id`` is the arrival number of the record that created the row.
 RESULT_SCHEMA = T.StructType(
-    [T.StructField("id", T.LongType()), T.StructField("part", T.LongType())]
+    [T.StructField("id", T.LongType())]
     + [T.StructField(name, T.StringType()) for name in RECORD_FIELDS]
     + [T.StructField("source", T.StringType())]
 )

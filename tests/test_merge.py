@@ -42,14 +42,7 @@ def frame(spark, records):
 
 
 def collected(result):
-    """Result rows with the parts of cut rows put together again."""
-    rows = {}
-    for r in sorted(result.collect(), key=lambda r: (r["id"], r["part"])):
-        rows.setdefault(r["id"], []).append(r)
-    return sorted(
-        (i, *(";".join(p["url"] for p in parts) if f == "url" else parts[0][f] for f in RECORD_FIELDS),
-         ";".join(p["source"] for p in parts))
-        for i, parts in rows.items())
+    return sorted((r["id"], *(r[f] for f in RECORD_FIELDS), r["source"]) for r in result.collect())
 
 
 @pytest.mark.parametrize("n,seed", [(1, 0), (40, 1), (200, 2)])
@@ -66,35 +59,54 @@ def test_golden(spark):
     assert [(r[5], r[1]) for r in rows] == [("", "u0;u2"), ("X", "u1;u2"), ("XY", "u3")]
 
 
-def test_hot_keys_are_spread(spark):
+def test_title_with_most_rows(spark):
     records = some_records(300, 3, titles=("T", "T", "T", "U"))
-    assert collected(merge.merge_records(frame(spark, records), hot=5)) == one_by_one(records)
+    assert collected(merge.merge_records(frame(spark, records))) == one_by_one(records)
 
 
-def test_long_lists_are_cut_not_dropped(spark):
+def test_papers_have_no_lists(spark):
     records = some_records(200, 4)
-    result = merge.merge_records(frame(spark, records), max_links=10).cache()
-    assert collected(result) == one_by_one(records)
-    assert max(len(r["source"].split(";")) for r in result.collect()) <= 10
-    assert result.where("part > 0").count() > 0
+    keyed = merge.with_keys(frame(spark, records))
+    got = merge.papers(merge.memberships(keyed, merge.plan_merge(merge.build_groups(keyed))))
+    wanted = {r[0]: (r[-1].count(";") + 1, r[2 if RECORD_FIELDS[0] == "url" else 1]) for r in one_by_one(records)}
+    assert {r["id"]: r["n_links"] for r in got.collect()} == {i: n for i, (n, _) in wanted.items()}
+    assert not {"url", "source"} & set(got.columns)
+
+
+def test_listed_substrings_stay_few(spark):
+    rnd = random.Random(0)
+    long = "".join(rnd.choice("abcdefghijklmnop") for _ in range(300))
+    for names in ([long[:i] for i in range(1, 301)], ["a" * i for i in range(1, 301)]):
+        records = some_records(len(names), 1)
+        for r, name in zip(records, names):
+            r.update(title="T", publication=name)
+        groups = merge.build_groups(merge.with_keys(frame(spark, records)))
+        assert merge.substrings(groups.keyed()).count() <= 50 * sum(map(len, names))
 
 
 @pytest.mark.parametrize("cut", [0, 1, 70, 149])
 def test_incremental(spark, cut):
     records = some_records(150, 5)
     first = merge.merge_records(frame(spark, records[:cut]))
-    both = merge.merge_into(first, frame(spark, records[cut:]), hot=7)
+    both = merge.merge_into(first, frame(spark, records[cut:]))
     assert collected(both) == one_by_one(records)
 
 
-def test_incremental_with_cut_lists(spark):
+def test_incremental_in_three_steps(spark):
     records = some_records(150, 6)
-    result = merge.merge_records(frame(spark, records[:50]), max_links=8)
-    result = merge.merge_into(result, frame(spark, records[50:100]), max_links=8)
-    result = merge.merge_into(result, frame(spark, records[100:]), max_links=8)
+    result = merge.merge_records(frame(spark, records[:50]))
+    result = merge.merge_into(result, frame(spark, records[50:100]))
+    result = merge.merge_into(result, frame(spark, records[100:]))
     assert collected(result) == one_by_one(records)
 
 
+def test_earlier_numbers_are_refused(spark):
+    records = some_records(20, 6)
+    result = merge.merge_records(frame(spark, records[10:]))
+    with pytest.raises(ValueError):
+        merge.merge_into(result, frame(spark, records[:10]))
+
+
 def test_number_of_tasks_changes_nothing(spark):
     df = frame(spark, some_records(120, 7))
     assert collected(merge.merge_records(df.repartition(1))) == collected(
@@ -106,10 +118,8 @@ def test_match_counts(spark):
     old, new = records[:80], records[80:]
     rows = one_by_one(old)
     wanted = {r["seq"]: sum(x[2] == r["title"] and r["publication"] in x[5] for x in rows) for r in new}
-    for hot in (merge.HOT_ROWS, 3):
-        got = merge.count_matches(
-            merge.merge_records(frame(spark, old)), frame(spark, new), hot=hot)
-        assert {r["seq"]: r["n_matches"] for r in got.collect()} == wanted
+    got = merge.count_matches(merge.merge_records(frame(spark, old)), frame(spark, new))
+    assert {r["seq"]: r["n_matches"] for r in got.collect()} == wanted
 
 
 def test_collation(spark):

@@ -39,10 +39,9 @@ def test_state_filter_reaches_the_scan(spark):
 
 def test_merge_never_compares_all_pairs(spark):
     records = materialise(frame(spark, some_records(80, 21)), "records")
-    for hot in (merge.HOT_ROWS, 3):
-        result = merge.merge_records(records, hot=hot)
-        both = merge.merge_into(result, frame(spark, some_records(0, 1)), hot=hot)
-        for df in (result, both):
-            plan = plan_of(df)
-            assert "NestedLoop" not in plan and "Cartesian" not in plan
-            assert "Window" not in plan and "Python" not in plan
+    result = merge.merge_records(records)
+    both = merge.merge_into(result, frame(spark, some_records(0, 1)))
+    for df in (result, both):
+        plan = plan_of(df)
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert "Window" not in plan and "Python" not in plan

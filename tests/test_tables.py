@@ -142,7 +142,7 @@ def feed(spark, df, inbox, files):
 def test_streaming_merge_equals_batch(spark):
     records = some_records(90, 12)
     inbox, store, check = (shared_folder(spark, n) for n in ("inbox", "store", "check"))
-    sink = stream.MergeSink(spark, store, max_links=9, hot=5)
+    sink = stream.MergeSink(spark, store)
     feed(spark, frame(spark, records), inbox, 4)
     sink.start(stream.stream_table(spark, inbox, RECORD_SCHEMA, 1), check, pace=None).awaitTermination()
     assert collected(sink.result()) == one_by_one(records)
