@@ -180,7 +180,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     else:
         if texts is not None:
             left = rest.select(F.col("rep").alias("id")).distinct()
-            pairs = _apart(_by_prefix(texts.join(left, "id", "left_semi")), labels)
+            known = texts.join(left, "id").join(labels.withColumnRenamed("v", "id"), "id", "left") \
+                .select("id", "text", F.coalesce("c", "id").alias("c"))
+            pairs = _by_prefix(known)
             links, labels, tested = _linked(pairs.select(F.col("leader").alias("a"), F.col("rep").alias("b")),
                                             texts, tested)
     class_of = signed.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("class_id"))
@@ -201,12 +203,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 def _linked(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None):
     """Links, labels of components and all compared pairs after comparing ``pairs (a, b)`` too."""
-    pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")) \
-        .agg(F.min("a").alias("a")) \
-        .select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+    pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
     if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti") \
-            .join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        known = tested.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        pairs = pairs.join(known, ["lo", "hi"], "left_anti")
+    pairs = stored(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")),
+                   "pairs")
     result = stored(compared(pairs, texts), "compared")
     tested = result if tested is None else tested.unionByName(result)
     links = tested.where("similar").select("a", "b")
@@ -216,11 +218,13 @@ def _linked(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         shingles, at = shingle_sets(batch["text"])
-        yield pa.RecordBatch.from_arrays([batch["id"], lists(int64(shingles), at)], ["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["c"], lists(int64(shingles), at)],
+                                          ["id", "c", "shingles"])
 
 
 def _by_prefix(texts: DataFrame) -> DataFrame:
-    """Every pair of texts that can reach the threshold: ``(leader, rep)``, leader < rep.
+    """Every pair of ``texts (id, text, c)`` of different ``c`` that can reach the threshold:
+    ``(leader, rep)``, leader < rep.
 
     Shingles are ordered by rarity. With ``o`` the least intersection that the
     two sizes allow, the first common shingle of a similar pair has at least
@@ -228,17 +232,20 @@ def _by_prefix(texts: DataFrame) -> DataFrame:
     of either; only those are joined, under that bound.
     """
     kind = texts.schema["id"].dataType.simpleString()
-    sets = texts.select("id", "text").mapInArrow(_sets, f"id {kind}, shingles array<bigint>")
-    rows = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    sets = texts.mapInArrow(_sets, f"id {kind}, c {kind}, shingles array<bigint>")
+    rows = stored(sets.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "shingle")
     ranked = rows.join(often, "shingle").withColumn("at", F.row_number().over(order) - 1)
-    kept = stored(ranked.where(f"df > 1 AND 100 * (n - at) >= {PERCENT} * n").select("shingle", "id", "n", "at"),
-                  "prefixes")
-    one = kept.select("shingle", F.col("id").alias("leader"), F.col("n").alias("n1"), F.col("at").alias("at1"))
-    two = kept.select("shingle", F.col("id").alias("rep"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    kept = stored(ranked.where(f"df > 1 AND 100 * (n - at) >= {PERCENT} * n")
+                  .select("shingle", "id", "c", "n", "at"), "prefixes")
+    one = kept.select("shingle", F.col("id").alias("leader"), F.col("c").alias("c1"), F.col("n").alias("n1"),
+                      F.col("at").alias("at1"))
+    two = kept.select("shingle", F.col("id").alias("rep"), F.col("c").alias("c2"), F.col("n").alias("n2"),
+                      F.col("at").alias("at2"))
     reach = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
     return one.join(two, (one["shingle"] == two["shingle"]) & (one["leader"] < two["rep"])
+                    & (F.col("c1") != F.col("c2"))
                     & ((100 + PERCENT) * reach >= PERCENT * (F.col("n1") + F.col("n2")))) \
         .select("leader", "rep")
 
