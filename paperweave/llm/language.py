@@ -31,6 +31,7 @@ BITS = 16
 STEPS = 8          # of expectation-maximisation
 SMOOTHING = 0.5    # added to every trigram count
 UNKNOWN = "und"
+SLICE = 1 << 19    # bytes of text worked on at once
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -74,7 +75,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(counts[at])], ["lang", "gram", "n"])
         held.clear()
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         codes = batch["lang"].dictionary_encode()
         of_text = codes.indices.to_numpy(zero_copy_only=False)
         gram, text = trigrams(batch["text"])
@@ -185,7 +186,7 @@ def predict(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str
     number of trigrams), and the languages of its set with their shares."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], *_predicted(batch["text"], model)],
                 ["id", "lang_pred", "score", "share", "languages", "shares"])
@@ -200,7 +201,7 @@ def identified(docs: DataFrame, model: LanguageModel, least: float = 0.5,
     """The documents, columns as they are, whose language is known and has at least the share
     ``least`` of the text."""
     def run(batches):
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             name, _, share, *_ = _predicted(batch[text], model)
             keep = (name.to_numpy(False) != UNKNOWN) & (share.to_numpy() >= least)
             yield batch.filter(pa.array(keep))
