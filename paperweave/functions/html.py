@@ -20,8 +20,15 @@ _HIDDEN = (
     r"|<script\b.*?(?:</script\s*>|\z)"
     r"|<style\b.*?(?:</style\s*>|\z)"
 )
-_TAG = r"(?s)</?[a-zA-Z!?][^>]*>"
-_REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});"
+# What stands in a tag after its name; a quoted value may hold ``>``.
+_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_TAG = rf"(?s)</?[a-zA-Z!?]{_REST}>|</?[a-zA-Z!?][^>]*>"
+# Names that are also read without ``;``.
+_OPEN_ENDED = "amp|lt|gt|quot|nbsp|copy|reg|middot|times|laquo|raquo|deg|sect|para"
+_REFERENCE = (r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9}(?=;)"
+              rf"|(?:{_OPEN_ENDED})(?![a-zA-Z0-9]*;));?")
+_CONTAINERS = "article|dd|div|dl|dt|li|ol|section|span|table|tbody|td|th|tr|ul"
+_VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -55,15 +62,17 @@ def open_tag(tag: str, cls: str | None = None, **exact: str) -> str:
     (``class_`` for the whole class attribute).
     """
     checks = ""
+    # whole attributes before the one looked for, so that nothing inside a quoted value counts
+    lead = r"""(?=(?:[^>"']|"[^"]*"|'[^']*')*?\s"""
     if cls is not None:
         word = re.escape(cls)
-        checks += (rf"""(?=[^>]*\sclass=(?:"(?:[^">]*\s)?{word}(?:\s[^">]*)?\""""
-                   rf"""|'(?:[^'>]*\s)?{word}(?:\s[^'>]*)?'|{word}(?=[\s/>])))""")
+        checks += (lead + rf"""class\s*=\s*(?:"(?:[^"]*\s)?{word}(?:\s[^"]*)?\""""
+                   rf"""|'(?:[^']*\s)?{word}(?:\s[^']*)?'|{word}(?=[\s/>])))""")
     for name, value in exact.items():
         value = re.escape(value)
-        checks += (rf"""(?=[^>]*\s{name.rstrip('_')}=(?:"{value}\""""
+        checks += (lead + rf"""{name.rstrip('_')}\s*=\s*(?:"{value}\""""
                    rf"""|'{value}'|{value}(?=[\s/>])))""")
-    return rf"(?i)<{tag}\b{checks}[^>]*>"
+    return rf"(?i)<{tag}\b{checks}{_REST}>"
 
 
 def _character(reference: Column) -> Column:
@@ -169,8 +178,8 @@ def _element_body(rest: Column, tag: str) -> Column:
 
     Tags of the same name are dropped from the result, other tags stay.
     """
-    any_tag = rf"(?i)</?{tag}\b[^>]*>"
-    up_to_close = rf"(?is)^<[^>]*>(.*?)(?:</{tag}\s*>|\z)"
+    any_tag = rf"(?i)</?{tag}\b{_REST}>"
+    up_to_close = rf"(?is)^<{_REST}>(.*?)(?:</{tag}\s*>|\z)"
 
     def body(page: Column) -> Column:
         head = F.regexp_extract(page, up_to_close, 1)
@@ -204,28 +213,29 @@ def all_elements(page: Column | str, tag: str, opening: str) -> Column:
 def attributes(page: Column | str, opening: str, name: str) -> Column:
     """Value of one attribute for every matching opening tag that has it."""
     page = F.col(page) if isinstance(page, str) else page
-    pattern = rf"""(?i)\s{name}=(?:"([^"]*)"|'([^']*)')"""
+    pattern = (rf"""(?is)^<(?:[^>"']|"[^"]*"|'[^']*')*?\s{name}\s*=\s*"""
+               r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
     return F.transform(
         F.filter(F.regexp_extract_all(page, F.lit(opening), F.lit(0)),
                  lambda t: t.rlike(pattern)),
         lambda t: decode_references(
-            F.concat(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2))),
+            F.concat(*[F.regexp_extract(t, pattern, i) for i in (1, 2, 3)])),
     )
 
 
 def first_attribute(fragment: Column, tag: str, name: str) -> Column:
     """Attribute of the first ``tag`` that has it inside a fragment."""
-    return F.get(attributes(fragment, rf"(?i)<{tag}\b[^>]*>", name), F.lit(0))
+    return F.get(attributes(fragment, rf"(?i)<{tag}\b{_REST}>", name), F.lit(0))
 
 
 def labelled_values(page: Column | str, opening: str) -> Column:
     """(label, value) for every matching ``div``.
 
-    The label is the whole text of the ``div`` around it, or of the page when
-    there is none; the value is the text of the element itself.
+    The label is the whole text of the element around it, of whatever container
+    tag, or of the page when there is none; the value is its own text.
     """
     page = F.col(page) if isinstance(page, str) else page
-    any_div = r"(?i)</?div\b[^>]*>"
+    any_div = rf"(?i)</?(?:{_CONTAINERS})\b{_REST}>"
 
     def pairs(div: Column) -> Column:
         tags, gaps = div["tags"], div["gaps"]
@@ -250,3 +260,31 @@ def labelled_values(page: Column | str, opening: str) -> Column:
         F.regexp_extract_all(page, F.lit(any_div), F.lit(0)).alias("tags"),
         F.split(page, any_div, -1).alias("gaps"),
     ), pairs)
+
+
+def direct_texts(page: Column | str, opening: str) -> Column:
+    """Pieces of text that stand directly in the first matching element, not in a child of it."""
+    page = F.col(page) if isinstance(page, str) else page
+    any_tag = rf"(?is)</?[a-z]{_REST}>"
+    rest = F.nullif(F.regexp_extract(page, f"{opening}(?s)(.*)", 1), F.lit(""))
+
+    def pieces(inner: Column) -> Column:
+        tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(inner, F.lit(any_tag), F.lit(0)))
+        both = F.zip_with(tags, F.split(inner, any_tag, -1),
+                          lambda tag, gap: F.struct(tag.alias("tag"), gap.alias("gap")))
+
+        def step(s: Column, x: Column) -> Column:
+            tag = x["tag"]
+            alone = (tag == "") | tag.rlike(rf"(?i)^<(?:{_VOID})\b|/>$")
+            depth = s["depth"] + F.when(alone, 0).when(tag.startswith("</"), -1).otherwise(1)
+            over = s["over"] | (depth < 0)
+            return F.struct(
+                depth.alias("depth"), over.alias("over"),
+                F.when(~over & (depth == 0), F.concat(s["texts"], F.array(x["gap"])))
+                .otherwise(s["texts"]).alias("texts"))
+
+        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("over"),
+                         F.array().cast("array<string>").alias("texts"))
+        return F.aggregate(both, start, step, lambda s: s["texts"])
+
+    return bound(rest, pieces)

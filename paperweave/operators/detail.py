@@ -35,7 +35,7 @@ STYLE_SOURCE = "float:left;"
 TYPES = [("期刊", "J"), ("学位", "D"), ("会议", "C"), ("标准", "S"), ("科技报告", "R"), ("专利", "P")]
 OTHER_TYPE = "Z"
 
-_ANY_TABLE = r"(?i)<table\b[^>]*>"
+_ANY_TABLE = open_tag("table")
 
 
 def _all(*checks: Column) -> Column:
@@ -111,8 +111,8 @@ def extract_b(pages: DataFrame) -> DataFrame:
         *keep, heading.alias("_heading"), tables.alias("_tables"),
     ).select(
         *keep,
-        text_of(first_element("_heading", "h1", r"(?i)<h1\b[^>]*>")).alias("title"),
-        F.split(text_of(first_element("_heading", "strong", r"(?i)<strong\b[^>]*>")), NBSP * 2)
+        text_of(first_element("_heading", "h1", open_tag("h1"))).alias("title"),
+        F.split(text_of(first_element("_heading", "strong", open_tag("strong"))), NBSP * 2)
         .alias("_line"),
         F.replace(text_of(F.get("_tables", F.lit(0))), F.lit("\n"), F.lit("")).alias("_first"),
         F.replace(text_of(F.get("_tables", F.lit(1))), F.lit("\n"), F.lit("")).alias("_second"),
@@ -301,8 +301,8 @@ def heading_fields(pages: DataFrame) -> DataFrame:
     keep = _identity(pages)
     return pages.select(*keep, visible("html").alias("_doc")).select(
         *keep,
-        F.coalesce(text_of(first_element("_doc", "title", r"(?i)<title\b[^>]*>")), F.lit(""))
+        F.coalesce(text_of(first_element("_doc", "title", open_tag("title"))), F.lit(""))
         .alias("title"),
-        F.coalesce(text_of(first_element("_doc", "h1", r"(?i)<h1\b[^>]*>")), F.lit(""))
+        F.coalesce(text_of(first_element("_doc", "h1", open_tag("h1"))), F.lit(""))
         .alias("heading"),
     )

@@ -2,7 +2,9 @@
 
 The frontier is an append-only log of transitions ``(url, source, state, seq)``.
 The state of a link is that of its last transition, so leasing, finishing and
-recovering links only append rows and never rewrite a table.
+recovering links only append rows and never rewrite a table. ``seq`` orders the
+log: a number, or a struct of numbers. Whatever makes new rows asks for a ``seq``
+beyond those of the log; :func:`following` finds one.
 """
 
 from __future__ import annotations
@@ -38,12 +40,16 @@ def insert_ignore(links: DataFrame, frontier: DataFrame | None = None) -> DataFr
     return new.select(*links.columns)
 
 
-def transitions(links: DataFrame, state: int | Column, seq: Column | None = None) -> DataFrame:
+def transitions(links: DataFrame, state: int | Column, seq: Column) -> DataFrame:
     """Rows for the transition log."""
     state = F.lit(state) if isinstance(state, int) else state
-    return links.select(
-        "url", "source", state.cast("int").alias("state"),
-        (F.col("seq") if seq is None else seq).cast("bigint").alias("seq"))
+    return links.select("url", "source", state.cast("int").alias("state"), seq.alias("seq"))
+
+
+def following(log: DataFrame) -> Column:
+    """A number after all those of a log, or 0; reads one column."""
+    last = log.agg(F.max("seq")).first()[0]
+    return F.lit(0 if last is None else last + 1).cast("bigint")
 
 
 def current_state(log: DataFrame) -> DataFrame:
@@ -75,30 +81,30 @@ def pending(frontier: DataFrame, n: int = 20, mode_sources: list[str] | None = N
     )
 
 
-def lease(frontier: DataFrame, n: int = 20, next_seq: Column | None = None) -> DataFrame:
+def lease(frontier: DataFrame, seq: Column, n: int = 20) -> DataFrame:
     """Transitions that take the pending links in progress."""
-    return transitions(pending(frontier, n), IN_PROGRESS, next_seq)
+    return transitions(pending(frontier, n), IN_PROGRESS, seq)
 
 
-def mark(frontier: DataFrame, urls: DataFrame, state: int, next_seq: Column | None = None) -> DataFrame:
+def mark(frontier: DataFrame, urls: DataFrame, state: int, seq: Column) -> DataFrame:
     """Transitions to ``state`` for the links of the frontier among ``urls``."""
     named = urls.select("url").distinct()
-    return transitions(frontier.join(named, "url", "left_semi"), state, next_seq)
+    return transitions(frontier.join(named, "url", "left_semi"), state, seq)
 
 
-def complete(frontier: DataFrame, merged: DataFrame, next_seq: Column | None = None) -> DataFrame:
+def complete(frontier: DataFrame, merged: DataFrame, seq: Column) -> DataFrame:
     """Links whose record was inserted or merged are finished."""
-    return mark(frontier, merged.select(F.col("raw_url").alias("url")), FINISHED, next_seq)
+    return mark(frontier, merged.select(F.col("raw_url").alias("url")), FINISHED, seq)
 
 
-def invalidate(frontier: DataFrame, failed: DataFrame, next_seq: Column | None = None) -> DataFrame:
+def invalidate(frontier: DataFrame, failed: DataFrame, seq: Column) -> DataFrame:
     """Links whose page could not be fetched or parsed are invalid."""
-    return mark(frontier, failed, INVALID, next_seq)
+    return mark(frontier, failed, INVALID, seq)
 
 
-def recover(frontier: DataFrame, next_seq: Column | None = None) -> DataFrame:
+def recover(frontier: DataFrame, seq: Column) -> DataFrame:
     """Transitions that give leased but unfinished links back."""
-    return transitions(frontier.where(F.col("state") == IN_PROGRESS), INITIAL, next_seq)
+    return transitions(frontier.where(F.col("state") == IN_PROGRESS), INITIAL, seq)
 
 
 def recovered(frontier: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperweave.functions.clean import is_nonblank, percent_quote
 from paperweave.functions.html import (
-    all_elements, attributes, first_attribute, first_element, open_tag, text_of, visible,
+    all_elements, attributes, direct_texts, first_attribute, first_element, open_tag, text_of, visible,
 )
 from paperweave.schema import LAYOUT_OF_SITE
 
@@ -40,14 +40,14 @@ def hit_count(page: Column | str, layout: str) -> Column:
         shown = text_of(first_element(page, "span", open_tag("span", cls="page-sum")))
         digits = F.trim(F.substr(shown, F.lit(8), F.length(shown) - 8))
     elif layout == "B":
-        shown = text_of(first_element(page, "p", r"(?i)<p\b[^>]*>"))
+        shown = text_of(first_element(page, "p", open_tag("p")))
         line = F.get(F.split(shown, "\r\n"), F.lit(1))
         digits = F.trim(F.substring_index(
             F.get(F.split(line, '"recordcount":'), F.lit(1)), ",", 1))
     else:
-        bar = first_element(page, "div", open_tag("div", cls="left_sidebar_border"))
-        # the direct text pieces of the bar: a number counts only without point
-        pieces = F.filter(F.split(bar, r"<[^>]*>", -1), lambda s: s.contains("条结果"))
+        # a number counts only without point
+        pieces = F.filter(direct_texts(page, open_tag("div", cls="left_sidebar_border")),
+                          lambda s: s.contains("条结果"))
         numbers = F.transform(
             pieces, lambda s: F.regexp_extract(s, r"\p{Nd}+\.?\p{Nd}*", 0))
         digits = F.get(F.filter(numbers, lambda n: n.rlike(r"^\p{Nd}+$")), F.lit(0))
@@ -136,7 +136,7 @@ def _links_a(page: Column) -> Column:
 
 
 def _links_b(page: Column) -> Column:
-    cells = all_elements(page, "th", r"(?i)<th\b[^>]*>")
+    cells = all_elements(page, "th", open_tag("th"))
     paths = F.transform(cells, lambda b: first_attribute(b, "a", "href"))
     local = F.filter(paths, lambda p: ~(p.contains("http") & p.contains("www")))
     return F.transform(local, detail_url_b)
@@ -155,7 +155,7 @@ def _links_c(page: Column) -> Column:
 
 
 def _links_any(page: Column) -> Column:
-    return attributes(page, r"(?i)<a\b[^>]*>", "href")
+    return attributes(page, open_tag("a"), "href")
 
 
 _LINKS = {"A": _links_a, "B": _links_b, "C": _links_c, "any": _links_any}

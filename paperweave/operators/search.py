@@ -38,11 +38,11 @@ def search(records: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR, *
     return records.where(matches(**criteria) & year_in_range(first, last))
 
 
-def wrong_dates(frontier: DataFrame, records: DataFrame, first: int = FIRST_YEAR,
-                last: int = LAST_YEAR, next_seq: Column | None = None) -> DataFrame:
+def wrong_dates(frontier: DataFrame, records: DataFrame, seq: Column,
+                first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
     """Transitions for links whose record has a year outside the range.
 
     Records without a readable year are left alone.
     """
     outside = records.where(~year_in_range(first, last))
-    return mark(frontier, outside.select(F.col("raw_url").alias("url")), WRONG_DATE, next_seq)
+    return mark(frontier, outside.select(F.col("raw_url").alias("url")), WRONG_DATE, seq)

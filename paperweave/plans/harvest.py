@@ -18,19 +18,21 @@ from paperweave.schema import INITIAL
 from paperweave.session import materialise
 from paperweave.sources.tables import with_fetch_status
 
-# Arrival numbers of links stay below this; later events count from here on.
-_LATER = 1 << 60
-_PAGE_SHIFT = 20
 
+def number(run: int | Column, phase: int, page: Column | None = None, place: Column | None = None) -> Column:
+    """Place of a transition in the log: run, phase, list page, place on the page.
 
-def link_seq() -> Column:
-    """Arrival number of a link: its list page, then its place on the page."""
-    return F.shiftleft(F.col("page_id"), _PAGE_SHIFT) + F.col("position")
+    Compared part by part, so any page number is in order.
+    """
+    parts = {"run": F.lit(run) if isinstance(run, int) else run, "phase": F.lit(phase),
+             "page_id": F.lit(0) if page is None else page, "position": F.lit(0) if place is None else place}
+    return F.struct(*[c.cast("bigint").alias(n) for n, c in parts.items()])
 
 
-def links_of_sites(list_pages: DataFrame) -> DataFrame:
+def links_of_sites(list_pages: DataFrame, run: int = 0) -> DataFrame:
     """Links of all three layouts as ``(url, source, seq)``."""
-    return listing.extract_links(list_pages).select("url", "source", link_seq().alias("seq"))
+    return listing.extract_links(list_pages).select(
+        "url", "source", number(run, 0, F.col("page_id"), F.col("position")).alias("seq"))
 
 
 @dataclass
@@ -42,34 +44,43 @@ class Harvest:
 
 def harvest(list_pages: DataFrame, detail_pages: DataFrame, mode: str = "123",
             first_year: int = search.FIRST_YEAR, last_year: int = search.LAST_YEAR,
-            known: DataFrame | None = None, **merge_options) -> Harvest:
+            known: DataFrame | None = None, known_links: DataFrame | None = None,
+            collation: str | None = None) -> Harvest:
     """Run all stages and return the frontier, the records and the papers.
 
     Pages carry ``page_id url html source``; only pages whose url is in the
-    frontier count. ``known`` is an existing result to merge into. A record
-    outside the year range still enters the result; its link is marked.
+    frontier count. ``known`` is an existing result to merge into, whose rows
+    must have smaller numbers than the pages; ``known_links`` is the frontier of
+    an earlier run, which this one continues: its links are not new, and its
+    transitions come before those of this run. A record outside the year range
+    still enters the result; its link is marked.
     """
-    new = frontier.insert_ignore(links_of_sites(list_pages))
-    links = materialise(
-        frontier.transitions(new, INITIAL).withColumnRenamed("url", "raw_url"), "links")
-
-    fetched = with_fetch_status(detail_pages)
-    parsed = materialise(
-        detail.extract(fetched.where("fetched").drop("fetched"), mode), "parsed")
-    unusable = parsed.where(~F.col("ok")).select("url").unionByName(
-        fetched.where(~F.col("fetched")).select("url"))
-
-    kept = normalise_records(detail.records_of(parsed)).withColumnRenamed("page_id", "seq")
-    records = materialise(kept.join(links.select("raw_url"), "raw_url", "left_semi"), "records")
-    result = (merge.merge_records(records, **merge_options) if known is None
-              else merge.merge_into(known, records, **merge_options))
-
-    log = links.withColumnRenamed("raw_url", "url")
+    run = 0
+    if known_links is not None:
+        run = (known_links.agg(F.max("seq.run")).first()[0] or 0) + 1
+    new = frontier.insert_ignore(links_of_sites(list_pages, run), known_links)
+    fresh = frontier.transitions(new, INITIAL, F.col("seq"))
+    log = materialise(
+        fresh if known_links is None else known_links.select(*fresh.columns).unionByName(fresh), "links")
+
+    # one pass over the html, pages that could not be fetched included
+    parsed = materialise(detail.extract(with_fetch_status(detail_pages), mode), "parsed")
+    usable = F.col("ok") & F.col("fetched")
+    unusable = parsed.where(~usable).select("url")
+
+    kept = normalise_records(detail.records_of(parsed.where("fetched").drop("fetched"))) \
+        .withColumnRenamed("page_id", "seq")
+    listed = log.select(F.col("url").alias("raw_url")).distinct()
+    records = materialise(kept.join(listed, "raw_url", "left_semi"), "records")
+    result = (merge.merge_records(records, collation) if known is None
+              else merge.merge_into(known, records, collation))
+
+    links = log.select("url", "source").distinct()
     events = [
         log,
-        frontier.complete(log, records, F.lit(_LATER)),
-        frontier.invalidate(log, unusable, F.lit(_LATER + 1)),
-        search.wrong_dates(log, records, first_year, last_year, F.lit(_LATER + 2)),
+        frontier.complete(links, records, number(run, 1)),
+        frontier.invalidate(links, unusable, number(run, 2)),
+        search.wrong_dates(links, records, number(run, 3), first_year, last_year),
     ]
     states = frontier.current_state(reduce(DataFrame.unionByName, events))
     return Harvest(states, records, result)

@@ -15,7 +15,7 @@ from paperweave.functions import clean, numerals
 from paperweave.operators import detail, frontier, listing, merge, search
 from paperweave.plans import inputs as I
 from paperweave.plans import oracle as O
-from paperweave.plans.harvest import harvest, link_seq, links_of_sites
+from paperweave.plans.harvest import harvest, links_of_sites
 from paperweave.schema import PAGE_SCHEMA, RECORD_FIELDS, RECORD_SCHEMA, TRANSITION_SCHEMA
 from paperweave.session import materialise, shared_folder
 from paperweave.sources.tables import (
@@ -208,6 +208,11 @@ def lst7(spark, sf_dir):
 
 # -------------------------------------------------------------------- frontier
 
+def link_seq():
+    """A number for the links of the given pages, which have fewer than 2 ** 20 links each."""
+    return F.col("page_id") * 1048576 + F.col("position")
+
+
 def _numbered_links(spark, sf_dir):
     links = listing.extract_links(I.link_pages(spark, sf_dir, "A"), "A")
     return links.select("url", link_seq().alias("seq"), F.lit("Cnki").alias("source"))
@@ -245,10 +250,37 @@ def frt2(spark, sf_dir):
         "url", "source", "state", "seq", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("frt3_lease", f"""{_PENDING} SELECT url, source, CAST(10 AS INTEGER) AS state, seq
+_NEXT = "(SELECT max(seq) + 1 FROM transitions)"
+
+
+@query("frt3_lease", f"""{_PENDING} SELECT url, source, CAST(10 AS INTEGER) AS state, {_NEXT} AS seq
   FROM ranked WHERE rank <= 20""")
 def frt3(spark, sf_dir):
-    return frontier.lease(_frontier(spark, sf_dir), 20)
+    log = I.transitions(spark, sf_dir)
+    return frontier.lease(frontier.current_state(log), frontier.following(log), 20)
+
+
+def _late_log(spark, sf_dir):
+    """The log with numbers as large as hashes."""
+    return I.transitions(spark, sf_dir).withColumn("seq", F.col("seq") + F.lit(1 << 61))
+
+
+@query("frt3_lease_fold", f"""{_PENDING}, leased AS (SELECT url FROM ranked WHERE rank <= 20)
+  SELECT url, source, CAST(CASE WHEN url IN (FROM leased) THEN 10 ELSE state END AS INTEGER) AS state,
+    CASE WHEN url IN (FROM leased) THEN {_NEXT} ELSE seq END + {1 << 61} AS seq FROM frontier""")
+def frt3_fold(spark, sf_dir):
+    log = _late_log(spark, sf_dir)
+    taken = frontier.lease(frontier.current_state(log), frontier.following(log), 20)
+    return frontier.current_state(log.unionByName(taken))
+
+
+@query("frt6_recover_fold", f"""WITH {O.TRANSITIONS}
+  SELECT url, source, CAST(CASE WHEN state = 10 THEN 0 ELSE state END AS INTEGER) AS state,
+    CASE WHEN state = 10 THEN {_NEXT} ELSE seq END + {1 << 61} AS seq FROM frontier""")
+def frt6_fold(spark, sf_dir):
+    log = _late_log(spark, sf_dir)
+    back = frontier.recover(frontier.current_state(log), frontier.following(log))
+    return frontier.current_state(log.unionByName(back))
 
 
 _MARKED = f"""WITH {O.HARVEST},
@@ -268,7 +300,7 @@ def _parsed(spark, sf_dir):
   SELECT url, site AS source, CAST(20 AS INTEGER) AS state FROM frontier WHERE ok""")
 def frt4(spark, sf_dir):
     records = clean.normalise_records(detail.records_of(_parsed(spark, sf_dir)[1]))
-    return frontier.complete(_listed(spark, sf_dir), records).drop("seq")
+    return frontier.complete(_listed(spark, sf_dir), records, F.lit(1)).drop("seq")
 
 
 @query("frt5_invalidate", f"""{_MARKED}
@@ -277,7 +309,7 @@ def frt5(spark, sf_dir):
     fetched, parsed = _parsed(spark, sf_dir)
     unusable = parsed.where(~F.col("ok")).select("url").unionByName(
         fetched.where(~F.col("fetched")).select("url"))
-    return frontier.invalidate(_listed(spark, sf_dir), unusable).drop("seq")
+    return frontier.invalidate(_listed(spark, sf_dir), unusable, F.lit(1)).drop("seq")
 
 
 @query("frt6_recover", f"""WITH {O.TRANSITIONS}
@@ -634,7 +666,7 @@ def sea2(spark, sf_dir):
   WHERE year <> '' AND CAST(year AS INTEGER) NOT BETWEEN 1995 AND 1998""")
 def sea3(spark, sf_dir):
     records = clean.normalise_records(detail.records_of(_parsed(spark, sf_dir)[1]))
-    return search.wrong_dates(_listed(spark, sf_dir), records, 1995, 1998).drop("seq")
+    return search.wrong_dates(_listed(spark, sf_dir), records, F.lit(1), 1995, 1998).drop("seq")
 
 
 # ------------------------------------------------------------------- streaming
@@ -729,7 +761,8 @@ def str5(spark, sf_dir):
 def str6(spark, sf_dir):
     sink = stream.ProgressSink(spark, shared_folder(spark, "progress"))
     _in_two_runs(spark, I.transitions(spark, sf_dir), TRANSITION_SCHEMA, sink)
-    return stream.recovered_counts(sink.counts())
+    sink.recover()
+    return sink.counts()
 
 
 # --------------------------------------------------------------- the whole run

@@ -49,14 +49,6 @@ TRANSITION_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
-FRONTIER_SCHEMA = T.StructType([
-    T.StructField("seq", T.LongType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("state", T.IntegerType()),
-    T.StructField("datetime", T.TimestampType()),
-    T.StructField("source", T.StringType()),
-])
-
 RECORD_SCHEMA = T.StructType(
     [T.StructField("seq", T.LongType())]
     + [T.StructField(name, T.StringType()) for name in RECORD_FIELDS]
