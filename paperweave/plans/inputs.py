@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 
 from paperweave.functions.clean import normalise_records
 from paperweave.functions.html import settled
-from paperweave.operators.detail import (
-    STYLE_ABSTRACT, STYLE_AUTHORS, STYLE_INFO, STYLE_SOURCE, STYLE_TITLE,
-)
 from paperweave.schema import LAYOUT_OF_SITE, SITES, with_record_defaults
 from paperweave.session import spread
 
+# Style attributes of layout A, written out so that a wrong one in the readers shows.
+STYLE_TITLE = ("text-align:center; width:740px; font-size: 28px;color: #0000a0; "
+               "font-weight:bold; font-family:'宋体';")
+STYLE_AUTHORS = "text-align:center; width:740px; height:30px;"
+STYLE_ABSTRACT = "text-align:left;word-break:break-all"
+STYLE_INFO = "text-align:left;"
+STYLE_SOURCE = "float:left;"
+
 NUMBERS = ["一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二"]
 _DECOY = ("<!-- <div style=\"float:left;\">《no》1年</div> <th><a href='no'></a></th> -->"
           "<script>var t=\"<div style='float:left;'>《no》</div></p>\";</script>"
@@ -98,9 +103,9 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First result page of every search in all three layouts."""
     heads = {
-        "A": "<span class=\"page-sum\">找到相关结果约{total}条</span>",
+        "A": "<span title='a > b' class = page-sum>找到相关结果约{total}条</span>",
         "B": "<p>data\r\n {\"pages\":3,\"recordcount\": {total},\"x\":2}\r\n</p><p>2</p>",
-        "C": "<div class=\"left_sidebar_border\"><b>9条</b>共{total}条结果<i>1</i></div>",
+        "C": "<div class=left_sidebar_border><b>9条结果</b><div>8条结果</div>共{total}条结果<i>1</i></div>",
     }
     base = hits(spark, sf_dir)
     pages = F.array(*[
@@ -167,11 +172,11 @@ def _html_b() -> Column:
 TYPE_NAMES = ["期刊", "学位", "会议", "标准", "科技报告", "专利", "其他"]
 
 
-def _row_c(label: str, value: Column | str) -> Column:
+def _row_c(label: str, value: Column | str, tag: str = "div") -> Column:
     value = fill(value) if isinstance(value, str) else value
     return F.concat(
-        F.lit(f"<div class=\"row\"><span class=\"info_left\">{label}</span><div class=\"info_right\">"),
-        value, F.lit("</div></div>"))
+        F.lit(f"<{tag} class=row><span class=\"info_left\">{label}</span><div class = info_right>"),
+        value, F.lit(f"</div></{tag}>"))
 
 
 def _html_c() -> Column:
@@ -180,7 +185,7 @@ def _html_c() -> Column:
     crumbs = F.when(k % 11 == 5, "<div>no</div>").otherwise(fill(
         "<div class=\"crumbs\">首页 &gt; {name}</div>", name=pick(TYPE_NAMES, kind)))
     authors = (
-        F.when(kind == 0, fill("<input class=\"dw\" value=\"Li {c}\"/><input class='dw' value='Wang'>"))
+        F.when(kind == 0, fill("<input class=\"dw\" value=\"Li {c}\"/><input title='x > y' value = Wang class=dw>"))
         .when(kind == 1, fill("<a href=\"#\" id=\"card01\"><b>Li</b> {c}</a>"))
         .when(kind == 2, fill("<a class=\"info_right_name\">Li {c}</a><a class=\"info_right_name\">Zhao</a>"))
         .otherwise("<a>none</a>"))
@@ -196,7 +201,7 @@ def _html_c() -> Column:
         .when(kind == 2, _row_c("会议名称：", fill("\nConf {s}\n", s=c % 6)))
         .otherwise(""))
     rows = F.concat(
-        _row_c("doi：", "10.1/{k}"),
+        F.lit("<ul>"), _row_c("doi：", "10.1/{k}", "li"), _row_c("备注：", "1-2", "li"), F.lit("</ul>"),
         F.when(k % 4 == 0, _row_c("doi：", "10.2/{k}")).otherwise(""),
         _row_c("关键词：", fill("\n\nkw{w}\n\nk2\n", w=c % 5)),
         _row_c("作者单位：", fill("\nUnit {u}\nDept\n", u=c % 7)),
@@ -244,11 +249,13 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _link(layout: str) -> Column:
     """One entry of a result page."""
     if layout == "A":
-        return fill("<div class=\"wz_content\"><h3><a target='_blank' href=\"{url_a}\">{title}</a></h3>"
-                    "<a href='other'>x</a></div>")
+        return F.when(F.col("k") % 2 == 0, fill(
+            "<div class = wz_content><h3><a title='a > b' target=_blank href = {url_a}>{title}</a></h3></div>")
+        ).otherwise(fill("<div class=\"wz_content\"><h3><a target='_blank' href=\"{url_a}\">{title}</a></h3>"
+                         "<a href='other'>x</a></div>"))
     if layout == "B":
-        return fill("<th><a href='QK\\/{k}\".html'>{title}</a></th>")
-    return fill("<i class=\"icon icon_Miner\" onclick=\"show(this,'{k}','perio')\"></i>")
+        return fill("<th title=\"1 > 0\"><a href = 'QK\\/{k}\".html'>{title}</a></th>")
+    return fill("<i title='>' class = \"icon icon_Miner\" onclick = \"show(this,'{k}','perio')\"></i>")
 
 
 def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
