@@ -1,7 +1,8 @@
 """Numbers written in Chinese characters, as native higher-order expressions.
 
 All unit characters are powers of ten, so the running unit of a number is kept
-as an exponent. Sums use a 38-digit decimal; a run beyond that stays as text.
+as an exponent. Runs that must stay below 10 ** 18 are added up as whole
+numbers, all others digit by digit as text, so that no run is too long.
 """
 
 from __future__ import annotations
@@ -42,19 +43,24 @@ def _zero() -> Column:
     return F.lit(0).cast(_DECIMAL)
 
 
-def compat_number(c: Column) -> Column:
-    """Value of a run, with the quirks kept for parity.
+def _characters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda ch: ch != "")
 
-    Characters are read from the right. A unit that is larger than the running
-    one replaces it, any other multiplies it; digits are added at the running
-    unit. A unit in first place stands for itself only when it replaces. So
-    十万 is 0 and 二零一八 is 11.
-    """
+
+def _narrow(c: Column) -> Column:
+    """The units of the run together are below 10 ** 18."""
+    exponents = sum(
+        ((F.length(c) - F.length(F.translate(c, unit, ""))) * k for unit, k in UNITS.items()), F.lit(0))
+    return ((F.length(c) <= 6) & ~c.rlike("[万亿]")) | (exponents < 17)
+
+
+def _read(c: Column, start: Column, add) -> tuple[Column, Column]:
+    """State ``(total, power)`` after the characters from the right, and the unit in first place."""
     def step(state: Column, ch: Column) -> Column:
         unit = _lookup(UNITS, ch)
         power = F.when(unit > state["power"], unit).otherwise(state["power"] + unit)
         return F.struct(
-            F.when(unit.isNull(), _plus(state["total"], _lookup(DIGITS, ch), state["power"]))
+            F.when(unit.isNull(), add(state["total"], _lookup(DIGITS, ch), state["power"]))
             .otherwise(state["total"]).alias("total"),
             F.coalesce(power, state["power"]).alias("power"),
         )
@@ -62,12 +68,54 @@ def compat_number(c: Column) -> Column:
     lead = _lookup(UNITS, F.left(c, F.lit(1)))
     body = F.when(lead.isNotNull(), F.substr(c, F.lit(2))).otherwise(c)
     return F.aggregate(
-        F.filter(F.split(F.reverse(body), ""), lambda ch: ch != ""),
-        F.struct(_zero().alias("total"), F.lit(0).alias("power")),
-        step,
-        lambda s: F.when(lead > s["power"], _plus(s["total"], F.lit(1), lead))
-        .otherwise(s["total"]),
-    )
+        _characters(F.reverse(body)), F.struct(start.alias("total"), F.lit(0).alias("power")), step,
+        lambda s: F.when(lead > s["power"], add(s["total"], F.lit(1), lead)).otherwise(s["total"])), lead
+
+
+def _whole_number(c: Column) -> Column:
+    powers = F.array(*[F.lit(10 ** k).cast("bigint") for k in range(18)])
+    add = lambda total, digit, power: total + digit * F.get(powers, power)
+    return _read(c, F.lit(0).cast("bigint"), add)[0]
+
+
+def _digit_text(c: Column) -> Column:
+    """The same sum in writing: digits at each power, then carried from the right."""
+    none = F.array().cast("array<struct<digit:int,power:int>>")
+    add = lambda terms, digit, power: F.concat(terms, F.array(F.struct(
+        digit.cast("int").alias("digit"), power.cast("int").alias("power"))))
+
+    def written(terms: Column) -> Column:
+        last = F.array_max(F.transform(terms, lambda t: t["power"])) + F.length(F.size(terms).cast("string")) + 1
+
+        def step(s: Column, power: Column) -> Column:
+            here = s["carry"] + F.aggregate(
+                terms, F.lit(0), lambda n, t: n + F.when(t["power"] == power, t["digit"]).otherwise(0))
+            return F.struct((F.floor(here / 10)).cast("int").alias("carry"),
+                            F.concat(F.pmod(here, F.lit(10)).cast("string"), s["text"]).alias("text"))
+
+        digits = F.aggregate(
+            F.sequence(F.lit(0), F.coalesce(last, F.lit(0))),
+            F.struct(F.lit(0).alias("carry"), F.lit("").alias("text")), step, lambda s: s["text"])
+        plain = F.regexp_replace(digits, "^0+", "")
+        return F.when(plain == "", "0").otherwise(plain)
+
+    return bound(_read(c, none, add)[0], written)
+
+
+def compat_text(c: Column) -> Column:
+    """Digits of a run, with the quirks kept for parity.
+
+    Characters are read from the right. A unit that is larger than the running
+    one replaces it, any other multiplies it; digits are added at the running
+    unit. A unit in first place stands for itself only when it replaces. So
+    十万 is 0 and 二零一八 is 11.
+    """
+    return F.when(_narrow(c), _whole_number(c).cast("string")).otherwise(_digit_text(c))
+
+
+def compat_number(c: Column) -> Column:
+    """The same as a number of up to 38 digits; NULL beyond."""
+    return F.when(_narrow(c), _whole_number(c).cast(_DECIMAL)).otherwise(_digit_text(c).try_cast(_DECIMAL))
 
 
 def strict_number(c: Column) -> Column:
@@ -101,9 +149,8 @@ def strict_number(c: Column) -> Column:
 
 
 def number_text(c: Column, strict: bool = False) -> Column:
-    """The run as decimal digits; unchanged when it exceeds 38 digits."""
-    value = strict_number(c) if strict else compat_number(c)
-    return F.coalesce(value.cast("string"), c)
+    """The run as decimal digits. The strict rules leave one beyond 38 digits as it is."""
+    return F.coalesce(strict_number(c).cast("string"), c) if strict else compat_text(c)
 
 
 def replace_numbers(c: Column | str, strict: bool = False) -> Column:

@@ -31,7 +31,8 @@ def test_number_quirks(spark):
 
 def test_numbers_in_text(spark):
     cases = {"第十三期": "第13期", "零五": "零5", "百家": "百家", "": "", "a五十b二十c": "a50b20c",
-             "无数": "无数", "九" + "亿" * 5: "九" + "亿" * 5}
+             "无数": "无数", "九" + "亿" * 5: "9" + "0" * 40, "九亿九" + "亿" * 5: "9" + "0" * 7 + "9" + "0" * 40,
+             "九九" + "亿" * 6: "18" + "0" * 48}
     assert column(spark, cases, numerals.replace_numbers) == list(cases.values())
 
 
