@@ -82,8 +82,8 @@ def src2(spark, sf_dir):
 def src3(spark, sf_dir):
     table = ResultTable(spark, shared_folder(spark, "result"))
     first, second = _halves(_records(spark, sf_dir))
-    table.replace(merge.merge_into(table.read(), first))
-    table.replace(merge.merge_into(table.read(), second))
+    table.merge(first, merge.merge_into)
+    table.merge(second, merge.merge_into)
     return table.read()
 
 

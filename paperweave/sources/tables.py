@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,37 +46,64 @@ class TransitionLog:
         rows.select(*TRANSITION_SCHEMA.names).write.mode("append").parquet(self.path)
 
 
-_COMMIT = T.StructType([T.StructField("version", T.LongType())])
+_COMMIT = T.StructType([
+    T.StructField("version", T.LongType()), T.StructField("bucket", T.IntegerType()),
+    T.StructField("filled", T.BooleanType())])
 
 
 class ResultTable:
-    """Result rows as numbered snapshots.
+    """Result rows in buckets by title, each with numbered versions.
 
-    A snapshot goes to a folder of its own and becomes visible by one appended
-    commit row, so readers never see a half-written table and a run that dies
-    on the way leaves the old one in place.
+    Records meet only rows of their title, so a merge reads and writes the
+    buckets of its titles and leaves all others as they are. A version becomes
+    visible by one appended commit, so readers never see a half-written table
+    and a run that dies on the way leaves the old one in place. One writer at a
+    time; folders of old versions stay until they are removed from outside.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def version(self) -> int:
-        """Number of the current snapshot; 0 when none was written yet."""
-        commits = read_or_empty(self.spark, f"{self.path}/commits", _COMMIT)
-        return commits.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("title"), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def read(self) -> DataFrame:
-        version = self.version()
-        if version == 0:
+    def _commits(self) -> DataFrame:
+        return read_or_empty(self.spark, f"{self.path}/commits", _COMMIT)
+
+    def version(self) -> int:
+        """Number of the last version; 0 when none was written yet."""
+        return self._commits().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+    def current(self) -> dict[int, int]:
+        """Version of every bucket that has rows; at most as many as there are buckets."""
+        last = self._commits().groupBy("bucket").agg(F.max(F.struct("version", "filled")).alias("last"))
+        return {r["bucket"]: r["last"]["version"] for r in last.collect() if r["last"]["filled"]}
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets."""
+        paths = [f"{self.path}/rows/version={version}/bucket={bucket}"
+                 for bucket, version in sorted(self.current().items()) if buckets is None or bucket in buckets]
+        if not paths:
             return self.spark.createDataFrame([], RESULT_SCHEMA)
-        return self.spark.read.schema(RESULT_SCHEMA).parquet(
-            f"{self.path}/snapshots/{version:010d}")
+        return self.spark.read.schema(RESULT_SCHEMA).parquet(*paths)
 
     def replace(self, rows: DataFrame) -> int:
-        """Write ``rows`` as the next snapshot; they may be read from this table."""
+        """Write ``rows`` as the whole table; they may be read from it."""
+        return self._write(rows, list(range(self.buckets)))
+
+    def merge(self, records: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        """Write ``merge(rows, records)`` over the buckets of the records' titles."""
+        touched = [r["bucket"] for r in records.select(self._bucket()).distinct().collect()]
+        return self._write(merge(self.read(touched), records), touched)
+
+    def _write(self, rows: DataFrame, buckets: list[int]) -> int:
         version = self.version() + 1
-        rows.select(*RESULT_SCHEMA.names).write.mode("overwrite").parquet(
-            f"{self.path}/snapshots/{version:010d}")
-        self.spark.createDataFrame([(version,)], _COMMIT).coalesce(1).write.mode(
-            "append").parquet(f"{self.path}/commits")
+        folder = f"{self.path}/rows/version={version}"
+        rows.select(*RESULT_SCHEMA.names, self._bucket()).hint("rebalance", "bucket") \
+            .write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        schema = T.StructType([*RESULT_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
+        written = {r["bucket"] for r in self.spark.read.schema(schema).parquet(folder)
+                   .select("bucket").distinct().collect()}
+        self.spark.createDataFrame([(version, b, b in written) for b in sorted(buckets)], _COMMIT).coalesce(1) \
+            .write.mode("append").parquet(f"{self.path}/commits")
         return version

@@ -88,6 +88,19 @@ def test_result_table(spark):
     assert collected(table.read()) == one_by_one(records)
 
 
+def test_merge_touches_buckets_of_its_titles(spark):
+    records = some_records(90, 12, titles=("T", "U", "V", "W"))
+    table = ResultTable(spark, shared_folder(spark, "result"), buckets=8)
+    table.merge(frame(spark, records[:60]), merge.merge_into)
+    before = table.current()
+    only = [r for r in records[60:] if r["title"] == "T"]
+    table.merge(frame(spark, only), merge.merge_into)
+    changed = {b for b, v in table.current().items() if v != before.get(b)}
+    assert len(changed) == 1 and len(before) > 1
+    assert collected(table.read()) == one_by_one(records[:60] + only)
+
+
+
 class Recorder:
     """Stands for a reader or writer and keeps the options it is given."""
 
