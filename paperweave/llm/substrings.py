@@ -20,8 +20,8 @@ words; edges that start in several documents are the repeated part of the graph.
 Edges are compared by 64-bit hashes, runs by 88 bits. No text is compared by
 prefix, no count is capped, and what a task holds is bounded by one text.
 
-Defined cases: null and empty texts have no words; texts shorter than a window
-lose nothing; a passage repeated inside one document only stays; of several
+Defined cases: null and empty texts have no words and stay as they are; texts
+shorter than a window lose nothing; a passage repeated inside one document only stays; of several
 rows with one id, none counts as a repetition of the others; very long texts
 stay whole; other columns are carried along, whatever their names.
 """
@@ -137,7 +137,8 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch["row"], pa.array(np.diff(words.first)),
              pa.array(removed[words.first[1:]] - removed[words.first[:-1]]),
-             batch["spans"], pa.array([x.decode("utf-8", "replace") for x in texts], pa.string()),
+             batch["spans"], pa.array([own if whole else x.decode("utf-8", "replace") for own, whole, x in zip(
+                 batch["text"].to_pylist(), removed[words.first[1:]] == removed[words.first[:-1]], texts)], pa.string()),
              pa.array([hashlib.sha256(x).hexdigest() for x in texts])],
             ["row", "n_words", "n_removed", "spans", "kept", "kept_sha256"])
 
@@ -210,9 +211,10 @@ def repeated_spans(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with ``text`` reduced to its kept words, plus ``n_words``, ``n_removed``,
-    ``spans`` (``at, length, source, source_at``) and ``kept_sha256``, which replace columns of
-    those names."""
+    """The documents with ``text`` reduced to its kept words, joined by one blank, or as it is
+    where nothing is removed, plus ``n_words``, ``n_removed``, ``spans`` (``at, length, source,
+    source_at``) and ``kept_sha256`` (of the kept words, joined), which replace columns of those
+    names."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     named = docs.select(F.struct(*others).alias("row"), F.col(id).alias("id"), F.col(text).alias("text"))
     runs = shared_runs(named.where("id IS NOT NULL"))

@@ -20,7 +20,7 @@ def plain(spark, docs, sf_dir):
             first.setdefault(tuple(words[i][p:p + 13]), i)
     for i, w in words.items():
         gone = {q for p in range(len(w) - 12) if first[tuple(w[p:p + 13])] < i for q in range(p, p + 13)}
-        out[i] = " ".join(x for p, x in enumerate(w) if p not in gone)
+        out[i] = " ".join(x for p, x in enumerate(w) if p not in gone) if gone else texts[i]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     return {i: t for i, t in out.items() if not brute.contamination([(i, t)], items)[i][-1]}
 
