@@ -681,11 +681,45 @@ def _checkpoint(spark):
     return shared_folder(spark, "stream-checkpoint")
 
 
+def _in_parts(spark, rows, schema, start, order="seq", parts=4) -> None:
+    """Feed the rows in so many parts by ``order``; after each the stream stops and is started
+    again from its checkpoint."""
+    inbox, checkpoint = shared_folder(spark, "inbox"), _checkpoint(spark)
+    last = rows.agg(F.max(order)).first()[0] or 0
+    part = F.least(F.floor(F.col(order) * parts / (last + 1)), F.lit(parts - 1))
+    for k in range(parts):
+        rows.where(part == k).select(*schema.names).write.mode("append").parquet(inbox)
+        _run(start, stream.stream_table(spark, inbox, schema), checkpoint)
+
+
+def _pages_in_parts(spark, sf_dir, start) -> None:
+    _in_parts(spark, read_pages(spark, f"{sf_dir}/pages.parquet"), PAGE_SCHEMA, start, "page_id")
+
+
+@query("str1_leased_intake", """WITH
+  links AS (SELECT page_id, url, page_id % 3 AS s,
+      least(CAST(floor(page_id * 4 / ((SELECT max(page_id) FROM pages) + 1)) AS INTEGER), 3) AS part FROM pages),
+  a AS (SELECT s, count(*) FILTER (WHERE part = 0) AS a0, count(*) FILTER (WHERE part = 1) AS a1,
+      count(*) FILTER (WHERE part = 2) AS a2, count(*) FILTER (WHERE part = 3) AS a3 FROM links GROUP BY s),
+  l0 AS (SELECT *, least(20, a0) AS n0 FROM a),
+  l1 AS (SELECT *, least(20, a0 + a1 - n0) AS n1 FROM l0),
+  l2 AS (SELECT *, least(20, a0 + a1 + a2 - n0 - n1) AS n2 FROM l1),
+  l3 AS (SELECT *, least(20, a0 + a1 + a2 + a3 - n0 - n1 - n2) AS n3 FROM l2),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY page_id) AS rank FROM links)
+  SELECT page_id, url FROM ranked JOIN l3 USING (s) WHERE rank <= n0 + n1 + n2 + n3""")
+def str1_leased(spark, sf_dir):
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet")
+    links = pages.select("url", F.concat(F.lit("site"), F.col("page_id") % 3).alias("source"),
+                         F.col("page_id").alias("seq"))
+    sink = stream.LeasedIntake(spark, shared_folder(spark, "intake"), pages)
+    _in_parts(spark, links, links.schema, sink.start)
+    return sink.pages().select("page_id", "url")
+
+
 @query("str1_paced_intake", "SELECT page_id, url, html FROM pages")
 def str1(spark, sf_dir):
     out = shared_folder(spark, "intake")
-    pages = stream.stream_table(spark, f"{sf_dir}/page[s].parquet", files_per_batch=20)
-    _run(stream.append_stream, pages, out, _checkpoint(spark))
+    _pages_in_parts(spark, sf_dir, lambda pages, check, pace: stream.append_stream(pages, out, check, pace))
     return spark.read.schema(PAGE_SCHEMA).parquet(out)
 
 
@@ -696,10 +730,9 @@ def str1(spark, sf_dir):
   SELECT DISTINCT {O.plain('url')} AS url FROM found""")
 def str2(spark, sf_dir):
     out = shared_folder(spark, "links")
-    pages = stream.stream_table(spark, f"{sf_dir}/page[s].parquet", files_per_batch=20)
-    links = stream.distinct_links(pages, "any").select("url")
-    _run(stream.append_stream, links, out, _checkpoint(spark))
-    return spark.read.schema(links.schema).parquet(out)
+    _pages_in_parts(spark, sf_dir, lambda pages, check, pace: stream.append_stream(
+        stream.distinct_links(pages, "any").select("url"), out, check, pace))
+    return spark.read.schema("url string").parquet(out)
 
 
 @query("str2_first_arrivals", f"""WITH found AS (
@@ -711,9 +744,8 @@ def str2(spark, sf_dir):
   SELECT url, min(seq) AS seq FROM numbered GROUP BY url""")
 def str2_first(spark, sf_dir):
     sink = stream.LinkSink(spark, shared_folder(spark, "frontier"))
-    pages = stream.stream_table(spark, f"{sf_dir}/page[s].parquet", files_per_batch=20)
-    links = listing.extract_links(pages, "any").select("url", link_seq().alias("seq"))
-    _run(sink.start, links, _checkpoint(spark))
+    _pages_in_parts(spark, sf_dir, lambda pages, check, pace: sink.start(
+        listing.extract_links(pages, "any").select("url", link_seq().alias("seq")), check, pace))
     return sink.links()
 
 
@@ -732,18 +764,10 @@ def str3(spark, sf_dir):
     return good.unionByName(bad)
 
 
-def _in_two_runs(spark, rows, schema, sink) -> None:
-    """Feed the first half, stop, feed the second half, go on from the checkpoint."""
-    inbox, checkpoint = shared_folder(spark, "inbox"), _checkpoint(spark)
-    for part in _halves(rows):
-        part.select(*schema.names).write.mode("append").parquet(inbox)
-        _run(sink.start, stream.stream_table(spark, inbox, schema), checkpoint)
-
-
 @query("str4_merge", f"WITH {O.RECORDS}, {O.MERGE} SELECT {O.MERGED_COLUMNS} FROM merged")
 def str4(spark, sf_dir):
     sink = stream.MergeSink(spark, shared_folder(spark, "merge"))
-    _in_two_runs(spark, _records(spark, sf_dir), RECORD_SCHEMA, sink)
+    _in_parts(spark, _records(spark, sf_dir), RECORD_SCHEMA, sink.start)
     return sink.result()
 
 
@@ -751,7 +775,7 @@ def str4(spark, sf_dir):
   SELECT source, state, count(*) AS n FROM frontier GROUP BY source, state""")
 def str5(spark, sf_dir):
     sink = stream.ProgressSink(spark, shared_folder(spark, "progress"))
-    _in_two_runs(spark, I.transitions(spark, sf_dir), TRANSITION_SCHEMA, sink)
+    _in_parts(spark, I.transitions(spark, sf_dir), TRANSITION_SCHEMA, sink.start)
     return sink.counts()
 
 
@@ -760,7 +784,7 @@ def str5(spark, sf_dir):
     count(*) AS n FROM frontier GROUP BY ALL""")
 def str6(spark, sf_dir):
     sink = stream.ProgressSink(spark, shared_folder(spark, "progress"))
-    _in_two_runs(spark, I.transitions(spark, sf_dir), TRANSITION_SCHEMA, sink)
+    _in_parts(spark, I.transitions(spark, sf_dir), TRANSITION_SCHEMA, sink.start)
     sink.recover()
     return sink.counts()
 

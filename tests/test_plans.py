@@ -45,3 +45,21 @@ def test_merge_never_compares_all_pairs(spark):
         plan = plan_of(df)
         assert "NestedLoop" not in plan and "Cartesian" not in plan
         assert "Window" not in plan and "Python" not in plan
+
+
+def test_a_later_run_goes_on_with_the_frontier(spark):
+    from paperweave.plans.harvest import harvest, links_of_sites, number
+
+    def listed(page, *urls):
+        blocks = "".join(f"<div class=wz_content><a href={u}>t</a></div>" for u in urls)
+        return (page, f"http://list/{page}", blocks, "Cnki")
+    schema = "page_id long, url string, html string, source string"
+    first = spark.createDataFrame([listed(1 << 45, "http://www.cnki.x/a", "http://www.cnki.x/b")], schema)
+    gone = spark.createDataFrame([(5, "http://www.cnki.x/a", None, "Cnki"), (6, "http://w.x/c", None, "Wanfang")], schema)
+    one = harvest(first, gone, mode="1")
+    assert {(r["url"][-1], r["state"]) for r in one.frontier.collect()} == {("a", -15), ("b", 0)}
+    second = spark.createDataFrame([listed(1, "http://www.cnki.x/b", "http://www.cnki.x/d")], schema)
+    lost = spark.createDataFrame([(7, "http://www.cnki.x/b", " ", "Cnki")], schema)
+    two = harvest(second, lost, mode="1", known_links=one.frontier)
+    assert {(r["url"][-1], r["state"]) for r in two.frontier.collect()} == {("a", -15), ("b", -15), ("d", 0)}
+    assert links_of_sites(second).count() == 2 and str(number(0, 1)) != ""

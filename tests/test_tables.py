@@ -209,3 +209,16 @@ def test_streaming_first_arrivals(spark):
         sink.start(stream.stream_table(spark, inbox, links.schema, 1), check, pace=None).awaitTermination()
     assert sorted(tuple(r) for r in sink.links().collect()) == [
         ("a", 0), ("b", 1), ("c", 3), ("d", 6), ("e", 8)]
+
+
+def test_intake_is_paced_by_links(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "<p>") for i in range(12)], PAGE_SCHEMA)
+    sink = stream.LeasedIntake(spark, shared_folder(spark, "intake"), pages, n=2)
+    links = spark.createDataFrame(
+        [(f"u{i}", "S" if i % 3 else "R", i) for i in range(12)], "url string, source string, seq long")
+    sink.take(links.where("seq < 8"), 0)
+    sink.take(links.where("seq >= 4"), 1)
+    sink.take(links.where("seq >= 4"), 1)  # run again after a failure
+    got = {(r["url"], r["source"]) for r in sink.pages().collect()}
+    assert got == {(f"u{i}", "S") for i in (1, 2, 4, 5)} | {(f"u{i}", "R") for i in (0, 3, 6, 9)}
+    assert sink.pages().count() == 8
