@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperweave.llm import (
     contamination, language, main_text, minhash, mixing, packing, quality, substrings, urls, warc,
 )
-from paperweave.llm.shared import table
+from paperweave.llm.shared import stored, table
 from paperweave.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,7 +166,8 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     folder = shared_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    captures = warc.assembled(warc.read_archives(spark, folder, payload=False))
+    # The archives are read once; their records without payloads are a small table.
+    captures = warc.assembled(stored(warc.read_archives(spark, folder, payload=False), "records"))
     page = lambda fields: F.col(fields)["page-id"].cast("long")
     return captures.select(page("metadata").alias("page_id"), "response.payload_bytes", "response.payload_digest",
                            F.col("response.type").alias("record_type"), page("response.refers").alias("refers_to"))
