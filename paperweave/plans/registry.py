@@ -173,9 +173,12 @@ def lst5(spark, sf_dir):
         listing.detail_url_c(F.lit("perio"), F.col("page_id").cast("string")).alias("url_c"))
 
 
-_SEARCH_A = O.search_text(listing.CLAUSES["A"], False)
-_SEARCH_B = O.search_text(listing.CLAUSES["B"], True)
-_SEARCH_C = O.search_text(listing.CLAUSES["C"], False)
+# Search clauses, written out so that a wrong one in the library shows.
+_SEARCH_A = O.search_text(
+    {"title": " title:", "authors": " author:", "keywords": " qw:", "unit": " 作者单位:"}, False)
+_SEARCH_B = O.search_text({"title": "&k=", "authors": "&w=", "keywords": "&k=", "unit": "&o="}, True)
+_SEARCH_C = O.search_text(
+    {"title": " 标题:", "authors": " 作者:", "keywords": " 关键词:", "unit": " 作者单位:"}, False)
 
 
 @query("lst6_requests", f"""WITH {O.CRITERIA},
@@ -403,12 +406,18 @@ def det5(spark, sf_dir):
 
 
 @query("det6_defaults", """
-  SELECT page_id, url, '' AS title, '' AS authors, '' AS unit, '' AS publication, '' AS keywords,
-    '' AS abstract, '' AS year, '' AS volume, '' AS issue, '' AS pagecode, '' AS doi,
-    '' AS sponser, '' AS type FROM pages""")
+  SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE url END AS url,
+    CASE WHEN page_id % 2 = 0 THEN 't' || page_id ELSE '' END AS title, '' AS authors, '' AS unit,
+    '' AS publication, '' AS keywords, '' AS abstract,
+    CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS VARCHAR) ELSE '' END AS year,
+    '' AS volume, '' AS issue, '' AS pagecode, '' AS doi, '' AS sponser, '' AS type FROM pages""")
 def det6(spark, sf_dir):
     from paperweave.schema import with_record_defaults
-    pages = read_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet").select(
+        "page_id", F.when(F.col("page_id") % 5 != 0, F.col("url")).alias("url"),
+        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("t"), "page_id")).alias("title"),
+        F.when(F.col("page_id") % 3 == 0, F.col("page_id")).alias("year"),
+        F.lit(None).cast("string").alias("doi"))
     return with_record_defaults(pages).drop("source")
 
 
