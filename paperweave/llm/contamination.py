@@ -27,6 +27,7 @@ from paperweave.llm.shared import BROADCAST_ROWS, id_filter, possible, stored
 
 WINDOW = 13
 SHINGLE = 3
+BROADCAST_LETTERS = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -58,7 +59,9 @@ def item_windows(items: DataFrame, id: str = "item_id", text: str = "text") -> t
 def _met(tokens: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     """Positions of documents whose shingle is in ``wanted``, joined to its rows."""
     at = _positions(tokens, size)
-    if wanted.count() <= BROADCAST_ROWS:
+    letters = F.length(F.concat_ws(" ", "wanted")) if "wanted" in wanted.columns else F.lit(0)
+    rows, size = wanted.agg(F.count("*"), F.coalesce(F.sum(letters), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_LETTERS:
         return at.join(F.broadcast(wanted), "shingle")
     asked = id_filter(wanted.select(F.col("shingle").alias("id")))
     return possible(at, asked, key="shingle").join(wanted, "shingle")

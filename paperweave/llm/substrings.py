@@ -147,7 +147,8 @@ def shared_runs(docs: DataFrame) -> DataFrame:
     """Runs ``(anchor, whole, id, place)`` of ``docs (id, text)`` whose anchor occurs again."""
     kind = docs.schema["id"].dataType.simpleString()
     runs = docs.select("id", "text").mapInArrow(_run_rows, f"anchor long, whole long, id {kind}, place long")
-    again = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # a table of its own, so that the join can split an anchor that many texts have
+    again = stored(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     return stored(runs.join(again, "anchor"), "runs")
 
 
@@ -155,9 +156,10 @@ def classified(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans of runs that an earlier document has as a whole, and the runs ``(id, place)`` in
     which the graph branches, those of an earlier copy left out."""
     classes = runs.groupBy("anchor", "whole").agg(F.min(F.struct("id", "place")).alias("first"))
+    classes = stored(classes, "classes")
     branching = classes.groupBy("anchor").agg(F.count("*").alias("classes"))
-    known = stored(runs.join(classes, ["anchor", "whole"]).join(branching, "anchor")
-                   .select("id", "place", "first", "classes"), "classes")
+    classes = stored(classes.join(branching, "anchor"), "classes")
+    known = stored(runs.join(classes, ["anchor", "whole"]).select("id", "place", "first", "classes"), "known")
     start = F.floor(F.col("place") / (LONGEST + 1)).cast("int")
     spans = known.where("first.id < id").select(
         "id", start.alias("at"), (F.pmod("place", F.lit(LONGEST + 1)) + SPAN - 1).cast("int").alias("length"),
