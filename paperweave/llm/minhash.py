@@ -125,7 +125,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A leader's text is sent once per block of about :data:`BLOCK` partners, so
     neither a task nor a row ever holds a whole group.
     """
-    width = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    width = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "widths")
     cut = pairs.join(width, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
     wanted = cut.select("a", "b", "block", F.col("b").alias("id")) \
         .union(cut.select("a", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "block",
@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         .agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     every = classes.select("rep", F.posexplode("bands").alias("band", "key")) \
         .select("rep", F.xxhash64("band", "key").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # tables of their own on one side of a join, so that the other side's hot keys can be split
+    shared = stored(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     bucket = stored(every.join(shared, "key").select("key", "rep"), "buckets")
     links, texts = None, None
     if not bucket.isEmpty():
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
             .select("key", "rep", F.coalesce("c", "rep").alias("c"))
         open_ = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")) \
             .where("lo <> hi").select("key")
-        rest = stored(known.join(open_, "key").select("key", "rep"), "buckets")
+        rest = stored(known.join(stored(open_, "keys"), "key").select("key", "rep"), "buckets")
         if rest.isEmpty():
             break
     else:
