@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
             pairs = _by_prefix(known)
             links, labels, tested = _linked(pairs.select(F.col("leader").alias("a"), F.col("rep").alias("b")),
                                             texts, tested)
-    class_of = signed.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("class_id"))
+    class_of = stored(signed.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("class_id")), "classes")
     members = signed.select("id", "n", "set_a", "set_b").join(class_of, ["n", "set_a", "set_b"]) \
         .select("id", F.col("n").alias("n_shingles"),
                 F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
