@@ -13,8 +13,8 @@ broadcast table where it is small, else after a bitmap of 2 MB.
 
 Defined cases: null and empty texts have no words and are clean; items without
 words, a null text or a null id have no window; repeated items and windows
-count once; rows with one id and different texts are judged each; equal rows
-give equal results; an empty benchmark leaves every document clean; other
+count once; rows with one id and different texts are judged each, those without
+an id too; equal rows give equal results; an empty benchmark leaves every document clean; other
 columns are not read by the join.
 """
 
@@ -110,7 +110,8 @@ def judged(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "t
             "hits", lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1))))).cast("long").alias("n_hit"))
     of_items = found.select("id", "copy", "window").distinct().join(owners, "window") \
         .groupBy("id", "copy").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    known = hits.join(of_items, ["id", "copy"])
+    alike = (F.col("h.id").eqNullSafe(F.col("i.id"))) & (F.col("h.copy") == F.col("i.copy"))
+    known = hits.alias("h").join(of_items.alias("i"), alike).select("h.id", "h.copy", "n_hit", "items")
     same = (F.col("d.id").eqNullSafe(F.col("k.id"))) & (F.col("d.copy") == F.col("k.copy"))
     counted = named.select("id", "copy", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = counted.alias("d").join(known.alias("k"), same, "left").select(

@@ -106,6 +106,18 @@ def test_contamination(spark, mixed):
     assert contamination.judged(mixed, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_of_documents_without_an_id(spark, mixed):
+    text = " ".join(f"w{i}x{i}" for i in range(20))
+    rows = [(None, text, "en", "a", 1, True, 5), (None, "clean words only", "en", "a", 1, True, 5)]
+    docs = mixed.where("doc_id < 4").unionByName(spark.createDataFrame(rows, mixed.schema))
+    bench = spark.createDataFrame([(4, text), (5, text + " more")], "item_id long, text string")
+    found = {r.n_words: r for r in contamination.judged(docs, bench).where("doc_id IS NULL").collect()}
+    assert (found[20].n_hit, found[20].items, found[20].contaminated) == (20, ["4", "5"], True)
+    assert (found[3].n_hit, found[3].n_items, found[3].contaminated) == (0, 0, False)
+    clean = contamination.decontaminated(docs, bench).where("doc_id IS NULL").collect()
+    assert [r.text for r in clean] == ["clean words only"]
+
+
 def test_contamination_beyond_the_broadcast_bound(spark, mixed, monkeypatch):
     bench = spark.createDataFrame([(4, " ".join(f"w{i}x{i}" for i in range(40)))], "item_id long, text string")
     wanted = contamination.judged(mixed, bench).collect()
