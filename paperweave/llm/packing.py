@@ -15,7 +15,7 @@ the shared folder with a running sum per task. A queue of a third of all rows is
 thus summed up by parts; only sums per task and queue are shuffled, no tokens.
 
 Defined cases: a null text is an empty document, which still has its end
-token; a null source is a queue of its own; equal rows are packed each; texts
+token; the text of one of the file's added tokens is that token; a null source is a queue of its own; equal rows are packed each; texts
 of any length are cut where a window ends; more sources than
 :data:`QUEUES` share queues by hash; an empty table gives an empty result;
 other columns are not read.
@@ -43,6 +43,7 @@ LENGTH = 2048
 QUEUES = 4096      # at most; also the bound of what reaches the driver
 WIDTH = 2          # bytes of an id in the token table
 _MEMORY = 1_000_000  # parts of words whose ids a task remembers
+_WRITTEN = np.uint64(0x9E3779B97F4A7C15)  # tells words kept as written from parts of the same letters
 
 # Fixed value: the pattern that the short way is right for.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -76,19 +77,20 @@ class Encoder:
     Right for tokenizers that drop white space and never join across it. For the
     pattern of letters, single digits and other characters, words are cut into
     their parts here and a part is given to the tokenizer's model; words with
-    unusual characters, and all words of tokenizers built in another way, go
-    through the whole tokenizer.
+    unusual characters or an added token in them, and all words of tokenizers
+    built in another way, go through the whole tokenizer.
     """
 
     def __init__(self, path: str, end: int | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end = end
         self._forget()
         with open(path, encoding="utf-8") as file:
             setup = json.load(file)
+        # Cut out of texts before anything else: words with one are given as they are written.
+        self.added = {x["content"].encode().translate(LOWER.tobytes()) for x in setup.get("added_tokens") or []} - {b""}
         steps = [x.get("type") for x in (setup["normalizer"] or {}).get("normalizers", [])]
         cuts = (setup["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.cut = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] \
@@ -133,12 +135,30 @@ class Encoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.begin, self.size = keys[order], begin[order], size[order]
 
+    def _with_added(self, lower: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Words in which the text of an added token stands, in letters of any case."""
+        found = []
+        for token in self.added:
+            at = lower.find(token)
+            while at >= 0:
+                word = int(np.searchsorted(start, at, "right")) - 1
+                if word >= 0 and at + len(token) <= end[word]:
+                    found.append(word)
+                at = lower.find(token, at + 1)
+        return np.unique(np.array(found, np.int64))
+
     def _parts(self, texts: pa.Array):
-        """Bytes, start and end of every part, whether it is a whole odd word, and parts per text."""
+        """Bytes in lower case, start, end and key of every part, whether it is a whole odd word,
+        and parts per text."""
         data, at = utf8(texts)
         odd_sum = np.append(0, np.cumsum(_odd(data)))
         words = words_of(texts, hashed=False)
         odd = (odd_sum[words.end] > odd_sum[words.start]) | (not self.cut)
+        lower = LOWER[data]
+        written = self._with_added(lower.tobytes(), words.start, words.end)
+        odd[written] = True
+        for word in written:
+            lower[words.start[word]:words.end[word]] = data[words.start[word]:words.end[word]]
         kind = _KIND[data]
         whole = np.zeros(len(data) + 1, np.int8)  # inside odd words
         np.add.at(whole, words.start[odd], 1)
@@ -151,15 +171,16 @@ class Encoder:
         start = np.flatnonzero(begins)
         over = np.flatnonzero(np.append(begins | (kind == 0), True))
         end = over[np.searchsorted(over, start, "right")] if len(start) else start
-        return data, start, end, inside[start] if len(start) else np.zeros(0, bool), np.searchsorted(start, at)
+        keys = hashes(lower, start, end)
+        keys[np.searchsorted(start, words.start[written])] ^= _WRITTEN
+        return lower, start, end, keys, inside[start] if len(start) else np.zeros(0, bool), np.searchsorted(start, at)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text starts and the last ends."""
         if len(self.keys) > _MEMORY:
             self._forget()
-        data, start, end, odd, first_part = self._parts(texts)
-        lower = LOWER[data]
-        code, distinct = pd.factorize(hashes(lower, start, end))
+        lower, start, end, keys, odd, first_part = self._parts(texts)
+        code, distinct = pd.factorize(keys)
         first = np.zeros(len(distinct), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         new = np.flatnonzero(~self._held(distinct)[1])

@@ -185,6 +185,17 @@ def test_encoder_equals_tokenizer():
         assert ids[at[i]:at[i + 1]].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+def test_added_tokens_in_texts():
+    texts = ["foo <|endoftext|> bar", "a<|startoftext|><|endoftext|>B c", "FOO <|ENDOFTEXT|> <|endoftext|> <|EndOfText|>",
+             "<|endof", "text|> É<|endoftext|>é't <|endoftext|", "<<|endoftext|>|>", None, "x <|endof text|>"]
+    encoder = packing.Encoder(tokenizer_file(), 1)
+    plain = Tokenizer.from_file(tokenizer_file())
+    for some in (texts, texts[::-1]):
+        ids, at = encoder.ids(pa.array(some))
+        for i, text in enumerate(some):
+            assert ids[at[i]:at[i + 1]].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 1]
+
+
 # ----------------------------------------------------------------------- pages
 
 def test_tree_fits_its_table_and_pages(spark):
