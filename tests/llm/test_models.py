@@ -89,6 +89,36 @@ def test_code_is_a_probability():
     assert set(mixing.GROUP.tolist()) <= set(np.flatnonzero(mixing.DECISIONS).tolist())
 
 
+def test_short_texts_learn_as_they_go():
+    """Texts side by side score as each alone, decision by decision, and not as without learning."""
+    rng = np.random.default_rng(1)
+    sizes = [50, 1, 7, 50, 300, 4]
+    first = np.append(0, np.cumsum(sizes))
+    n = rng.integers(4, mixing.STEPS + 1, first[-1])
+    step = np.concatenate([np.arange(k) for k in n])
+    d = mixing.Decisions(rng.normal(0, 2, (len(step), 4)).astype(np.float32), step * 3 + rng.integers(0, 3, len(step)),
+                         step, rng.integers(0, 2, len(step)).astype(np.int8), np.append(0, np.cumsum(n)), first)
+    weights = rng.normal(0.3, 0.1, (mixing.GATES, 4))
+    refine = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, mixing.BUCKETS))), (mixing.STEPS, 1))
+    found, fixed = mixing.sequential(d, weights, refine), mixing.sequential(d, weights, refine, 0, 0)
+    for i in range(len(sizes)):
+        w, m, wanted = weights.copy(), refine.copy(), 0.0
+        for t in range(first[i], first[i + 1], mixing.FEW):
+            change_w, change_m = np.zeros_like(w), np.zeros_like(m)
+            for k in range(d.token[t], d.token[min(t + mixing.FEW, first[i + 1])]):
+                z = float(np.clip(w[d.gate[k]] @ d.x[k], -7.99, 7.99))
+                p, at = 1 / (1 + math.exp(-z)), (z + 8) * 2
+                low, part, cells = int(at), at - int(at), m[d.step[k]]
+                q = min(max((p + cells[low] * (1 - part) + cells[low + 1] * part) / 2, 1e-5), 1 - 1e-5)
+                wanted += math.log(q if d.bit[k] else 1 - q)
+                change_w[d.gate[k]] += mixing.RATE * (d.bit[k] - p) * d.x[k]
+                near = low + (part > 0.5)
+                change_m[d.step[k], near] += mixing.MAP_RATE * (d.bit[k] - cells[near])
+            w, m = w + change_w, m + change_m
+        assert found[i] == pytest.approx(wanted, rel=1e-6)
+        assert (abs(found[i] - fixed[i]) > 1e-3) == (sizes[i] > mixing.FEW)
+
+
 def test_scores_of_odd_rows(spark):
     docs = odd_documents(spark)
     found = mixing.scored(docs)
