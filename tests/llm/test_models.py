@@ -119,6 +119,28 @@ def test_short_texts_learn_as_they_go():
         assert (abs(found[i] - fixed[i]) > 1e-3) == (sizes[i] > mixing.FEW)
 
 
+def test_mixer_learns_from_every_document(spark):
+    docs = documents(spark).select(F.col("doc_id").alias("id"), "text")
+    docs = docs.join(spark.range(4).select((F.col("id") * 10 ** 9).alias("more")), how="cross") \
+        .select(F.expr("id + more").alias("id"), "text").repartition(4)
+    model, _ = mixing.fit(docs)
+    plain = mixing.with_contexts(model, mixing.context_counts(docs, model))
+    seen, met = 0, np.zeros(mixing.GATES)
+    for batch in docs.select("text").toArrow().to_batches():
+        tokens = mixing.tokens_of(batch["text"], model)
+        seen += len(tokens.rank)
+        met += np.bincount(mixing.decisions_of(tokens, model).gate, minlength=mixing.GATES)
+    found = docs.select("text").mapInArrow(lambda b: mixing._start(b, plain), "slot int, n long") \
+        .groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    got = {r.slot: r.n for r in found}
+    assert docs.count() > 512 and seen == model.total
+    assert [got.get(g, 0) for g in range(mixing.GATES)] == met.tolist()
+    hits = 5 * mixing.GATES
+    assert sum(got.get(hits + i, 0) for i in range(mixing.STEPS * mixing.BUCKETS)) == met.sum()
+    learned = mixing.with_start(docs, plain)
+    assert np.abs(learned.weights[met > 0] - 0.3).min(0).max() > 0 and learned.refine.min() > 0 and learned.refine.max() < 1
+
+
 def test_scores_of_odd_rows(spark):
     docs = odd_documents(spark)
     found = mixing.scored(docs)
