@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm import (
-    contamination, language, main_text, minhash, mixing, packing, quality, substrings, urls, warc,
+    bpe, contamination, language, main_text, minhash, mixing, negatives, packing, prefix_trie, quality, substrings,
+    urls, warc,
 )
 from paperweave.llm.shared import stored, table
 from paperweave.session import shared_folder
@@ -101,6 +102,49 @@ _WARC_SQL = """WITH
     CASE WHEN last <> page_id THEN last END AS refers_to FROM e"""
 
 
+_PREFIX_TRIE_SQL = r"""WITH
+  t AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS size,
+      sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k
+      FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS k, list(size ORDER BY turn NULLS FIRST, k) AS s,
+      xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), 4294967295), 4294967295) % 9 AS h
+      FROM t GROUP BY conv_id),
+  r AS (SELECT c.conv_id, list_concat(coalesce(b.k[1:c.h], []), c.k[c.h + 1:]) AS k,
+      list_concat(coalesce(b.s[1:c.h], []), c.s[c.h + 1:]) AS s
+      FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5),
+  p AS (SELECT conv_id, len(k) AS n, d, array_to_string(k[1:d], ' ') AS node, array_to_string(k[1:d - 1], ' ') AS up,
+      CASE WHEN d > 0 THEN s[d] ELSE 0 END AS size FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM r)),
+  n AS (SELECT node, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+      string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM p GROUP BY node, d),
+  kids AS (SELECT up AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+  f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (node)),
+  sub AS (SELECT array_to_string(string_split(node, ' ')[1:i], ' ') AS node,
+      count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved
+      FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM f) GROUP BY 1)
+  SELECT f.conv_id, f.d AS depth, above.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves,
+    CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+  FROM f JOIN sub USING (node) LEFT JOIN f above ON f.d > 0 AND above.node = f.up"""
+
+_NEGATIVES_SQL = """WITH
+  v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+      CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  n AS (SELECT p.*, s.vec_id AS negative_id, score AS negative_score,
+      row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+        AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+  SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+  FROM n WHERE rank <= 3"""
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -177,3 +221,18 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     model, shares = urls.fit(urls.labelled(spark))
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), model, shares)
+
+
+@query("op11_prefix_trie", _PREFIX_TRIE_SQL)
+def op11(spark, sf_dir):
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_hard_negatives", _NEGATIVES_SQL)
+def op12(spark, sf_dir):
+    return negatives.mined(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query("op13_bpe")
+def op13(spark, sf_dir):
+    return bpe.coded(table(spark, sf_dir, "documents"), tokenizer_file())
