@@ -15,6 +15,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperweave.functions.containers import labelled
+
 _HIDDEN = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script\b.*?(?:</script\s*>|\z)"
@@ -144,31 +146,6 @@ def _closing_index(tags: Column, opened: Column) -> Column:
     )
 
 
-def _enclosing_index(tags: Column, opened: Column) -> Column:
-    """Index of the innermost opening tag around tag ``opened``; 0 for none."""
-    def step(s: Column, tag: Column) -> Column:
-        closing = tag.startswith("</")
-        return F.struct(
-            (s["depth"] + F.when(closing, 1).otherwise(-1)).alias("depth"),
-            (s["at"] - 1).alias("at"),
-            F.when((s["found"] == 0) & ~closing & (s["depth"] == 0), s["at"] - 1)
-            .otherwise(s["found"]).alias("found"),
-        )
-
-    previous = F.get(tags, opened - 2)
-    counted = F.aggregate(
-        F.reverse(F.slice(tags, F.lit(1), opened - 1)),
-        F.struct(F.lit(0).alias("depth"), opened.alias("at"), F.lit(0).alias("found")),
-        step,
-        lambda s: s["found"],
-    )
-    return (
-        F.when(opened == 1, F.lit(0))
-        .when(previous.startswith("</"), counted)
-        .otherwise(opened - 1)
-    )
-
-
 def _between_tags(gaps: Column, opened: Column, closed: Column) -> Column:
     return F.array_join(F.slice(gaps, opened + 1, closed - opened), "")
 
@@ -235,31 +212,9 @@ def labelled_values(page: Column | str, opening: str) -> Column:
     tag, or of the page when there is none; the value is its own text.
     """
     page = F.col(page) if isinstance(page, str) else page
-    any_div = rf"(?i)</?(?:{_CONTAINERS})\b{_REST}>"
-
-    def pairs(div: Column) -> Column:
-        tags, gaps = div["tags"], div["gaps"]
-        positions = F.filter(
-            F.transform(tags, lambda t, i: F.when(t.rlike(opening), i + 1)),
-            lambda i: i.isNotNull(),
-        )
-        spans = F.transform(positions, lambda at: F.struct(
-            at.alias("at"), _enclosing_index(tags, at).alias("outer")))
-
-        def pair(span: Column) -> Column:
-            at, outer = span["at"], span["outer"]
-            end = F.when(outer == 0, F.size(tags) + 1).otherwise(_closing_index(tags, outer))
-            return F.struct(
-                text_of(_between_tags(gaps, outer, end)).alias("label"),
-                text_of(_between_tags(gaps, at, _closing_index(tags, at))).alias("value"),
-            )
-
-        return F.transform(spans, pair)
-
-    return bound(F.struct(
-        F.regexp_extract_all(page, F.lit(any_div), F.lit(0)).alias("tags"),
-        F.split(page, any_div, -1).alias("gaps"),
-    ), pairs)
+    found = labelled(page, rf"(?i)</?(?:{_CONTAINERS})\b{_REST}>", opening, _TAG)
+    return F.transform(found, lambda pair: F.struct(
+        decode_references(pair["label"]).alias("label"), decode_references(pair["value"]).alias("value")))
 
 
 def direct_texts(page: Column | str, opening: str) -> Column:

@@ -1,5 +1,8 @@
 """Golden values of the column rules, always over a table."""
 
+import random
+import re
+import time
 from urllib.parse import quote
 
 import pytest
@@ -80,6 +83,58 @@ def test_first_element(spark, page, wanted):
     assert column(spark, [page], rule) == [wanted]
 
 
+def plain_pairs(page):
+    """Labels and values by looking for the ends of every element anew."""
+    tags = list(re.finditer(r"</?(?:div|span)[^>]*>", page))
+    gaps = re.split(r"</?(?:div|span)[^>]*>", page)
+    out = []
+    for i, tag in enumerate(tags):
+        if tag[0] != "<div class='v'>":
+            continue
+        def end(k):
+            depth = 0
+            for j in range(k, len(tags)):
+                depth += -1 if tags[j][0].startswith("</") else 1
+                if depth == 0:
+                    return j
+            return len(tags)
+        depth, outer = 0, None
+        for j in range(i - 1, -1, -1):
+            if not tags[j][0].startswith("</") and depth == 0:
+                outer = j
+                break
+            depth += 1 if tags[j][0].startswith("</") else -1
+        around = "".join(gaps if outer is None else gaps[outer + 1:end(outer) + 1])
+        out.append((around, "".join(gaps[i + 1:end(i) + 1])))
+    return out
+
+
+def test_labelled_values_of_broken_pages(spark):
+    rng = random.Random(11)
+    pages = ["", "x", "<div class='v'>"]
+    for _ in range(80):
+        pieces = ["<div>", "<div class='v'>", "<span>", "</div>", "</span>", "t", "u "]
+        pages.append("".join(rng.choice(pieces) for _ in range(rng.choice([5, 30, 200]))))
+    found = column(spark, [*pages, None], lambda c: html.labelled_values(c, html.open_tag("div", cls="v")))
+    assert [None if v is None else [tuple(p) for p in v] for v in found] == [*map(plain_pairs, pages), None]
+
+
+def test_large_pages_cost_as_much_as_their_tags(spark):
+    def seconds(n):
+        row = "<div><span>L</span><div class='v'>x</div></div>"  # six tags
+        df = spark.createDataFrame([(row * (n // 6),)] * 4, "page string").repartition(1).cache()
+        df.count()
+        values = html.labelled_values("page", html.open_tag("div", cls="v"))
+        took = []
+        for _ in range(2):
+            start = time.perf_counter()
+            assert df.select(F.size(F.filter(values, lambda v: v["label"] == "Lx"))).first()[0] == n // 6
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert seconds(20_000) < 8 * seconds(5_000) + 1
+
+
 def test_labelled_values(spark):
     page = ("<div>top<div class='row'><span>L1：</span><div class='v'>a<div>b</div></div></div>"
             "<div class='row'>L2：<div class='v'>c</div><div class='v'>d</div></div></div>")
