@@ -3,8 +3,8 @@
 The frontier is an append-only log of transitions ``(url, source, state, seq)``.
 The state of a link is that of its last transition, so leasing, finishing and
 recovering links only append rows and never rewrite a table. ``seq`` orders the
-log: a number, or a struct of numbers. Whatever makes new rows asks for a ``seq``
-beyond those of the log; :func:`following` finds one.
+log; it has the parts of :func:`number`, wherever a transition comes from. Whatever
+makes new rows asks for a ``seq`` beyond those of the log; :func:`following` finds one.
 """
 
 from __future__ import annotations
@@ -19,6 +19,16 @@ from paperweave.schema import (
 PENDING = (INITIAL, ERROR)
 
 
+def number(run: int | Column, phase: int = 0, page: Column | None = None, place: Column | None = None) -> Column:
+    """Place of a transition in the log: run, phase, list page, place on the page.
+
+    Compared part by part, so any page number is in order.
+    """
+    parts = {"run": F.lit(run) if isinstance(run, int) else run, "phase": F.lit(phase),
+             "page_id": F.lit(0) if page is None else page, "position": F.lit(0) if place is None else place}
+    return F.struct(*[c.cast("bigint").alias(n) for n, c in parts.items()])
+
+
 def first_arrivals(links: DataFrame) -> DataFrame:
     """One row per url: the one with the lowest ``seq``, whatever its site.
 
@@ -46,10 +56,15 @@ def transitions(links: DataFrame, state: int | Column, seq: Column) -> DataFrame
     return links.select("url", "source", state.cast("int").alias("state"), seq.alias("seq"))
 
 
+def next_run(log: DataFrame) -> int:
+    """Number of the run after all those of a log; reads one column."""
+    last = log.agg(F.max("seq.run")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def following(log: DataFrame) -> Column:
-    """A number after all those of a log, or 0; reads one column."""
-    last = log.agg(F.max("seq")).first()[0]
-    return F.lit(0 if last is None else last + 1).cast("bigint")
+    """A place after all those of a log: the start of its next run."""
+    return number(next_run(log))
 
 
 def current_state(log: DataFrame) -> DataFrame:

@@ -79,6 +79,35 @@ def page_plan(searches: DataFrame, start: Column | int = 1, inclusive: bool = Tr
     )
 
 
+def advanced(cursors: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Cursors ``(search, page)`` after list pages ``(search, page)`` arrived.
+
+    A cursor is the last page read of a search, 0 at first, and moves only over
+    pages that follow it without a gap: to the first page that has no successor.
+    Found by looking for successors, so no task sorts all pages of a search.
+    """
+    at = F.coalesce(F.col("at"), F.lit(0))
+    known = cursors.select("search", F.col("page").alias("at"))
+    ahead = arrived.select("search", "page").distinct().join(known, "search", "left").where(
+        F.col("page") > at)
+    points = ahead.select("search", "page").unionByName(
+        ahead.select("search", at.alias("page")).distinct())
+    followed = ahead.select("search", (F.col("page") - 1).alias("page"))
+    return points.join(followed, ["search", "page"], "left_anti").groupBy("search").agg(
+        F.min("page").alias("page"))
+
+
+def remaining_plan(searches: DataFrame, cursors: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """List pages still to be read: those beyond the cursor of a search.
+
+    ``searches`` has ``search`` and ``n_pages``; ``held`` are pages that were read
+    beyond a gap and need not be read again.
+    """
+    start = searches.join(cursors.select("search", F.col("page").alias("_cursor")), "search", "left")
+    plan = page_plan(start, F.coalesce("_cursor", F.lit(0)) + 1).drop("_cursor")
+    return plan if held is None else plan.join(held.select("search", "page"), ["search", "page"], "left_anti")
+
+
 def paging_progress(page: Column, n_pages: Column) -> Column:
     """Share of list pages read, in percent with two decimals."""
     return F.round(page / n_pages * 100, 2)
@@ -161,12 +190,12 @@ def _links_any(page: Column) -> Column:
 _LINKS = {"A": _links_a, "B": _links_b, "C": _links_c, "any": _links_any}
 
 
-def extract_links(pages: DataFrame, layout: str | None = None) -> DataFrame:
+def extract_links(pages: DataFrame, layout: str | None = None, empty: bool = False) -> DataFrame:
     """Links of result pages with their place on the page.
 
     ``layout`` is A, B or C, or ``any`` for every anchor; without it the
-    ``source`` of a page tells its layout. The html itself is dropped here,
-    before any shuffle.
+    ``source`` of a page tells its layout. ``empty`` keeps a row without link for
+    pages that have none. The html itself is dropped here, before any shuffle.
     """
     keep = [c for c in pages.columns if c not in ("html", "url")]
     page = visible("html")
@@ -176,6 +205,8 @@ def extract_links(pages: DataFrame, layout: str | None = None) -> DataFrame:
         links = F.coalesce(*[
             F.when(F.col("source") == site, _LINKS[letter](page))
             for site, letter in LAYOUT_OF_SITE.items()])
+    if empty:
+        return pages.select(*keep, F.posexplode_outer(links).alias("position", "url"))
     return pages.select(
         *keep, F.posexplode(links).alias("position", "url"),
     ).where(F.col("url").isNotNull())

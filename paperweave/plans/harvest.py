@@ -9,26 +9,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.functions.clean import normalise_records
 from paperweave.operators import detail, frontier, listing, merge, search
+from paperweave.operators.frontier import number
 from paperweave.schema import INITIAL
 from paperweave.session import materialise
 from paperweave.sources.tables import with_fetch_status
 
 
-def number(run: int | Column, phase: int, page: Column | None = None, place: Column | None = None) -> Column:
-    """Place of a transition in the log: run, phase, list page, place on the page.
-
-    Compared part by part, so any page number is in order.
-    """
-    parts = {"run": F.lit(run) if isinstance(run, int) else run, "phase": F.lit(phase),
-             "page_id": F.lit(0) if page is None else page, "position": F.lit(0) if place is None else place}
-    return F.struct(*[c.cast("bigint").alias(n) for n, c in parts.items()])
-
-
 def links_of_sites(list_pages: DataFrame, run: int = 0) -> DataFrame:
     """Links of all three layouts as ``(url, source, seq)``."""
     return listing.extract_links(list_pages).select(
@@ -52,12 +43,11 @@ def harvest(list_pages: DataFrame, detail_pages: DataFrame, mode: str = "123",
     frontier count. ``known`` is an existing result to merge into, whose rows
     must have smaller numbers than the pages; ``known_links`` is the frontier of
     an earlier run, which this one continues: its links are not new, and its
-    transitions come before those of this run. A record outside the year range
+    transitions come before those of this run. It may have been kept in a
+    ``TransitionLog``, leased from and recovered meanwhile. A record outside the year range
     still enters the result; its link is marked.
     """
-    run = 0
-    if known_links is not None:
-        run = (known_links.agg(F.max("seq.run")).first()[0] or 0) + 1
+    run = 0 if known_links is None else frontier.next_run(known_links)
     new = frontier.insert_ignore(links_of_sites(list_pages, run), known_links)
     fresh = frontier.transitions(new, INITIAL, F.col("seq"))
     log = materialise(

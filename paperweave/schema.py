@@ -15,6 +15,9 @@ RECORD_FIELDS = [
     "year", "volume", "issue", "pagecode", "doi", "sponser", "type",
 ]
 
+# The fields that a search can name.
+SEARCH_FIELDS = ["title", "authors", "keywords", "unit"]
+
 # Mode digit -> site name as kept in the frontier.
 SITES = {1: "Cnki", 2: "Cqvip", 3: "Wanfang"}
 
@@ -40,13 +43,16 @@ PAGE_SCHEMA = T.StructType([
     T.StructField("html", T.StringType()),
 ])
 
+# Place of a transition in the log, compared part by part: run, phase of the run, page, place on the page.
+SEQ_TYPE = T.StructType([T.StructField(name, T.LongType()) for name in ("run", "phase", "page_id", "position")])
+
 # One row per state change of a link. A plain file table cannot be updated in
 # place, so the current state is the fold of this log (see operators.frontier).
 TRANSITION_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("source", T.StringType()),
     T.StructField("state", T.IntegerType()),
-    T.StructField("seq", T.LongType()),
+    T.StructField("seq", SEQ_TYPE),
 ])
 
 RECORD_SCHEMA = T.StructType(
