@@ -42,7 +42,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperweave.schema import RECORD_FIELDS
@@ -311,6 +311,49 @@ def merge_into(result: DataFrame, records: DataFrame, collation: str | None = No
     return untouched.unionByName(fold(members))
 
 
+#: Columns of a snapshot beside those of a result row: what it is met by, and its contributions.
+SNAPSHOT_KEYS = ["title_key", "pub_key", "n_links"]
+
+
+def as_snapshot(result: DataFrame, collation: str | None = None) -> DataFrame:
+    """Result rows with the columns that :func:`merge_into_snapshot` meets them by."""
+    return _as_existing(result, collation).withColumnsRenamed({"_title": "title_key", "_pub": "pub_key"})
+
+
+def merge_into_snapshot(snapshot: DataFrame, records: DataFrame, collation: str | None = None) -> DataFrame:
+    """The same rows as :func:`merge_into`, for a snapshot that lies in buckets by ``title_key``.
+
+    The new records are folded by themselves to one row per paper that they touch
+    or create. Rows of the snapshot then only look up what is added to them, so its
+    wide columns are read once and, where it is bucketed, never shuffled.
+    """
+    last, first = snapshot.agg(F.max("id")).first()[0], records.agg(F.min("seq")).first()[0]
+    if last is not None and first is not None and first <= last:
+        raise ValueError(f"new records start at {first}, but the snapshot holds {last} already")
+    new = with_keys(records, collation)
+    existing = snapshot.select(
+        F.col("title_key").alias("_title"), F.col("pub_key").alias("_pub"), "id", "n_links")
+    plan = plan_merge(build_groups(new, existing))
+    more = materialise(_rows(memberships(new, plan), _joined("url"), _joined("source")).select(
+        F.col("_title").alias("title_key"), F.col("_row_pub").alias("pub_key"), F.col("id").alias("new_id"),
+        F.col("n_links").alias("new_links"), F.col("url").alias("new_url"), F.col("source").alias("new_source"),
+        *[_values(n).alias(f"new_{n}") for n in _FOLDED]), "more")
+    old = plan.groups.table.where("is_row").select(
+        F.col("_title").alias("title_key"), F.col("_pub").alias("pub_key"))
+    created = more.join(old, ["title_key", "pub_key"], "left_anti").select(
+        F.col("new_id").alias("id"), *[F.col(f"new_{n}").alias(n) for n in [*RECORD_FIELDS, "source"]],
+        "title_key", "pub_key", F.col("new_links").alias("n_links"))
+
+    def both(name: str) -> Column:
+        return F.concat_ws(";", name, f"new_{name}").alias(name)
+
+    filled = {n: F.when(F.col(n) != "", F.col(n)).otherwise(F.coalesce(f"new_{n}", F.lit(""))) for n in _FOLDED}
+    kept = snapshot.join(more, ["title_key", "pub_key"], "left").select(
+        "id", *[both(n) if n == "url" else filled[n].alias(n) for n in RECORD_FIELDS], both("source"),
+        "title_key", "pub_key", (F.col("n_links") + F.coalesce("new_links", F.lit(0))).alias("n_links"))
+    return kept.unionByName(created)
+
+
 def count_matches(result: DataFrame, records: DataFrame, collation: str | None = None) -> DataFrame:
     """For every record the number of result rows it would be merged into."""
     old, new = _as_existing(result, collation), with_keys(records, collation)
@@ -337,6 +380,28 @@ def membership_ids(members: DataFrame, plan: MergePlan) -> DataFrame:
     return members.where(~F.col("absorbed")).join(rows, _ROW).drop(*_ROW, "absorbed")
 
 
+def listed(members: DataFrame, size: int = 1024) -> DataFrame:
+    """Contributions of a paper as pieces of an ordered list: ``(id, chunk, n, url, source)``.
+
+    ``members`` are :func:`membership_ids`. Chunk 0 has the first ``size`` addresses and
+    sources in arrival order, chunk 1 the next, and so on; ``fold`` has them all in one
+    text. Contributions are dealt to tasks by ranges of (paper, arrival) and counted by
+    range, so one of a million contributions is spread over many tasks, and a text has
+    ``size`` of them.
+    """
+    ranges = members.select("id", "seq", "url", "source").repartitionByRange("id", "seq") \
+        .sortWithinPartitions("id", "seq")
+    placed = materialise(ranges.withColumns({
+        "_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "placed")
+    runs = placed.groupBy("id", "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("id").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rank = F.col("_before") + F.col("_at") - F.col("_first")
+    return placed.join(offsets, ["id", "_task"]).withColumn(
+        "chunk", F.floor(rank / size)).groupBy("id", "chunk").agg(
+        F.count(F.lit(1)).alias("n"), _joined("url"), _joined("source"))
+
+
 def contributions(members: DataFrame) -> DataFrame:
     """How many rows were made from each combination of sources.
 

@@ -22,10 +22,8 @@ def matches(title: str = "", authors: str = "", keywords: str = "", unit: str =
     A criterion without any letter, digit or Chinese character is skipped.
     """
     found = F.lit(True)
-    wanted = {"title": title, "authors": authors, "keywords": keywords, "unit": unit}
-    for name, text in wanted.items():
-        if _SPECIAL.sub("", text) != "":
-            found = found & F.lower(name).contains(text.lower())
+    for name, text in wanted_texts(title=title, authors=authors, keywords=keywords, unit=unit).items():
+        found = found & F.lower(name).contains(text)
     return found
 
 
@@ -34,6 +32,31 @@ def year_in_range(first: int = FIRST_YEAR, last: int = LAST_YEAR) -> Column:
     return F.col("year").try_cast("int").between(first, last)
 
 
+#: Number of a year, blank for what is none; kept in tables that are read by year.
+YEAR_NUMBER = "year_number"
+
+
+def by_year(records: DataFrame, parts: int | None = None) -> DataFrame:
+    """Records in ranges of years, each in order, with the year as a number; to be written as they are.
+
+    Statistics of files and row groups then tell which years they hold. The address
+    cuts a year that is as large as others together. ``parts`` is the number of files.
+    """
+    spot = F.xxhash64("url") if "url" in records.columns else F.xxhash64(*records.columns)
+    return records.withColumns({YEAR_NUMBER: F.col("year").try_cast("int"), "_spot": spot}).repartitionByRange(
+        *([] if parts is None else [parts]), YEAR_NUMBER, "_spot").sortWithinPartitions(YEAR_NUMBER, "_spot").drop("_spot")
+
+
+def between_years(records: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
+    """Records of a table written :func:`by_year` that lie in the range; the scan skips the others."""
+    return records.where(F.col(YEAR_NUMBER).between(first, last)).drop(YEAR_NUMBER)
+
+
+def wanted_texts(**criteria: str) -> dict[str, str]:
+    """Field and text in lower case of the criteria that are not skipped."""
+    return {name: text.lower() for name, text in criteria.items() if _SPECIAL.sub("", text) != ""}
+
+
 def search(records: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR, **criteria: str) -> DataFrame:
     return records.where(matches(**criteria) & year_in_range(first, last))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperweave.operators import merge
 from paperweave.schema import PAGE_SCHEMA, RESULT_SCHEMA, TRANSITION_SCHEMA
 
 
@@ -107,3 +109,80 @@ class ResultTable:
         self.spark.createDataFrame([(version, b, b in written) for b in sorted(buckets)], _COMMIT).coalesce(1) \
             .write.mode("append").parquet(f"{self.path}/commits")
         return version
+
+
+class BucketedResult:
+    """Result rows as a Spark table in buckets by title.
+
+    Records meet only rows of their title. Since the rows lie in buckets, sorted,
+    a merge reads them where they are: only new records and what was folded from
+    them are shuffled. A merge writes a new version beside the old one; the number
+    of the last one is a folder of its own, written last, so a run that dies on the
+    way leaves the old version. One writer at a time.
+
+    A title has as many rows as publications that do not contain one another, not
+    as many as records, so a bucket does not grow with the copies of a hot title.
+    """
+
+    #: Rows that agree in title and publication are in one bucket by title alone.
+    _PLANNING = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, collation: str | None = None) -> None:
+        self.spark, self.path, self.buckets, self.collation = spark, path.rstrip("/"), buckets, collation
+        self.schema = T.StructType(RESULT_SCHEMA.fields + [
+            T.StructField("title_key", T.StringType()), T.StructField("pub_key", T.StringType()),
+            T.StructField("n_links", T.LongType())])
+
+    def _versions(self) -> DataFrame:
+        return read_or_empty(self.spark, f"{self.path}/versions", T.StructType([
+            T.StructField("version", T.LongType()), T.StructField("buckets", T.LongType())]))
+
+    def version(self) -> int:
+        """Number of the last version; 0 when none was written yet."""
+        return self._versions().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+    def _name(self, version: int) -> str:
+        return f"paperweave_{hashlib.md5(self.path.encode()).hexdigest()}_{version}"
+
+    def snapshot(self) -> DataFrame:
+        """Rows with the keys they are met by; known to Spark as bucketed."""
+        version = self.version()
+        if not version:
+            return self.spark.createDataFrame([], self.schema)
+        buckets = self._versions().where(F.col("version") == version).first()["buckets"]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
+        # a session that did not write it does not know it yet
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self._name(version)} ({columns}) USING parquet "
+            f"CLUSTERED BY (title_key) SORTED BY (title_key, pub_key) INTO {buckets} BUCKETS "
+            f"LOCATION '{self.path}/rows/version={version}'")
+        return self.spark.table(self._name(version))
+
+    def read(self) -> DataFrame:
+        return self.snapshot().select(*RESULT_SCHEMA.names)
+
+    def merged(self, records: DataFrame) -> DataFrame:
+        """Rows after a merge, not written yet. Planned without a shuffle of the snapshot
+        under the settings that :meth:`merge` plans with."""
+        return merge.merge_into_snapshot(self.snapshot(), records, self.collation)
+
+    def merge(self, records: DataFrame) -> int:
+        before = {key: self.spark.conf.get(key) for key in self._PLANNING}
+        for key, value in self._PLANNING.items():
+            self.spark.conf.set(key, value)
+        try:
+            return self._write(self.merged(records))
+        finally:
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
+
+    def _write(self, rows: DataFrame) -> int:
+        version = self.version() + 1
+        name = self._name(version)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # of a run that died; its files are overwritten
+        rows.select(*self.schema.names).write.mode("overwrite").format("parquet").bucketBy(
+            self.buckets, "title_key").sortBy("title_key", "pub_key").option(
+            "path", f"{self.path}/rows/version={version}").saveAsTable(name)
+        self.spark.createDataFrame([(version, self.buckets)], self._versions().schema).coalesce(1) \
+            .write.mode("append").parquet(f"{self.path}/versions")
+        return version
