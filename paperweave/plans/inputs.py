@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paperweave.functions.clean import normalise_records
 from paperweave.functions.html import settled
+from paperweave.operators.frontier import number
 from paperweave.schema import LAYOUT_OF_SITE, SITES, with_record_defaults
 from paperweave.session import spread
 
@@ -57,15 +58,13 @@ def pick(values: list[str], index: Column) -> Column:
 # ------------------------------------------------------------------ documents
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records: title is the first line, publication the source, abstract the rest
-    of every second document."""
+    """Documents as records: title is the first line, publication the source, abstract the rest."""
     site = pick(["cnki", "cqvip", "wanfang"], F.col("doc_id") % 3)
     return with_record_defaults(table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("source").alias("publication"),
-        F.when(F.col("doc_id") % 2 == 0, F.substr(
-            "text", F.length(F.substring_index("text", "\n", 1)) + 2)).otherwise("").alias("abstract"),
+        F.substr("text", F.length(F.substring_index("text", "\n", 1)) + 2).alias("abstract"),
         F.when(F.col("doc_id") % 3 == 0, "").otherwise(
             (1990 + F.col("doc_id") % 30).cast("string")).alias("year"),
         fill("http://www.{site}.example/{doc_id}", site=site).alias("url"),
@@ -86,7 +85,7 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(list(SITES.values()), F.col("user_id") % 3).alias("source"),
         F.when(kind == "signup", 0).when(kind == "view", 10).when(kind == "purchase", 20)
         .when(kind == "error", -15).otherwise(-10).alias("state"),
-        F.col("event_id").alias("seq"),
+        number(0, place=F.col("event_id")).alias("seq"),
     )
 
 

@@ -14,7 +14,7 @@ def _clean(c: str) -> str:
 RECORDS = f"""
 raw_records AS (
   SELECT doc_id AS seq, split_part(text, chr(10), 1) AS title, source AS publication,
-    CASE WHEN doc_id % 2 = 0 THEN substr(text, length(split_part(text, chr(10), 1)) + 2) ELSE '' END AS abstract,
+    substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract,
     CASE WHEN doc_id % 3 = 0 THEN '' ELSE CAST(1990 + doc_id % 30 AS VARCHAR) END AS year,
     'http://www.' || CASE doc_id % 3 WHEN 0 THEN 'cnki' WHEN 1 THEN 'cqvip' ELSE 'wanfang' END
       || '.example/' || doc_id AS raw_url
@@ -52,11 +52,11 @@ TRANSITIONS = f"""
 transitions AS (
   SELECT CAST(user_id AS VARCHAR) AS url, {SITE_OF_USER} AS source,
     CAST(CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 10 WHEN 'purchase' THEN 20
-      WHEN 'error' THEN -15 ELSE -10 END AS INTEGER) AS state, event_id AS seq
+      WHEN 'error' THEN -15 ELSE -10 END AS INTEGER) AS state, CAST(0 AS BIGINT) AS run, event_id AS seq
   FROM events),
 frontier AS (
-  SELECT url, arg_max(source, seq) AS source, arg_max(state, seq) AS state, max(seq) AS seq
-  FROM transitions GROUP BY url)"""
+  SELECT url, arg_max(source, seq) AS source, arg_max(state, seq) AS state,
+    CAST(0 AS BIGINT) AS run, max(seq) AS seq FROM transitions GROUP BY url)"""
 
 PROGRESS = """
   SELECT source, count(*) AS n_all,

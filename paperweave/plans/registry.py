@@ -7,21 +7,25 @@ same name to SQL over the tables. Every query reads whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperweave.functions import clean, numerals
 from paperweave.operators import detail, frontier, listing, merge, search
 from paperweave.plans import inputs as I
 from paperweave.plans import oracle as O
 from paperweave.plans.harvest import harvest, links_of_sites
-from paperweave.schema import PAGE_SCHEMA, RECORD_FIELDS, RECORD_SCHEMA, TRANSITION_SCHEMA
+from paperweave.schema import PAGE_SCHEMA, RECORD_FIELDS, RECORD_SCHEMA, SEARCH_FIELDS, TRANSITION_SCHEMA
 from paperweave.session import materialise, shared_folder
+from paperweave.sources.index import SearchIndex
 from paperweave.sources.tables import (
-    ResultTable, TransitionLog, read_pages, with_fetch_status,
+    BucketedResult, ResultTable, TransitionLog, read_pages, with_fetch_status,
 )
 from paperweave.streaming import harvest as stream
+from paperweave.streaming.state import FoldedState
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,13 +73,18 @@ def src1(spark, sf_dir):
     return pages.select("page_id", "url", "fetched", F.length("html").cast("bigint").alias("n_chars"))
 
 
-@query("src2_frontier_log", f"WITH {O.TRANSITIONS} SELECT url, source, state, seq FROM transitions")
+def _flat(log: DataFrame, *more: str) -> DataFrame:
+    """Transitions with the parts of their place in the log that the tables fill."""
+    return log.select("url", "source", "state", "seq.run", F.col("seq.position").alias("seq"), *more)
+
+
+@query("src2_frontier_log", f"WITH {O.TRANSITIONS} SELECT url, source, state, run, seq FROM transitions")
 def src2(spark, sf_dir):
     log = TransitionLog(spark, shared_folder(spark, "frontier"))
     rows = I.transitions(spark, sf_dir)
     log.append(rows.where("state = 0"))
     log.append(rows.where("state <> 0"))
-    return log.read()
+    return _flat(log.read())
 
 
 @query("src3_result_table", f"WITH {O.RECORDS}, {O.MERGE} SELECT {O.MERGED_COLUMNS} FROM merged")
@@ -209,6 +218,43 @@ def lst7(spark, sf_dir):
         "o_custkey", "page", listing.paging_progress(F.col("page"), F.col("n_pages")).alias("pct"))
 
 
+def _list_stage(spark, sf_dir, name):
+    """Searches with their list pages, a link on each."""
+    searches = _paged(spark, sf_dir).select(F.col("o_custkey").cast("string").alias("search"), "n_pages")
+    pages = listing.page_plan(searches).select(
+        "search", "page", I.fill("<div class=wz_content><a href='http://a.example/{search}/{page}'>t</a></div>")
+        .alias("html"), F.lit("Cnki").alias("source"))
+    return searches, materialise(pages, "fetched-pages"), stream.ListStage(spark, shared_folder(spark, name), every=2)
+
+
+@query("lst3_resumed_cursor", f"""WITH {O.HITS},
+  planned AS (SELECT o_custkey, unnest(range(1, n_pages + 1)) AS page FROM paged)
+  SELECT CAST(o_custkey AS VARCHAR) AS search, page, 'http://a.example/' || o_custkey || '/' || page AS url
+  FROM planned""")
+def lst3_resumed(spark, sf_dir):
+    """All pages in any order, many of them twice, by a stage that is started anew for each part."""
+    _, pages, stage = _list_stage(spark, sf_dir, "list-stage")
+    part = F.pmod(F.xxhash64("search", "page"), F.lit(4))
+    again = F.pmod(F.xxhash64("page", "search"), F.lit(4))
+    inbox, checkpoint = shared_folder(spark, "inbox"), _checkpoint(spark)
+    for k in range(4):
+        pages.where((part == k) | (again == k)).write.mode("append").parquet(inbox)
+        _run(stage.start, stream.stream_table(spark, inbox, pages.schema), checkpoint)
+    done = stage.cursors.read().withColumnRenamed("page", "last")
+    return stage.links().join(done, "search").where("page <= last").select("search", "page", "url")
+
+
+@query("lst3_remaining_pages", f"""WITH {O.HITS}
+  SELECT CAST(o_custkey AS VARCHAR) AS search, unnest(range(n_pages // 2 + 1, n_pages)) AS page FROM paged""")
+def lst3_remaining(spark, sf_dir):
+    """What is left to fetch after the first half and the last page of every search."""
+    searches, pages, stage = _list_stage(spark, sf_dir, "list-stage")
+    counted = pages.join(searches, "search")
+    stage.take(counted.where("page <= n_pages div 2").drop("n_pages"), 0)
+    stage.take(counted.where("page = n_pages").drop("n_pages"), 1)
+    return stage.remaining(searches).select("search", "page")
+
+
 # -------------------------------------------------------------------- frontier
 
 def link_seq():
@@ -247,43 +293,48 @@ _PENDING = f"""WITH {O.TRANSITIONS},
              FROM frontier WHERE state IN (0, -10))"""
 
 
-@query("frt2_pending", f"{_PENDING} SELECT url, source, state, seq, rank FROM ranked WHERE rank <= 20")
+@query("frt2_pending", f"{_PENDING} SELECT url, source, state, run, seq, rank FROM ranked WHERE rank <= 20")
 def frt2(spark, sf_dir):
-    return frontier.pending(_frontier(spark, sf_dir), 20).select(
-        "url", "source", "state", "seq", F.col("rank").cast("bigint").alias("rank"))
+    return _flat(frontier.pending(_frontier(spark, sf_dir), 20).withColumn(
+        "rank", F.col("rank").cast("bigint")), "rank")
 
 
-_NEXT = "(SELECT max(seq) + 1 FROM transitions)"
+# the place of what is appended after the tables' transitions
+_NEXT = "CAST(1 AS BIGINT) AS run, CAST(0 AS BIGINT) AS seq"
 
 
-@query("frt3_lease", f"""{_PENDING} SELECT url, source, CAST(10 AS INTEGER) AS state, {_NEXT} AS seq
+@query("frt3_lease", f"""{_PENDING} SELECT url, source, CAST(10 AS INTEGER) AS state, {_NEXT}
   FROM ranked WHERE rank <= 20""")
 def frt3(spark, sf_dir):
     log = I.transitions(spark, sf_dir)
-    return frontier.lease(frontier.current_state(log), frontier.following(log), 20)
+    return _flat(frontier.lease(frontier.current_state(log), frontier.following(log), 20))
 
 
 def _late_log(spark, sf_dir):
-    """The log with numbers as large as hashes."""
-    return I.transitions(spark, sf_dir).withColumn("seq", F.col("seq") + F.lit(1 << 61))
+    """The log with places as large as hashes."""
+    place = F.col("seq.position") + F.lit(1 << 61)
+    return I.transitions(spark, sf_dir).withColumn("seq", F.col("seq").withField("position", place))
+
+
+def _after(changed: str, state: int) -> str:
+    return f"""SELECT url, source, CAST(CASE WHEN {changed} THEN {state} ELSE state END AS INTEGER) AS state,
+    CAST(CASE WHEN {changed} THEN 1 ELSE 0 END AS BIGINT) AS run,
+    CASE WHEN {changed} THEN 0 ELSE seq + {1 << 61} END AS seq FROM frontier"""
 
 
 @query("frt3_lease_fold", f"""{_PENDING}, leased AS (SELECT url FROM ranked WHERE rank <= 20)
-  SELECT url, source, CAST(CASE WHEN url IN (FROM leased) THEN 10 ELSE state END AS INTEGER) AS state,
-    CASE WHEN url IN (FROM leased) THEN {_NEXT} ELSE seq END + {1 << 61} AS seq FROM frontier""")
+  {_after("url IN (FROM leased)", 10)}""")
 def frt3_fold(spark, sf_dir):
     log = _late_log(spark, sf_dir)
     taken = frontier.lease(frontier.current_state(log), frontier.following(log), 20)
-    return frontier.current_state(log.unionByName(taken))
+    return _flat(frontier.current_state(log.unionByName(taken)))
 
 
-@query("frt6_recover_fold", f"""WITH {O.TRANSITIONS}
-  SELECT url, source, CAST(CASE WHEN state = 10 THEN 0 ELSE state END AS INTEGER) AS state,
-    CASE WHEN state = 10 THEN {_NEXT} ELSE seq END + {1 << 61} AS seq FROM frontier""")
+@query("frt6_recover_fold", f"WITH {O.TRANSITIONS} {_after('state = 10', 0)}")
 def frt6_fold(spark, sf_dir):
     log = _late_log(spark, sf_dir)
     back = frontier.recover(frontier.current_state(log), frontier.following(log))
-    return frontier.current_state(log.unionByName(back))
+    return _flat(frontier.current_state(log.unionByName(back)))
 
 
 _MARKED = f"""WITH {O.HARVEST},
@@ -316,15 +367,25 @@ def frt5(spark, sf_dir):
 
 
 @query("frt6_recover", f"""WITH {O.TRANSITIONS}
-  SELECT url, source, CAST(CASE WHEN state = 10 THEN 0 ELSE state END AS INTEGER) AS state, seq
+  SELECT url, source, CAST(CASE WHEN state = 10 THEN 0 ELSE state END AS INTEGER) AS state, run, seq
   FROM frontier""")
 def frt6(spark, sf_dir):
-    return frontier.recovered(_frontier(spark, sf_dir))
+    return _flat(frontier.recovered(_frontier(spark, sf_dir)))
 
 
-@query("frt7_current_state", f"WITH {O.TRANSITIONS} SELECT url, source, state, seq FROM frontier")
+@query("frt7_current_state", f"WITH {O.TRANSITIONS} SELECT url, source, state, run, seq FROM frontier")
 def frt7(spark, sf_dir):
-    return _frontier(spark, sf_dir)
+    return _flat(_frontier(spark, sf_dir))
+
+
+@query("frt7_folded_state", f"WITH {O.TRANSITIONS} SELECT url, source, state, run, seq FROM frontier")
+def frt7_folded(spark, sf_dir):
+    state = FoldedState(spark, shared_folder(spark, "folded"), TRANSITION_SCHEMA, ["url"], "url", "seq", every=3)
+    log = materialise(I.transitions(spark, sf_dir), "log")
+    last = log.agg(F.max("seq.position")).first()[0] or 0
+    for k in range(10):
+        state.append(log.where(F.floor(F.col("seq.position") * 10 / (last + 1)) == k), k)
+    return _flat(state.read())
 
 
 @query("frt8_progress", f"WITH {O.TRANSITIONS} {O.PROGRESS.format(table='frontier')}")
@@ -347,13 +408,12 @@ def frt10(spark, sf_dir):
 
 
 @query("frt11_labels", f"""WITH {O.TRANSITIONS}
-  SELECT url, source, state, seq, CASE state WHEN 0 THEN 'initial' WHEN 10 THEN 'in progress'
+  SELECT url, source, state, run, seq, CASE state WHEN 0 THEN 'initial' WHEN 10 THEN 'in progress'
     WHEN 20 THEN 'finished' WHEN -5 THEN 'wrong date' WHEN -10 THEN 'error'
     WHEN -15 THEN 'invalid link' END AS label
   FROM transitions""")
 def frt11(spark, sf_dir):
-    return frontier.with_labels(I.transitions(spark, sf_dir)).select(
-        "url", "source", "state", "seq", "label")
+    return _flat(frontier.with_labels(I.transitions(spark, sf_dir)), "label")
 
 
 # ---------------------------------------------------------------- detail stage
@@ -625,6 +685,24 @@ def mrg5(spark, sf_dir):
     return merge.merge_into(result, second)
 
 
+@query("mrg5_colocated", f"WITH {O.RECORDS}, {O.MERGE} SELECT {O.MERGED_COLUMNS} FROM merged")
+def mrg5_colocated(spark, sf_dir):
+    table = BucketedResult(spark, shared_folder(spark, "bucketed"), buckets=8)
+    for part in _halves(_records(spark, sf_dir)):
+        table.merge(part)
+    return table.read()
+
+
+@query("mrg3_listed", f"""WITH {O.RECORDS}, {O.MERGE},
+  placed AS (SELECT id, seq, url, source, (row_number() OVER (PARTITION BY id ORDER BY seq) - 1) // 4 AS chunk FROM members)
+  SELECT id, chunk, count(*) AS n, string_agg(url, ';' ORDER BY seq) AS url,
+    string_agg(source, ';' ORDER BY seq) AS source FROM placed GROUP BY id, chunk""")
+def mrg3_listed(spark, sf_dir):
+    keyed = merge.with_keys(_records(spark, sf_dir))
+    plan = merge.plan_merge(merge.build_groups(keyed))
+    return merge.listed(merge.membership_ids(merge.memberships(keyed, plan), plan), 4)
+
+
 @query("mrg6_status", f"""{_MARKED},
   marked AS (SELECT site AS source, CASE WHEN ok THEN 20 ELSE -15 END AS state FROM frontier)
   SELECT source, CAST(state AS INTEGER) AS state, count(*) AS n FROM marked GROUP BY ALL""")
@@ -660,14 +738,43 @@ def sea1(spark, sf_dir):
         title="RING", keywords="Brand#1", unit=" --")).select("p_partkey", "title", "keywords")
 
 
-@query("sea2_year_range", """
+# Searches as (title, authors, keywords, unit); texts shorter than a gram, longer ones, none.
+_SEARCHES = [("RING", "", "Brand#1", ""), ("e", "", "", ""), ("ue", "", "#2", "SM"), ("all bo", "", "", "econo"),
+             ("small ring", "", "Brand#2", "ECONOMY"), ("no such part", "", "", ""), ("", "", "--", "")]
+
+
+@query("sea1_indexed", " UNION ALL ".join(
+    f"SELECT CAST({n} AS INTEGER) AS search, p_partkey FROM part WHERE " + " AND ".join(
+        [f"contains(lower({c}), '{text.lower()}')" for c, text in zip(("p_name", "''", "p_brand", "p_type"), texts)
+         if text.strip("-")] or ["true"]) for n, texts in enumerate(_SEARCHES)))
+def sea1_indexed(spark, sf_dir):
+    index = SearchIndex(spark, shared_folder(spark, "index"))
+    index.build(_part_records(spark, sf_dir), "p_partkey")
+    found = [index.matching(**dict(zip(SEARCH_FIELDS, texts))).select(
+        F.lit(n).alias("search"), F.col("id").alias("p_partkey")) for n, texts in enumerate(_SEARCHES)]
+    return reduce(DataFrame.unionByName, found)
+
+
+_YEARS = """
   SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders
-  WHERE o_orderkey % 7 <> 0 AND year(o_orderdate) BETWEEN 1995 AND 1998""")
-def sea2(spark, sf_dir):
-    rows = I.table(spark, sf_dir, "orders").select("o_orderkey", F.when(
+  WHERE o_orderkey % 7 <> 0 AND year(o_orderdate) BETWEEN 1995 AND 1998"""
+
+
+@query("sea2_pruned_years", _YEARS)
+def sea2_pruned(spark, sf_dir):
+    written = materialise(search.by_year(_dated(spark, sf_dir)), "by-year")
+    return search.between_years(written, 1995, 1998)
+
+
+def _dated(spark, sf_dir):
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", F.when(
         F.col("o_orderkey") % 7 == 0, "n.d.").otherwise(
             F.year("o_orderdate").cast("string")).alias("year"))
-    return rows.where(search.year_in_range(1995, 1998))
+
+
+@query("sea2_year_range", _YEARS)
+def sea2(spark, sf_dir):
+    return _dated(spark, sf_dir).where(search.year_in_range(1995, 1998))
 
 
 @query("sea3_wrong_date", f"""WITH {O.HARVEST}
@@ -719,9 +826,9 @@ def _pages_in_parts(spark, sf_dir, start) -> None:
 def str1_leased(spark, sf_dir):
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
     links = pages.select("url", F.concat(F.lit("site"), F.col("page_id") % 3).alias("source"),
-                         F.col("page_id").alias("seq"))
-    sink = stream.LeasedIntake(spark, shared_folder(spark, "intake"), pages)
-    _in_parts(spark, links, links.schema, sink.start)
+                         frontier.number(0, page=F.col("page_id")).alias("seq"))
+    sink = stream.LeasedIntake(spark, shared_folder(spark, "intake"), pages, every=2)
+    _in_parts(spark, links, links.schema, sink.start, "seq.page_id")
     return sink.pages().select("page_id", "url")
 
 
@@ -752,7 +859,7 @@ def str2(spark, sf_dir):
       {O.plain('unnest(urls)')} AS url FROM found)
   SELECT url, min(seq) AS seq FROM numbered GROUP BY url""")
 def str2_first(spark, sf_dir):
-    sink = stream.LinkSink(spark, shared_folder(spark, "frontier"))
+    sink = stream.LinkSink(spark, shared_folder(spark, "frontier"), every=2)
     _pages_in_parts(spark, sf_dir, lambda pages, check, pace: sink.start(
         listing.extract_links(pages, "any").select("url", link_seq().alias("seq")), check, pace))
     return sink.links()
@@ -762,10 +869,11 @@ def str2_first(spark, sf_dir):
   SELECT page_id, url, ok, publication, year FROM shown WHERE ok
   UNION ALL SELECT page_id, url, ok, '', '' FROM shown WHERE NOT ok""")
 def str3(spark, sf_dir):
-    pages = materialise(I.site_pages(spark, sf_dir), "stream-pages")
+    pages = I.site_pages(spark, sf_dir)
     sink = stream.ExtractionSink(spark, shared_folder(spark, "extraction"))
-    arriving = stream.stream_table(spark, pages.inputFiles()[0].rsplit("/", 1)[0], pages.schema, 4)
-    _run(sink.start, arriving, _checkpoint(spark))
+    inbox = shared_folder(spark, "inbox")
+    pages.write.parquet(inbox)
+    _run(sink.start, stream.stream_table(spark, inbox, pages.schema, 4), _checkpoint(spark))
     good = sink.records().select("page_id", "url", F.lit(True).alias("ok"), "publication", "year")
     bad = sink.failures().select(
         "page_id", "url", F.lit(False).alias("ok"), F.lit("").alias("publication"),
@@ -773,9 +881,29 @@ def str3(spark, sf_dir):
     return good.unionByName(bad)
 
 
+@query("str3_counts", f"""WITH {O.HARVEST}
+  SELECT site AS source, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS failed
+  FROM shown GROUP BY site""")
+def str3_counts(spark, sf_dir):
+    sink = stream.ExtractionSink(spark, shared_folder(spark, "extraction"))
+    pages = materialise(I.site_pages(spark, sf_dir), "pages")
+    schema = T.StructType([*PAGE_SCHEMA.fields, T.StructField("source", T.StringType())])
+    _in_parts(spark, pages, schema, sink.start, "page_id", parts=2)
+    return sink.counts()
+
+
+@query("str4_counts", f"""WITH {O.RECORDS}, {O.MERGE}
+  SELECT CAST((SELECT count(*) FROM members) AS BIGINT) AS contributions,
+    CAST((SELECT count(*) FROM creators) AS BIGINT) AS papers""")
+def str4_counts(spark, sf_dir):
+    sink = stream.MergeSink(spark, shared_folder(spark, "merge"))
+    _in_parts(spark, _records(spark, sf_dir), RECORD_SCHEMA, sink.start, parts=2)
+    return sink.counts()
+
+
 @query("str4_merge", f"WITH {O.RECORDS}, {O.MERGE} SELECT {O.MERGED_COLUMNS} FROM merged")
 def str4(spark, sf_dir):
-    sink = stream.MergeSink(spark, shared_folder(spark, "merge"))
+    sink = stream.MergeSink(spark, shared_folder(spark, "merge"), every=2)
     _in_parts(spark, _records(spark, sf_dir), RECORD_SCHEMA, sink.start)
     return sink.result()
 
@@ -783,8 +911,8 @@ def str4(spark, sf_dir):
 @query("str5_live_progress", f"""WITH {O.TRANSITIONS}
   SELECT source, state, count(*) AS n FROM frontier GROUP BY source, state""")
 def str5(spark, sf_dir):
-    sink = stream.ProgressSink(spark, shared_folder(spark, "progress"))
-    _in_parts(spark, I.transitions(spark, sf_dir), TRANSITION_SCHEMA, sink.start)
+    sink = stream.ProgressSink(spark, shared_folder(spark, "progress"), every=2)
+    _in_parts(spark, I.transitions(spark, sf_dir), TRANSITION_SCHEMA, sink.start, "seq.position")
     return sink.counts()
 
 
@@ -792,8 +920,8 @@ def str5(spark, sf_dir):
   SELECT source, CAST(CASE WHEN state = 10 THEN 0 ELSE state END AS INTEGER) AS state,
     count(*) AS n FROM frontier GROUP BY ALL""")
 def str6(spark, sf_dir):
-    sink = stream.ProgressSink(spark, shared_folder(spark, "progress"))
-    _in_parts(spark, I.transitions(spark, sf_dir), TRANSITION_SCHEMA, sink.start)
+    sink = stream.ProgressSink(spark, shared_folder(spark, "progress"), every=2)
+    _in_parts(spark, I.transitions(spark, sf_dir), TRANSITION_SCHEMA, sink.start, "seq.position")
     sink.recover()
     return sink.counts()
 
@@ -817,3 +945,23 @@ def harvest_progress(spark, sf_dir):
     run = harvest(I.list_pages(spark, sf_dir), I.site_pages(spark, sf_dir),
                   first_year=1995, last_year=1998)
     return frontier.progress(run.frontier)
+
+
+@query("harvest_continued", f"""WITH {_HARVEST_STATES}
+  SELECT source, CAST(state AS INTEGER) AS state, count(*) AS n FROM states GROUP BY ALL""")
+def harvest_continued(spark, sf_dir):
+    """A harvest that is broken off with links waiting and leased, kept in the log, recovered and ended."""
+    lists = materialise(I.list_pages(spark, sf_dir), "lists")
+    pages = materialise(I.site_pages(spark, sf_dir), "pages")
+    log = TransitionLog(spark, shared_folder(spark, "frontier"))
+    half = lists.agg(F.floor(F.max("page_id") / 6) * 3).first()[0] or 0
+    # thirty articles stand on every three list pages; a third of those listed is not fetched yet
+    listed, fetched = F.col("page_id") < half, F.col("page_id") < half * 10 * 2 / 3
+    one = harvest(lists.where(listed), pages.where(fetched), first_year=1995, last_year=1998)
+    log.append(one.frontier)
+    log.append(frontier.lease(frontier.current_state(log.read()), frontier.following(log.read())))
+    states = frontier.current_state(log.read())
+    log.append(frontier.recover(states, frontier.following(states)))
+    two = harvest(lists.where(~listed), pages.where(~fetched), first_year=1995, last_year=1998,
+                  known=materialise(one.result, "one"), known_links=frontier.current_state(log.read()))
+    return two.frontier.groupBy("source", "state").agg(F.count(F.lit(1)).alias("n"))
