@@ -22,8 +22,9 @@ prefix, no count is capped, and what a task holds is bounded by one text.
 
 Defined cases: null and empty texts have no words and stay as they are; texts
 shorter than a window lose nothing; a passage repeated inside one document only stays; of several
-rows with one id, none counts as a repetition of the others; very long texts
-stay whole; other columns are carried along, whatever their names.
+rows with one id, equal or not, none counts as a repetition of the others; a row without an id is
+no source and stays as it is; very long texts stay whole; other columns are carried along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -161,11 +162,11 @@ def classified(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = stored(classes.join(branching, "anchor"), "classes")
     known = stored(runs.join(classes, ["anchor", "whole"]).select("id", "place", "first", "classes"), "known")
     start = F.floor(F.col("place") / (LONGEST + 1)).cast("int")
-    spans = known.where("first.id < id").select(
+    spans = known.where("first.id.id < id.id").select(
         "id", start.alias("at"), (F.pmod("place", F.lit(LONGEST + 1)) + SPAN - 1).cast("int").alias("length"),
         F.col("first.id").alias("source"),
         F.floor(F.col("first.place") / (LONGEST + 1)).cast("int").alias("source_at"))
-    return spans, known.where("first.id = id AND classes > 1").select("id", "place")
+    return spans, known.where("first.id.id = id.id AND classes > 1").select("id", "place")
 
 
 def paths(edges: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def paths(edges: DataFrame) -> DataFrame:
     graph = edges.groupBy("edge").agg(
         F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"),
         F.min("around").alias("around"), F.max("around").alias("around2"))
-    repeated = graph.where("first.id <> last").select(
+    repeated = graph.where("first.id.id <> last.id").select(
         "edge", F.col("first.id").alias("source"), F.col("first.at").alias("source_at"),
         (F.col("around") != F.col("around2")).alias("branches"))
     along = Window.partitionBy("source").orderBy("source_at")
@@ -207,7 +208,7 @@ def repeated_spans(docs: DataFrame, runs: DataFrame) -> DataFrame:
     asked = open_.groupBy("id").agg(F.collect_list("place").alias("asked"))
     edges = docs.join(asked, "id", "left").select("row", "id", "text", "asked") \
         .mapInArrow(_edges, f"edge long, id {kind}, at int, around int")
-    on_path = edges.select("edge", "id", "at").join(paths(edges), "edge").where("source < id")
+    on_path = edges.select("edge", "id", "at").join(paths(edges), "edge").where("source.id < id.id")
     single = on_path.select("id", "at", F.lit(SPAN).alias("length"), "source", "source_at")
     return merged(spans.unionByName(single))
 
@@ -218,14 +219,17 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     source_at``) and ``kept_sha256`` (of the kept words, joined), which replace columns of those
     names."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    named = docs.select(F.struct(*others).alias("row"), F.col(id).alias("id"), F.col(text).alias("text"))
-    runs = shared_runs(named.where("id IS NOT NULL"))
+    # rows of one id with different texts have places of their own
+    named = docs.select(F.struct(*others).alias("row"), F.struct(
+        F.col(id).alias("id"), F.xxhash64(text).alias("copy")).alias("id"), F.col(text).alias("text"))
+    runs = shared_runs(named.where("id.id IS NOT NULL"))
     seen = id_filter(runs.select("id"))
     some, rest = possible(named, seen), possible(named, seen, wanted=False)
-    kind = named.schema["id"].dataType.simpleString()
+    kind = docs.schema[id].dataType.simpleString()
     span = f"array<struct<at:int,length:int,source:{kind},source_at:int>>"
     cut = repeated_spans(some, runs).groupBy("id") \
-        .agg(F.sort_array(F.collect_list(F.struct("at", "length", "source", "source_at"))).alias("spans"))
+        .agg(F.sort_array(F.collect_list(F.struct(
+            "at", "length", F.col("source.id").alias("source"), "source_at"))).alias("spans"))
     spans = some.join(cut, "id", "left").select("row", "text", F.coalesce("spans", F.array().cast(span)).alias("spans"))
     schema = (f"row {named.schema['row'].dataType.simpleString()}, n_words long, n_removed long, "
               f"spans {span}, kept string, kept_sha256 string")

@@ -60,6 +60,43 @@ def test_prefix_join_closes_what_leaders_leave(spark, mixed, monkeypatch):
     assert by_id(found.select("doc_id", "n_shingles", "component_id").collect()) == brute.near_duplicates(pairs(mixed))
 
 
+def test_texts_of_one_id_are_united(spark):
+    base = {name: [f"{name}{i}" for i in range(60)] for name in "ABCD"}
+    near = lambda name, word: " ".join([*base[name], word])
+    rows = [(1, near("A", "z")), (5, near("A", "y")), (5, near("B", "y")), (9, near("B", "z")), (9, near("C", "z")),
+            (3, near("C", "y")), (12, None), (12, near("D", "y")), (14, near("D", "z")), (None, near("D", "z")),
+            (20, "alone"), (20, "apart"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        found = minhash.near_duplicates(docs.repartition(parts)).collect()
+        assert len(found) == len(rows)
+        assert {r.doc_id: r.component_id for r in found} == {
+            1: 1, 5: 1, 9: 1, 3: 1, 12: 12, 14: 12, 20: 20, None: None}
+    kept = minhash.deduplicated(docs).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 0, 1, 12, 12, 20, 20]
+
+
+def test_passages_of_one_id_with_different_texts(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"t{rng.randrange(40)}" for _ in range(n)) for n in (60, 45, 30, 20)]
+    cut = lambda i, a, b: " ".join(texts[i].split()[a:b])
+    rows = [(7, texts[0]), (7, texts[1]), (7, cut(0, 10, 40) + " x"), (9, cut(0, 5, 30) + " y " + cut(1, 3, 40)),
+            (9, texts[2]), (9, "short"), (4, cut(2, 2, 20)), (4, texts[3]), (None, texts[0]), (7, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = lambda text: [tuple(text.split()[i:i + 13]) for i in range(len(text.split()) - 12)]
+    first = {}
+    for i, text in rows:
+        for gram in grams(text) if i is not None else ():
+            first[gram] = min(i, first.get(gram, i))
+    wanted = []
+    for i, text in rows:
+        gone = {k + j for k, gram in enumerate(grams(text)) if i is not None and first[gram] < i for j in range(13)}
+        left = [w for k, w in enumerate(text.split()) if k not in gone]
+        wanted.append((str(i), len(gone), hashlib.sha256(" ".join(left).encode()).hexdigest()))
+    found = substrings.without_repeats(docs).collect()
+    assert sorted((str(r.doc_id), r.n_removed, r.kept_sha256) for r in found) == sorted(wanted)
+
+
 def test_near_duplicates_of_tables(spark):
     docs = documents(spark)
     found = by_id(minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect())
