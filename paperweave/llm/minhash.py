@@ -17,8 +17,9 @@ different components are compared. So no candidate is lost, and a large group
 of near copies costs a comparison per member and leader instead of all pairs.
 
 Defined cases: null and empty texts have no shingles and are linked with
-nothing; repeated ids count as one document whose sets are united by their
-links, and every row is returned; ties go to the smaller id; very long texts
+nothing; repeated ids, equal or with different texts, are one document that has the
+links of all its texts, and every row is returned; a row without an id is linked with
+nothing and has no component; ties go to the smaller id; very long texts
 stay whole in one row and are hashed in bounded slices; other columns are not
 read, so their names cannot clash.
 """
@@ -143,8 +144,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     ``component_id`` the smallest id reachable over links, and ``n_links`` the
     number of confirmed links of the class's representative that were needed.
     """
-    kind = docs.schema[id].dataType.simpleString()
-    named = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    # a vertex is a text of an id; texts of one id are united at the end
+    named = docs.where(F.col(id).isNotNull()).select(F.struct(
+        F.col(id).alias("id"), F.xxhash64(text).alias("copy")).alias("id"), F.col(text).alias("text"))
+    kind = named.schema["id"].dataType.simpleString()
     signed = stored(named.mapInArrow(
         _signed, f"id {kind}, n long, set_a long, set_b long, bands array<bigint>"), "signatures")
     classes = signed.where("n > 0").groupBy("n", "set_a", "set_b") \
@@ -199,7 +202,26 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
             .join(degree, "class_id", "left") \
             .select("id", "n_shingles", "class_id", F.coalesce("c", "class_id").alias("component_id"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return found.select(F.col("id").alias(id), "n_shingles", "class_id", "component_id", "n_links")
+    one = _united(stored(found, "found"))
+    without = docs.where(F.col(id).isNull()).select(F.lit(None).cast(kind).alias("id"), F.col(text).alias("text"))
+    none = without.mapInArrow(_signed, f"id {kind}, n long, set_a long, set_b long, bands array<bigint>").select(
+        "id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"),
+        F.lit(0).cast("long").alias("n_links"))
+    return one.unionByName(none).select(F.col("id.id").alias(id), "n_shingles", F.col("class_id.id").alias("class_id"),
+                                        F.col("component_id.id").alias("component_id"), "n_links")
+
+
+def _united(found: DataFrame) -> DataFrame:
+    """Components that share an id, by different texts of it, as one."""
+    several = stored(found.groupBy(F.col("id.id").alias("doc")).agg(
+        F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("doc", "lo"),
+        "several")
+    if several.isEmpty():
+        return found
+    met = found.join(several, F.col("id.id") == F.col("doc")).where("component_id <> lo")
+    over = components(met.select(F.col("component_id").alias("a"), F.col("lo").alias("b")).distinct())
+    return found.join(over.withColumnRenamed("v", "component_id"), "component_id", "left").withColumn(
+        "component_id", F.coalesce("c", "component_id")).drop("c")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None):
