@@ -78,28 +78,38 @@ def _whole_number(c: Column) -> Column:
     return _read(c, F.lit(0).cast("bigint"), add)[0]
 
 
-def _digit_text(c: Column) -> Column:
-    """The same sum in writing: digits at each power, then carried from the right."""
-    none = F.array().cast("array<struct<digit:int,power:int>>")
-    add = lambda terms, digit, power: F.concat(terms, F.array(F.struct(
-        digit.cast("int").alias("digit"), power.cast("int").alias("power"))))
+_TERMS = "array<struct<digit:int,power:int>>"
+
+
+def _term(digit: Column, power: Column) -> Column:
+    return F.array(F.struct(digit.cast("int").alias("digit"), power.cast("int").alias("power")))
+
 
-    def written(terms: Column) -> Column:
-        last = F.array_max(F.transform(terms, lambda t: t["power"])) + F.length(F.size(terms).cast("string")) + 1
+def _written(terms: Column) -> Column:
+    """Sum of digits at powers of ten as text: summed at each power, then carried from the right."""
+    last = F.array_max(F.transform(terms, lambda t: t["power"])) + F.length(F.size(terms).cast("string")) + 1
 
-        def step(s: Column, power: Column) -> Column:
-            here = s["carry"] + F.aggregate(
-                terms, F.lit(0), lambda n, t: n + F.when(t["power"] == power, t["digit"]).otherwise(0))
-            return F.struct((F.floor(here / 10)).cast("int").alias("carry"),
-                            F.concat(F.pmod(here, F.lit(10)).cast("string"), s["text"]).alias("text"))
+    def step(s: Column, power: Column) -> Column:
+        here = s["carry"] + F.aggregate(
+            terms, F.lit(0), lambda n, t: n + F.when(t["power"] == power, t["digit"]).otherwise(0))
+        return F.struct((F.floor(here / 10)).cast("int").alias("carry"),
+                        F.concat(F.pmod(here, F.lit(10)).cast("string"), s["text"]).alias("text"))
 
-        digits = F.aggregate(
-            F.sequence(F.lit(0), F.coalesce(last, F.lit(0))),
-            F.struct(F.lit(0).alias("carry"), F.lit("").alias("text")), step, lambda s: s["text"])
-        plain = F.regexp_replace(digits, "^0+", "")
-        return F.when(plain == "", "0").otherwise(plain)
+    digits = F.aggregate(
+        F.sequence(F.lit(0), F.coalesce(last, F.lit(0))),
+        F.struct(F.lit(0).alias("carry"), F.lit("").alias("text")), step, lambda s: s["text"])
+    return _without_zeros(digits)
 
-    return bound(_read(c, none, add)[0], written)
+
+def _without_zeros(digits: Column) -> Column:
+    plain = F.regexp_replace(digits, "^0+", "")
+    return F.when(plain == "", "0").otherwise(plain)
+
+
+def _digit_text(c: Column) -> Column:
+    """The same sum in writing."""
+    add = lambda terms, digit, power: F.concat(terms, _term(digit, power))
+    return bound(_read(c, F.array().cast(_TERMS), add)[0], _written)
 
 
 def compat_text(c: Column) -> Column:
@@ -119,7 +129,8 @@ def compat_number(c: Column) -> Column:
 
 
 def strict_number(c: Column) -> Column:
-    """Value of a run by the usual rules: 十万 is 100000, 二零一八 is 2018."""
+    """Value of a run by the usual rules: 十万 is 100000, 二零一八 is 2018. NULL beyond 38 digits,
+    which :func:`strict_text` has."""
     def step(s: Column, ch: Column) -> Column:
         digit, unit = _lookup(DIGITS, ch), _lookup(UNITS, ch)
         small = unit < 4
@@ -148,9 +159,46 @@ def strict_number(c: Column) -> Column:
     return F.when(has_unit, by_unit).otherwise(spelt.try_cast(_DECIMAL))
 
 
+def _strict_terms(c: Column) -> Column:
+    """The strict value as digits at powers of ten.
+
+    Read from the right. 万 lifts what is left of it by four powers up to the next
+    large unit, every 亿 all that is left of it by eight more. A small unit waits
+    for its digit and counts once without one; a digit counts before a unit or at
+    the end, one before another digit does not.
+    """
+    def step(s: Column, ch: Column) -> Column:
+        digit, unit = _lookup(DIGITS, ch), _lookup(UNITS, ch)
+        small, large, waits = unit < 4, unit >= 4, s["waiting"].isNotNull()
+        alone = F.when(waits, _term(F.lit(1), s["waiting"])).otherwise(F.array().cast(_TERMS))
+        own = F.when(waits, _term(F.greatest(digit, F.lit(1)), s["waiting"])) \
+            .when(s["open"], _term(digit, s["high"] + s["low"])).otherwise(F.array().cast(_TERMS))
+        return F.struct(
+            F.concat(s["terms"], F.when(digit.isNotNull(), own).when(unit.isNotNull(), alone)
+                     .otherwise(F.array().cast(_TERMS))).alias("terms"),
+            F.when(small, unit + s["high"] + s["low"]).alias("waiting"),
+            F.coalesce(large, F.lit(False)).alias("open"),
+            F.when(unit == 8, s["high"] + 8).otherwise(s["high"]).alias("high"),
+            F.when(unit == 8, F.lit(0)).when(unit == 4, F.lit(4)).otherwise(s["low"]).alias("low"))
+
+    start = F.struct(
+        F.array().cast(_TERMS).alias("terms"), F.lit(None).cast("int").alias("waiting"), F.lit(True).alias("open"),
+        F.lit(0).alias("high"), F.lit(0).alias("low"))
+    return F.aggregate(_characters(F.reverse(c)), start, step, lambda s: F.concat(
+        s["terms"], F.when(s["waiting"].isNotNull(), _term(F.lit(1), s["waiting"])).otherwise(
+            F.array().cast(_TERMS))))
+
+
+def strict_text(c: Column) -> Column:
+    """Digits of a run by the usual rules, of any length."""
+    spelt = F.translate(c, "".join(DIGITS), "".join(str(v) for v in DIGITS.values()))
+    long = F.when(c.rlike(f"[{''.join(UNITS)}]"), bound(_strict_terms(c), _written)).otherwise(_without_zeros(spelt))
+    return F.coalesce(strict_number(c).cast("string"), long)
+
+
 def number_text(c: Column, strict: bool = False) -> Column:
-    """The run as decimal digits. The strict rules leave one beyond 38 digits as it is."""
-    return F.coalesce(strict_number(c).cast("string"), c) if strict else compat_text(c)
+    """The run as decimal digits, by the strict rules or with the quirks."""
+    return strict_text(c) if strict else compat_text(c)
 
 
 def replace_numbers(c: Column | str, strict: bool = False) -> Column:

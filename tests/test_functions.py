@@ -66,6 +66,41 @@ def test_percent_quote(spark):
     assert column(spark, values, clean.percent_quote) == [quote(v) for v in values]
 
 
+def usual_value(run):
+    """The strict rules, with Python's numbers."""
+    units = {"十": 1, "百": 2, "千": 3, "万": 4, "亿": 8}
+    if not set(run) & set(units):
+        return int("".join(str(numerals.DIGITS[ch]) for ch in run))
+    total = group = digit = 0
+    for ch in run:
+        power = units.get(ch)
+        if power is None:
+            digit = numerals.DIGITS[ch]
+            continue
+        if power < 4:
+            group += max(digit, 1) * 10 ** power
+        else:
+            group += digit
+            total = (total + group) * 10 ** 8 if power == 8 else total + group * 10 ** 4
+            group = 0
+        digit = 0
+    return total + group + digit
+
+
+def test_strict_numbers_of_any_length(spark):
+    rng = random.Random(9)
+    runs = ["十", "一亿亿亿亿亿亿", "九" * 50, "三千亿亿亿亿亿二十万零五", "千" * 60, "一" + "零" * 45 + "亿"]
+    for n in [3, 12, 40] * 30:
+        runs.append(rng.choice("一二两九十") + "".join(rng.choice("零一二九十百千万亿") for _ in range(n)))
+    assert column(spark, runs, numerals.strict_text) == [str(usual_value(run)) for run in runs]
+    # the digits are those of the number wherever that has room
+    terms = column(spark, runs, lambda c: html.bound(numerals._strict_terms(c), numerals._written))
+    assert [t for t, run in zip(terms, runs) if set(run) & set("十百千万亿")] == [
+        str(usual_value(run)) for run in runs if set(run) & set("十百千万亿")]
+    long = "九" * 50
+    assert column(spark, [f"第{long}期"], lambda c: numerals.replace_numbers(c, strict=True)) == ["第" + "9" * 50 + "期"]
+
+
 @pytest.mark.parametrize("page,wanted", [
     ('<div class="y">a</div>', "a"),
     ("<div class='k y z'>a<div>b</div>c</div>d", "abc"),
