@@ -48,6 +48,37 @@ _CONTAMINATION_SQL = r"""WITH
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
   FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+_MINHASH_SQL = r"""WITH RECURSIVE
+  d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS k
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n, md5(string_agg(k, chr(10) ORDER BY k)) AS whole FROM s GROUP BY 1),
+  c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM n),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id
+      GROUP BY 1, 2),
+  link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * met >= 75 * (x.n + y.n - met)),
+  e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+  r(v, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a AND r.c < e.b),
+  m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v)
+  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept,
+    coalesce(class_id, d.doc_id) AS class_id
+  FROM d JOIN m ON m.v = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
+
+_SUBSTRINGS_SQL = r"""WITH
+  d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+  win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+      FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+  first AS (SELECT k, min(doc_id) AS doc FROM win GROUP BY k),
+  gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 13)) AS p
+      FROM win JOIN first ON first.k = win.k AND doc < doc_id) GROUP BY r)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+    sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END,
+      ' ')) AS kept_sha256
+  FROM d LEFT JOIN gone USING (r)"""
+
 _QUALITY_SQL = r"""WITH
   t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text,
       regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -154,11 +185,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_minhash")
+@query("op1_minhash", _MINHASH_SQL)
 def op1(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id",
-                        (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id", "n_links")
+                        (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
 
 
 @query("op2_quality", _QUALITY_SQL)
@@ -168,7 +199,7 @@ def op2(spark, sf_dir):
                                        "n_repeat_words", "base_failed", "kept")
 
 
-@query("op3_substrings")
+@query("op3_substrings", _SUBSTRINGS_SQL)
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")

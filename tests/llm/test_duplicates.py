@@ -162,7 +162,7 @@ def test_contamination_beyond_the_broadcast_bound(spark, mixed, monkeypatch):
     assert sorted(map(str, contamination.judged(mixed, bench).collect())) == sorted(map(str, wanted))
 
 
-@pytest.mark.parametrize("name", ["op2_quality", "op8_contamination", "op9_warc"])
+@pytest.mark.parametrize("name", ["op1_minhash", "op2_quality", "op3_substrings", "op8_contamination", "op9_warc"])
 def test_queries_equal_sql(spark, name):
     db = duckdb.connect()
     for file in os.listdir(SF):
