@@ -29,24 +29,24 @@ def tokenizer_file(name: str = TOKENIZER) -> str:
 
 
 _CONTAMINATION_SQL = r"""WITH
-  d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
   b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
   win AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS k
       FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
   sizes AS (SELECT DISTINCT n FROM win),
-  place AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
-      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-  met AS (SELECT doc_id, place.n, i, item FROM place JOIN win ON place.k = win.k AND place.n = win.n),
-  hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM
-      (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM met)) GROUP BY 1),
-  items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+  place AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+  met AS (SELECT r, place.n, i, item FROM place JOIN win ON place.k = win.k AND place.n = win.n),
+  hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM
+      (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM met)) GROUP BY 1),
+  items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
       FROM met GROUP BY 1)
   SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     sha256(coalesce(items, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-  FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+  FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
 
 _MINHASH_SQL = r"""WITH RECURSIVE
   d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -67,7 +67,7 @@ _MINHASH_SQL = r"""WITH RECURSIVE
   FROM d JOIN m ON m.v = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
 
 _SUBSTRINGS_SQL = r"""WITH
-  d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
       FROM documents),
   win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
       FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
@@ -80,28 +80,28 @@ _SUBSTRINGS_SQL = r"""WITH
   FROM d LEFT JOIN gone USING (r)"""
 
 _QUALITY_SQL = r"""WITH
-  t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text,
+  t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
       regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-  runs AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k
-      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
-  again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM
-      (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM runs) WHERE c > 1) GROUP BY 1),
-  lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM
-      (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM t)
+  runs AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS k
+      FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
+  again AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM
+      (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM runs) WHERE c > 1) GROUP BY 1),
+  lines AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM
+      (SELECT r, unnest(string_split(text, chr(10))) AS x FROM t)
       WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
-  m AS (SELECT t.doc_id, lang, source, len(w) AS n_words,
+  m AS (SELECT t.r, doc_id, lang, source, len(w) AS n_words,
       length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
       length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
       length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals,
       coalesce(n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
-      FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)),
-  v AS (SELECT doc_id, lang, source, unnest([
+      FROM t LEFT JOIN lines USING (r) LEFT JOIN again USING (r)),
+  v AS (SELECT r, lang, source, unnest([
         {'m': 'symbols', 'v': 1000 * n_symbols // greatest(word_chars, 1), 's': 10, 'low': false},
         {'m': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 's': 120, 'low': false},
         {'m': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 's': 65, 'low': false},
         {'m': 'capitals', 'v': 1000 * n_capitals // greatest(word_chars, 1), 's': 60, 'low': false},
         {'m': 'word_length', 'v': 100 * word_chars // greatest(n_words, 1), 's': 80, 'low': true}]) AS x FROM m),
-  bins AS (SELECT doc_id, lang, source, x.m, x.v, x.s, x.low,
+  bins AS (SELECT r, lang, source, x.m, x.v, x.s, x.low,
       x.v - x.v % CAST(pow(10, greatest(length(CAST(x.v AS VARCHAR)) - 2, 0)) AS BIGINT) AS b FROM v),
   q1 AS (SELECT lang, source, m, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75
       FROM bins GROUP BY ALL),
@@ -113,14 +113,14 @@ _QUALITY_SQL = r"""WITH
       CASE WHEN q1.n >= 50 THEN q1.q25 WHEN q2.n >= 50 THEN q2.q25 ELSE q3.q25 END AS q25,
       CASE WHEN q1.n >= 50 THEN q1.q75 WHEN q2.n >= 50 THEN q2.q75 ELSE q3.q75 END AS q75
       FROM q1 JOIN q2 ON q1.m = q2.m AND q1.lang IS NOT DISTINCT FROM q2.lang JOIN q3 ON q1.m = q3.m),
-  bad AS (SELECT doc_id, bool_or(v > q75 + 4 * greatest(q75 - q25, s)
+  bad AS (SELECT r, bool_or(v > q75 + 4 * greatest(q75 - q25, s)
         OR (low AND v < q25 - 4 * greatest(q75 - q25, s))) AS bad
       FROM bins JOIN q ON bins.m = q.m AND bins.lang IS NOT DISTINCT FROM q.lang
         AND bins.source IS NOT DISTINCT FROM q.source GROUP BY 1)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT bad AS kept
-  FROM m JOIN bad USING (doc_id)"""
+  FROM m JOIN bad USING (r)"""
 
 
 _WARC_SQL = """WITH
