@@ -22,7 +22,7 @@ from paperweave.schema import PAGE_SCHEMA, RECORD_FIELDS, RECORD_SCHEMA, SEARCH_
 from paperweave.session import materialise, shared_folder
 from paperweave.sources.index import SearchIndex
 from paperweave.sources.tables import (
-    BucketedResult, ResultTable, TransitionLog, read_pages, with_fetch_status,
+    BucketedResult, ResultTable, TransitionLog, page_files, read_pages, with_fetch_status,
 )
 from paperweave.streaming import harvest as stream
 from paperweave.streaming.state import FoldedState
@@ -78,6 +78,22 @@ def _flat(log: DataFrame, *more: str) -> DataFrame:
     return log.select("url", "source", "state", "seq.run", F.col("seq.position").alias("seq"), *more)
 
 
+@query("src1_page_files", r"""
+  SELECT page_id, url, sha256(html) AS html_sha256 FROM pages
+  WHERE trim(html, ' ' || chr(9) || chr(13) || chr(10)) <> ''""")
+def src1_files(spark, sf_dir):
+    """Pages as files of a folder, taken by a stream in two runs."""
+    folder, out, checkpoint = (shared_folder(spark, name) for name in ("files", "pages", "stream-checkpoint"))
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet").withColumn("half", F.pmod(F.xxhash64("url"), F.lit(2)))
+    for half in (0, 1):
+        pages.where(F.col("half") == half).select("html", "page_id", "url").write.mode("append").partitionBy(
+            "page_id", "url").text(folder)
+        _run(lambda check, pace: stream.append_stream(page_files(spark, folder, stream=True), out, check, pace),
+             checkpoint)
+    return spark.read.schema(PAGE_SCHEMA).parquet(out).where("html IS NOT NULL").select(
+        "page_id", "url", F.sha2("html", 256).alias("html_sha256"))
+
+
 @query("src2_frontier_log", f"WITH {O.TRANSITIONS} SELECT url, source, state, run, seq FROM transitions")
 def src2(spark, sf_dir):
     log = TransitionLog(spark, shared_folder(spark, "frontier"))

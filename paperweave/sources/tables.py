@@ -25,6 +25,27 @@ def with_fetch_status(pages: DataFrame) -> DataFrame:
         "fetched", F.coalesce(F.trim("html", F.lit(" \t\r\n")) != "", F.lit(False)))
 
 
+_PAGE_FILE = T.StructType([
+    T.StructField("value", T.StringType()), T.StructField("page_id", T.LongType()),
+    T.StructField("url", T.StringType())])
+
+
+def page_files(spark: SparkSession, path: str, stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """Pages of a folder of fetched files, ``page_id=.../url=.../`` with a file in each.
+
+    A file is a page, whole and of any length; a blank one is a failed fetch, without
+    html. ``stream`` takes files as they arrive, so many per batch. Files are found and
+    read by Spark, wherever the folder is; the escapes of folder names are Spark's.
+    """
+    reader = spark.readStream if stream else spark.read
+    if stream and files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    files = reader.schema(_PAGE_FILE).format("text").option("wholetext", True).load(path)
+    # the end of line that closes a text file is none of the page
+    html = F.regexp_replace("value", r"\n\z", "")
+    return files.select("page_id", "url", F.when(F.trim(html, F.lit(" \t\r\n")) != "", html).alias("html"))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table at ``path``, or an empty one when nothing is there yet."""
     try:

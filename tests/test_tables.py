@@ -11,7 +11,7 @@ from paperweave.schema import PAGE_SCHEMA, RECORD_SCHEMA, TRANSITION_SCHEMA
 from paperweave.session import shared_folder
 from paperweave.sources import jdbc
 from paperweave.sources.index import SearchIndex
-from paperweave.sources.tables import BucketedResult, ResultTable, TransitionLog, with_fetch_status
+from paperweave.sources.tables import BucketedResult, ResultTable, TransitionLog, page_files, with_fetch_status
 from paperweave.streaming import harvest as stream
 from paperweave.streaming import leases
 from paperweave.streaming.state import FoldedState
@@ -73,6 +73,17 @@ def test_fetch_status(spark):
         False, False, True]
 
 
+def test_page_files_in_batch_and_stream(spark):
+    rows = [(1, "http://a.x/p?q=1&r=%22 z", "<p>\n\nline</p>\n"), (2, "u/ü=文", "x"), (3, "gone", ""), (4, "blank", " \t")]
+    folder, out, check = (shared_folder(spark, n) for n in ("files", "out", "check"))
+    pages = spark.createDataFrame(rows, PAGE_SCHEMA)
+    pages.select("html", "page_id", "url").write.partitionBy("page_id", "url").text(folder)
+    wanted = [(i, url, html if html.strip() else None) for i, url, html in rows]
+    assert sorted(map(tuple, page_files(spark, folder).collect())) == wanted
+    stream.append_stream(page_files(spark, folder, True, 1), out, check, pace=None).awaitTermination()
+    assert sorted(map(tuple, spark.read.schema(PAGE_SCHEMA).parquet(out).collect())) == wanted
+
+
 def test_search(spark):
     rows = spark.createDataFrame([
         ("Big Ring", "A", "k", "U", "1999"), ("ring", "A", "k", "U", "2030"), ("ring", "B", "k", "U", "x")],
