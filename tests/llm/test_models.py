@@ -151,6 +151,24 @@ def test_scores_of_odd_rows(spark):
     assert mixing.scored(docs.where("doc_id = 2").limit(1)).count() == 1
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = documents(spark)
+    one, many = ({r.doc_id: (r.score, r.bits_per_byte) for r in mixing.scored(docs.repartition(n)).collect()} for n in (1, 8))
+    assert one.keys() == many.keys()
+    assert all(one[i] == pytest.approx(many[i], rel=1e-9) for i in one)
+
+
+def test_contexts_of_all_words_are_told_apart():
+    """Words outside the most frequent ones, and pairs of them, have hashed rows."""
+    n = 4000
+    rng = np.random.default_rng(3)
+    tokens = mixing.Tokens(np.full(n, mixing.HEAD), np.array([0, n]), rng.integers(1, 2 ** 63, n).astype(np.uint64), None,
+                           None, None)
+    rows = mixing.context_rows(tokens)
+    assert len(np.unique(rows[:, 1])) > 1500 and len(np.unique(rows[:, 2])) > 2400
+    assert rows.min() >= 0 and rows.max() < mixing.ROWS
+
+
 # --------------------------------------------------------------------- packing
 
 def check_packing(docs, found, length=packing.LENGTH):
