@@ -44,8 +44,20 @@ BAD_HOSTS = ["cheap-loans", "win-casino", "free-pills", "best-bets", "ad-tracker
              "pills-4-u", "bet-now", "crypto-win", "sale-outlet88", "link-farm", "pop-ads", "track-click",
              "vip-casino", "weight-loss", "viagra-shop",
              "casino777", "bets4u24", "xxx-tube", "free-movies-hd"]
-SUFFIXES = ["example.com", "example.org", "example.net", "com", "info", "de"]
-PATHS = ["/en/{n}", "/fr/{n}.html", "/de/{n}/", "/{n}?utm_source=feed", "/a/b/{n}?page=2&ref=x", "/es/{n}#top"]
+# Good hosts with hyphens or digits, and bad ones without: no single feature tells the classes apart.
+GOOD_MARKED = ["rolls-royce", "saint-gobain", "harley-davidson", "aix-en-provence", "stratford-upon-avon", "rhein-main",
+               "mercedes-benz", "north-west", "studio54", "open-data", "a1-museum", "baden-baden"]
+BAD_PLAIN = ["onlinecasino", "luckyslots", "fastcash", "hotsingles", "viagrashop", "moviesfree", "betnow", "cryptowin",
+             "buyfollowers", "adclicks", "dietpills", "spamhaven"]
+GOOD_SUFFIXES = ["example.com", "example.org", "example.net", "com", "info", "de", "edu", "org"]
+MARKED_SUFFIXES = ["com", "org", "de", "fr", "co.uk", "edu"]
+BAD_SUFFIXES = ["example.net", "info", "xyz", "net", "click", "top", "biz"]
+GOOD_PATHS = ["/en/{n}", "/fr/{n}.html", "/de/{n}/", "/{n}?utm_source=feed", "/a/b/{n}?page=2&ref=x", "/es/{n}#top", "/",
+              "/news/2019/05/{n}.html", "/x/{n}.html"]
+BAD_PATHS = ["/en/{n}", "/x/{n}", "/win/{n}.html", "/buy?id={n}&aff=3&sub=x&c=9", "/go/{n}/a/b/c/d/offer.php",
+             "/?s=a8f{n}k29zq&u=1&r=2", "/{n}"]
+PLAIN_PATHS = ["/buy?x={n}&y=2&z=3", "/bonus/{n}/play/now/free/win/?ref=1&u={n}&k=2", "/t/9f{n}b7c6d5e4f3a2/?a=1&b=2&c=3",
+               "/{n}{n}{n}{n}.php?k=1&s=2&aff=9", "/r?u={n}&go=1&cid=77&src=pop"]
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "entropy",
             "params", "hyphens", "suffix_bad"]
 
@@ -86,10 +98,12 @@ def _suffix(host: Column) -> Column:
 
 def labelled(spark: SparkSession) -> DataFrame:
     """The labelled table ``(url, label)``, 1 for bad, made from the lists above."""
-    rows = [(f"http{'s' * (i % 2)}://{('', 'www.', 'm.', 'blog.')[i % 4]}{host}.{SUFFIXES[(i // 2) % 6]}"
+    kinds = [(0, GOOD_HOSTS, GOOD_SUFFIXES, GOOD_PATHS), (0, GOOD_MARKED, MARKED_SUFFIXES, GOOD_PATHS),
+             (1, BAD_HOSTS, BAD_SUFFIXES, BAD_PATHS), (1, BAD_PLAIN, BAD_SUFFIXES[1:] + ["com"], PLAIN_PATHS)]
+    rows = [(f"http{'s' * (i % 2)}://{('', 'www.', 'm.', 'blog.')[i % 4]}{host}.{suffixes[(i // 3 + i) % len(suffixes)]}"
              + path.format(n=(i * 37) % 1000), float(bad))
-            for bad, hosts in ((0, GOOD_HOSTS), (1, BAD_HOSTS))
-            for i, (host, path) in enumerate(product(hosts, PATHS))]
+            for bad, hosts, suffixes, paths in kinds
+            for i, (host, path) in enumerate(product(hosts, paths))]
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -116,12 +130,12 @@ def features(urls: DataFrame, shares: dict[str, float]) -> DataFrame:
         "suffix_bad": F.coalesce(F.try_element_at(known, _suffix(host)), F.lit(0.5))})
 
 
-def fit(labels: DataFrame, rounds: int = 12, depth: int = 3) -> tuple[PipelineModel, dict[str, float]]:
+def fit(labels: DataFrame, rounds: int = 20, depth: int = 4) -> tuple[PipelineModel, dict[str, float]]:
     """Trees over a labelled table ``(url, label)``, which should be small."""
     shares = suffix_shares(labels)
     host, path = parts(F.col("url"))
     rows = features(labels.withColumn("host", host).withColumn("path", path), shares).coalesce(1)
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3,
+    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, featureSubsetStrategy="onethird",
                           seed=1)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), trees]).fit(rows), shares
 

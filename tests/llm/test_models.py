@@ -359,3 +359,24 @@ def test_trees_on_hosts_not_learned(spark):
             (3, "https://gardening.example.net/en/5"), (4, "http://www.physics.info/x/1.html")]
     found = urls.judged(spark.createDataFrame(rows, "page_id long, url string"), model, shares)
     assert {r.page_id for r in found.where("bad").collect()} == {1, 2}
+
+
+def test_trees_use_many_features(spark):
+    """Good hosts with hyphens and bad ones without, none of them learned."""
+    model, shares = urls.fit(urls.labelled(spark))
+    assert sum(v >= 0.01 for v in model.stages[-1].featureImportances.toArray()) >= 6
+    good = ["https://www.coca-cola.com/en/12", "https://jean-monnet.fr/fr/5.html", "http://www.vineyard.example.org/en/7",
+            "https://forum42.edu/news/2019/05/3.html", "http://www.orchard.de/a/b/9?page=2&ref=x"]
+    bad = ["http://freepills.info/buy?x=1&y=2&z=3", "http://jackpotnow.click/r?u=5&go=1&cid=7&src=pop",
+           "https://easy-money.xyz/go/1/a/b/c/d/offer.php", "http://m.super-deals77.top/?s=a8f1k29zq&u=1&r=2"]
+    rows = [(i, u) for i, u in enumerate([*good, *bad])]
+    found = urls.judged(spark.createDataFrame(rows, "page_id long, url string"), model, shares)
+    assert {r.page_id for r in found.where("bad").collect()} == set(range(len(good), len(rows)))
+
+
+def test_trees_on_hosts_held_out(spark):
+    labels = urls.labelled(spark).withColumn("name", F.regexp_extract("url", r"//(?:(?:www|m|blog)\.)?([^.]*)", 1))
+    held = F.pmod(F.crc32("name"), F.lit(4)) == 1
+    model, shares = urls.fit(labels.where(~held).select("url", "label"))
+    found = urls.judged(labels.where(held).select(F.col("label").alias("page_id"), "url"), model, shares)
+    assert found.where("bad = (page_id = 1)").count() >= 0.85 * found.count()
