@@ -156,7 +156,7 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
     """Binary splits of least Gini impurity."""
     nodes: list[tuple[int, float, int, int, float]] = []
 
@@ -182,6 +182,18 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2) -> Tree:
 
 
 _LONG = "of the long and winding words that make up a sentence in a story about nothing much at all "
+_PART = [" ".join(_LONG.split()[i % 4:i % 4 + 10 + i % 7]) for i in range(12)]
+_LINKS = " ".join(f"<a>topic number {i}</a>" for i in range(20))
+_MENU = "<a>Home</a> <a>News</a> <a>Sport</a>"
+
+
+def _plain(tag: str, n: int, words: int) -> str:
+    """A page without telling tags or names: ``n`` paragraphs between menus, a block of links and a last line."""
+    paragraphs = "".join(f"<{tag}>+{' '.join(_PART[(i + words) % 12].split()[:words + i % 4])}</{tag}>" for i in range(n))
+    return (f"<div>-{_MENU}</div><div>-{_LINKS}</div><h1>+Walk by the river</h1>{paragraphs}<ul><li>-<a>Older walks</a>"
+            f"<li>-<a>All of the walks that we know</a><li>-<a>Next</a></ul><div>-{_LINKS}</div><div>-Copyright 2020</div>")
+
+
 #: The labelled table: pages whose main blocks start with ``+`` and whose other blocks start with ``-``.
 LABELLED = [
     f"<header><h1>-Site</h1></header><nav><ul><li><a>-Home</a><li><a>-News</a></ul></nav><article><h1>+A title</h1>"
@@ -196,9 +208,9 @@ LABELLED = [
     f"<div><a>-Log in</a></div><div><a>-Sign up now</a></div><h1>+Title of this page</h1><p>+{_LONG * 2}</p>"
     f"<p>+{_LONG}</p><div><a>-Older</a></div><div><a>-Newer posts</a></div><div>-Terms</div>",
     f"<article><header><h1>+Name</h1></header><p>+Few words.</p><p>+{_LONG}</p><blockquote>+{_LONG}</blockquote>"
-    f"<p><a>+All of this is one link in the article</a></p><aside>-Also read</aside></article><div>-Copyright</div>",
-    f"<ul><li><a>-Start</a><li><a>-Contact us here</a></ul><article><h1>+List</h1><p><a>+A link as a paragraph</a></p>"
-    f"<p><a>+And one more</a></p><ul><li><a>+Book one</a><li><a>+Book two</a></ul><p>+{_LONG}</p></article><p><a>-More</a></p>",
+    f"<p>+Half of this is <a>one link in the article</a></p><aside>-Also read</aside></article><div>-Copyright</div>",
+    f"<ul><li><a>-Start</a><li><a>-Contact us here</a></ul><article><h1>+List</h1><p>+A <a>link</a> in a paragraph</p>"
+    f"<p>+And <a>one</a> more</p><ul><li><a>-Book one</a><li><a>-Book two</a></ul><p>+{_LONG}</p></article><p><a>-More</a></p>",
     f"<table><tr><td><a>-A</a><td><a>-B c</a></table><div>+{_LONG * 4}</div><div>+{_LONG * 2}</div><div><a>-Top</a></div>",
     f"<article><h1>+Talk</h1><p>+{_LONG}</p><p>+{_LONG}</p></article><section id=comments><p>-{_LONG}</p><p>-{_LONG * 2}</p>"
     f"<p>-I agree with all of it</p></section><footer>-(c) some site and its owner, {_LONG}</footer><div class=newsletter>"
@@ -209,6 +221,15 @@ LABELLED = [
     f"<footer>-{_LONG}</footer>",
     f"<section class='sidebar'><h3>-Popular</h3><p>-{_LONG * 2}</p></section><article><p>+{_LONG}</p><h2>+Part</h2>"
     f"<p>+One.</p><p>+Two words.</p></article><div class=footer><p>-{_LONG}</p><p>-2024</p></div>",
+    _plain("p", 12, 12), _plain("div", 9, 10), _plain("p", 6, 13), _plain("td", 8, 11),
+    f"<article><h1>+Town</h1><p>+{_LONG}</p><ul><li><a>-Towns near this one</a><li><a>-Towns by size</a><li><a>-All</a></ul>"
+    f"<p>+{_LONG}</p><div>-{_LINKS}</div><p>+The <a>end</a> of it.</p></article>",
+    f"<main><p>+{_LONG}</p><div>-{_LINKS}</div><p>+{_PART[3]}</p><p><a>-Part two of this</a></p><p><a>-Part three</a></p></main>",
+    # Pages that end with their main text.
+    f"<article><h1>+End</h1><p>+{_LONG}</p><p>+That is all.</p></article>", f"<main><p>+{_PART[5]}</p><p>+Bye.</p></main>",
+    f"<article><p>+{_LONG * 2}</p><p>+{_PART[6]}</p></article>", f"<div>-{_MENU}</div><h1>+Short</h1><p>+{_PART[1]}</p><p>+{_PART[7]}</p>",
+    f"<p>+{_PART[2]}</p><p>+{_LONG}</p><p>+{_PART[9]}</p>", f"<p>+{_LONG}</p>", f"<article><p>+One line.</p></article>",
+    f"<p>+{_LONG}</p><p>+{_PART[4]}</p><div>-Imprint</div>", f"<p>+{_LONG}</p><p>+{_PART[8]}</p><div>-All rights reserved</div>",
 ]
 
 

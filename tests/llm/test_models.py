@@ -280,6 +280,23 @@ def test_tree_fits_its_table_and_pages(spark):
     assert main_text.main_text("<script>x", tree) == ""
 
 
+def test_main_text_without_telling_tags():
+    """Link density, neighbours and words decide, on pages made otherwise than the labelled ones."""
+    tree = main_text.grow(*main_text.labelled())
+    names = main_text.FEATURES.index("outside")
+    told = {f for f, _, left, right, _ in tree.nodes
+            if f >= 0 and (tree.nodes[left][4] > 0.5) != (tree.nodes[right][4] > 0.5)}
+    assert main_text.FEATURES.index("links") in told and any(f < names and f != 1 for f in told)
+    said = [f"the {n} day of our journey took us over hills and fields to a small old town" for n in range(12)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in said)
+    links = "<div>" + " ".join(f"<a href=/{i}>see entry {i} here</a>" for i in range(20)) + "</div>"
+    assert main_text.main_text(links + paragraphs + links, tree) == "\n\n".join(said)
+    assert main_text.main_text(links + paragraphs, tree) == "\n\n".join(said)
+    assert main_text.main_text("<article><h1>One</h1><p>Two words.</p><p>End.</p></article>", tree) == "One\n\nTwo words.\n\nEnd."
+    inside = f"<article>{paragraphs}<ul>" + "<li><a href=x>Other towns</a>" * 5 + f"</ul>{links}</article>"
+    assert main_text.main_text(inside, tree) == "\n\n".join(said)
+
+
 def test_main_text_of_tables(spark):
     import html
     import re
