@@ -17,14 +17,19 @@ from pyspark.sql import functions as F
 
 from paperweave.functions.containers import labelled
 
+def _up_to(end: str) -> str:
+    """Pattern of all that stands before a closing tag, or to the end of the page."""
+    return rf"[^<]*+(?:<(?!{end})[^<]*+)*+"
+
+
 _HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b.*?(?:</script\s*>|\z)"
-    r"|<style\b.*?(?:</style\s*>|\z)"
+    r"(?is)<(?:!--[^-]*+(?:-(?!->)[^-]*+)*+(?:-->|\z)"
+    rf"|script\b{_up_to(r'/script\s*>')}(?:</script\s*>|\z)"
+    rf"|style\b{_up_to(r'/style\s*>')}(?:</style\s*>|\z))"
 )
 # What stands in a tag after its name; a quoted value may hold ``>``.
 _REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_TAG = rf"(?s)</?[a-zA-Z!?]{_REST}>|</?[a-zA-Z!?][^>]*>"
+_TAG = rf"(?s)</?[a-zA-Z!?](?:{_REST}>|[^>]*>)"
 # Names that are also read without ``;``.
 _OPEN_ENDED = "amp|lt|gt|quot|nbsp|copy|reg|middot|times|laquo|raquo|deg|sect|para"
 _REFERENCE = (r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9}(?=;)"
@@ -39,7 +44,8 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     Rules that mention their input several times would otherwise multiply the
     expression each time they are nested.
     """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    # a fold over nothing; an element of an array would ask the whole rule for its type on every row
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound_value, _: bound_value, use)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -57,6 +63,23 @@ def visible(c: Column | str) -> Column:
     return F.regexp_replace(F.col(c) if isinstance(c, str) else c, _HIDDEN, "")
 
 
+def gaps(c: Column, pattern: str, found: Column) -> Column:
+    """What stands between the matches ``found`` of a pattern: one more than there are matches.
+
+    Like ``split``, which compiles its pattern for every row.
+    """
+    return F.slice(
+        F.regexp_extract_all(c, F.lit(rf"(?s)(.*?)(?:{pattern}|\z)"), F.lit(1)), F.lit(1), F.size(found) + 1)
+
+
+def _ahead(attribute: str) -> str:
+    """Pattern of what stands in a tag before an attribute, to the first place where it matches.
+
+    Whole attributes are passed, so that nothing inside a quoted value counts.
+    """
+    return rf"""(?:[^>"'\s]++|"[^"]*+"|'[^']*+'|\s(?!{attribute}))*+\s{attribute}"""
+
+
 def open_tag(tag: str, cls: str | None = None, **exact: str) -> str:
     """Pattern of an opening tag.
 
@@ -64,16 +87,16 @@ def open_tag(tag: str, cls: str | None = None, **exact: str) -> str:
     (``class_`` for the whole class attribute).
     """
     checks = ""
-    # whole attributes before the one looked for, so that nothing inside a quoted value counts
-    lead = r"""(?=(?:[^>"']|"[^"]*"|'[^']*')*?\s"""
     if cls is not None:
         word = re.escape(cls)
-        checks += (lead + rf"""class\s*=\s*(?:"(?:[^"]*\s)?{word}(?:\s[^"]*)?\""""
-                   rf"""|'(?:[^']*\s)?{word}(?:\s[^']*)?'|{word}(?=[\s/>])))""")
+        attribute = (rf"""class\s*=\s*(?:"(?:[^"]*\s)?{word}(?:\s[^"]*)?\""""
+                     rf"""|'(?:[^']*\s)?{word}(?:\s[^']*)?'|{word}(?=[\s/>]))""")
+        checks += f"(?={_ahead(attribute)})"
     for name, value in exact.items():
         value = re.escape(value)
-        checks += (lead + rf"""{name.rstrip('_')}\s*=\s*(?:"{value}\""""
-                   rf"""|'{value}'|{value}(?=[\s/>])))""")
+        attribute = (rf"""{name.rstrip('_')}\s*=\s*(?:"{value}\""""
+                     rf"""|'{value}'|{value}(?=[\s/>]))""")
+        checks += f"(?={_ahead(attribute)})"
     return rf"(?i)<{tag}\b{checks}{_REST}>"
 
 
@@ -95,16 +118,18 @@ _NAMES = "\n".join(f"{name}={chr(code)}" for name, code in name2codepoint.items(
 
 def _resolved(c: Column) -> Column:
     names = F.str_to_map(F.lit(_NAMES), F.lit("\n"), F.lit("="))
-    characters = F.transform(
-        F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(1)),
-        lambda r: F.when(r.startswith("#"), _character(r)).otherwise(
-            F.coalesce(F.try_element_at(names, r), F.concat(F.lit("&"), r, F.lit(";")))),
-    )
-    pieces = F.zip_with(
-        F.split(c, _REFERENCE, -1), characters,
-        lambda gap, ch: F.concat(gap, F.coalesce(ch, F.lit(""))),
-    )
-    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
+
+    def character(r: Column) -> Column:
+        return F.when(r.startswith("#"), _character(r)).otherwise(
+            F.coalesce(F.try_element_at(names, r), F.concat(F.lit("&"), r, F.lit(";"))))
+
+    def joined(found: Column) -> Column:
+        return F.array_join(F.zip_with(
+            gaps(c, _REFERENCE, found), found,
+            lambda gap, r: F.when(r.isNull(), gap).otherwise(F.concat(gap, character(r)))), "")
+
+    return F.when(c.contains("&"), bound(
+        F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(1)), joined)).otherwise(c)
 
 
 def decode_references(c: Column) -> Column:
@@ -146,58 +171,64 @@ def _closing_index(tags: Column, opened: Column) -> Column:
     )
 
 
-def _between_tags(gaps: Column, opened: Column, closed: Column) -> Column:
-    return F.array_join(F.slice(gaps, opened + 1, closed - opened), "")
+def _between_tags(texts: Column, opened: Column, closed: Column) -> Column:
+    return F.array_join(F.slice(texts, opened + 1, closed - opened), "")
 
 
-def _element_body(rest: Column, tag: str) -> Column:
-    """What belongs to an element, given the page from its opening tag on.
+def _element_body(start: Column, tag: str, rest: Column) -> Column:
+    """What belongs to an element, given it up to before the first closing tag of its name, and the page
+    from its opening tag on, which is read only when elements of that name are nested.
 
     Tags of the same name are dropped from the result, other tags stay.
     """
     any_tag = rf"(?i)</?{tag}\b{_REST}>"
-    up_to_close = rf"(?is)^<{_REST}>(.*?)(?:</{tag}\s*>|\z)"
+    up_to_close = rf"(?i)^<{_REST}>({_up_to(rf'/{tag}\s*>')})"
 
     def body(page: Column) -> Column:
         head = F.regexp_extract(page, up_to_close, 1)
-        return bound(head, lambda h: F.when(h.rlike(rf"(?i)<{tag}\b"), nested(page)).otherwise(h))
+        return bound(head, lambda h: F.when(h.rlike(rf"(?i)<{tag}\b"), bound(rest, nested)).otherwise(h))
 
     def nested(page: Column) -> Column:
         tags = F.regexp_extract_all(page, F.lit(any_tag), F.lit(0))
-        gaps = F.split(page, any_tag, -1)
         return bound(tags, lambda found: _between_tags(
-            gaps, F.lit(1), _closing_index(found, F.lit(1))))
+            gaps(page, any_tag, found), F.lit(1), _closing_index(found, F.lit(1))))
 
-    return bound(rest, body)
+    return bound(start, body)
 
 
 def first_element(page: Column | str, tag: str, opening: str) -> Column:
     """Body of the first element whose opening tag matches; NULL when none."""
     page = F.col(page) if isinstance(page, str) else page
-    return _element_body(F.nullif(
-        F.regexp_extract(page, f"{opening}(?s).*", 0), F.lit("")), tag)
+    start = F.regexp_extract(page, opening + _up_to(rf"/{tag}\s*>"), 0)
+    return _element_body(
+        F.nullif(start, F.lit("")), tag, F.regexp_extract(page, f"{opening}(?s).*", 0))
 
 
 def all_elements(page: Column | str, tag: str, opening: str) -> Column:
     """Bodies of all matching elements that do not contain one another."""
     page = F.col(page) if isinstance(page, str) else page
-    rests = F.split(page, opening, -1)
-    return F.transform(
-        F.slice(rests, F.lit(2), F.size(rests)),
-        lambda rest: _element_body(F.concat(F.lit(f"<{tag}>"), rest), tag))
+    rests = F.regexp_extract_all(page, F.lit(rf"{opening}(?s)(.*?)(?={opening}|\z)"), F.lit(1))
+
+    def body(rest: Column) -> Column:
+        whole = F.concat(F.lit(f"<{tag}>"), rest)
+        return _element_body(whole, tag, whole)
+
+    return F.transform(rests, body)
 
 
 def attributes(page: Column | str, opening: str, name: str) -> Column:
     """Value of one attribute for every matching opening tag that has it."""
     page = F.col(page) if isinstance(page, str) else page
-    pattern = (rf"""(?is)^<(?:[^>"']|"[^"]*"|'[^']*')*?\s{name}\s*=\s*"""
-               r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-    return F.transform(
-        F.filter(F.regexp_extract_all(page, F.lit(opening), F.lit(0)),
-                 lambda t: t.rlike(pattern)),
-        lambda t: decode_references(
-            F.concat(*[F.regexp_extract(t, pattern, i) for i in (1, 2, 3)])),
-    )
+    written = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+    before = rf"{name}\s*=\s*"
+    pattern = rf"(?is)^<{_ahead(f'{before}(?={written})')}({written})"
+    # with its quotes, so a value is never blank
+    values = F.filter(
+        F.transform(F.regexp_extract_all(page, F.lit(opening), F.lit(0)), lambda t: F.regexp_extract(t, pattern, 1)),
+        lambda v: v != "")
+    quoted = lambda v: v.startswith('"') | v.startswith("'")
+    return F.transform(values, lambda v: decode_references(
+        F.when(quoted(v), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)))
 
 
 def first_attribute(fragment: Column, tag: str, name: str) -> Column:

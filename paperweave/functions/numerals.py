@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperweave.functions.html import bound
+from paperweave.functions.html import bound, gaps
 
 # Digits, and units as powers of ten.
 DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5,
@@ -204,11 +204,13 @@ def number_text(c: Column, strict: bool = False) -> Column:
 def replace_numbers(c: Column | str, strict: bool = False) -> Column:
     """Replace every run of number characters inside a text by its digits."""
     def rule(text: Column) -> Column:
-        pieces = F.zip_with(
-            F.split(text, RUN, -1), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)),
-            lambda gap, run: F.when(run.isNull(), gap)
-            .otherwise(F.concat(gap, number_text(run, strict))),
-        )
-        return F.when(text.rlike(RUN), F.array_join(pieces, "")).otherwise(text)
+        def joined(runs: Column) -> Column:
+            return F.array_join(F.zip_with(
+                gaps(text, RUN, runs), runs,
+                lambda gap, run: F.when(run.isNull(), gap)
+                .otherwise(F.concat(gap, number_text(run, strict)))), "")
+
+        return F.when(text.rlike(RUN), bound(
+            F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), joined)).otherwise(text)
 
     return bound(F.col(c) if isinstance(c, str) else c, rule)

@@ -112,16 +112,14 @@ def extract_b(pages: DataFrame) -> DataFrame:
     ).select(
         *keep,
         text_of(first_element("_heading", "h1", open_tag("h1"))).alias("title"),
-        F.split(text_of(first_element("_heading", "strong", open_tag("strong"))), NBSP * 2)
-        .alias("_line"),
+        text_of(first_element("_heading", "strong", open_tag("strong"))).alias("_line"),
         F.replace(text_of(F.get("_tables", F.lit(0))), F.lit("\n"), F.lit("")).alias("_first"),
         F.replace(text_of(F.get("_tables", F.lit(1))), F.lit("\n"), F.lit("")).alias("_second"),
     ).withColumns({
-        "_bar": F.split(F.get("_line", F.lit(0)), r"\|"),
+        "_bar": F.split(before("_line", NBSP * 2), r"\|"),
         "_colons": F.split("_first", "："),
         "_origin": replace_numbers(before(after("_second", "【出　处】"), "【收　录】")),
-    }).withColumn(
-        "_tokens", F.filter(F.split("_origin", r"(?U)[;,\s]\s*"), lambda t: t != ""))
+    }).withColumn("_tokens", F.regexp_extract_all("_origin", F.lit(r"(?U)[^;,\s]+"), F.lit(0)))
 
     tokens = F.col("_tokens")
     year_text = F.transform(
@@ -139,7 +137,7 @@ def extract_b(pages: DataFrame) -> DataFrame:
     last = lambda c: F.try_element_at(F.col(c), F.lit(-1))
     fields = staged.withColumns({
         "authors": F.get("_bar", F.lit(1)),
-        "unit": F.get("_line", F.lit(1)),
+        "unit": before(after("_line", NBSP * 2), NBSP * 2),
         "abstract": F.get("_colons", F.lit(2)),
         "keywords": before(after("_second", "【关键词】"), "【出　处】"),
         "year": last("_years"),
