@@ -20,7 +20,12 @@ def test_rows_that_lie_in_one_of_many_pieces_are_dealt_to_all(spark):
 def test_a_batch_of_one_file_is_parsed_by_several_tasks(spark, tmp_path):
     pages = spark.createDataFrame([(n, f"http://www.cnki.example/{n}", "<p>x</p>") for n in range(40)], PAGE_SCHEMA)
     sink = ExtractionSink(spark, str(tmp_path))
-    sink.take(pages.coalesce(1).withColumn("source", F.lit("Cnki")), 0)
+    # adaptive execution would put so few rows together again
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sink.take(pages.coalesce(1).withColumn("source", F.lit("Cnki")), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(spark.read.parquet(sink.table.folder(0)).inputFiles()) > 1
     assert sink.failures().count() == 40
 
