@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from paperweave.plans import registry
 from paperweave.plans.registry import QUERIES
 from paperweave.schema import PAGE_SCHEMA
 from paperweave.session import spread
+from paperweave.sources.tables import few_listings, page_files
 from paperweave.streaming.harvest import ExtractionSink
 
 
@@ -36,3 +38,32 @@ def test_links_that_are_split_in_old_and_new_are_parsed_once(spark, tmp_path):
     links = QUERIES["frt1_insert_into_existing"](spark, str(tmp_path))
     assert "regexp" not in links._jdf.queryExecution().optimizedPlan().toString()
     assert links.count() == 0
+
+
+def test_page_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "shared_folder", lambda _, name: f"{tmp_path}/{name}")
+    pages = spark.createDataFrame([(n, f"u{n}", f"<p>{n}") for n in range(40)], PAGE_SCHEMA)
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["src1_page_files"](spark, str(tmp_path)).count() == 40
+    writers = {p.name.split("-")[1] for p in (tmp_path / "files").rglob("part-*")}
+    assert len(writers) > 1
+
+
+def test_a_folder_of_many_is_listed_by_few_tasks(spark, tmp_path):
+    cores, key = spark.sparkContext.defaultParallelism, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for n in range(6 * cores):
+        (tmp_path / f"files/page_id={n}/url=u").mkdir(parents=True)
+        (tmp_path / f"files/page_id={n}/url=u/part-0.txt").write_text("x")
+    before = spark.conf.get(key)
+    spark.sparkContext.setJobGroup("listed", "")
+    try:
+        with few_listings(spark):
+            files = page_files(spark, f"{tmp_path}/files")
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(stage).numTasks for job in tracker.getJobIdsForGroup("listed")
+             for stage in tracker.getJobInfo(job).stageIds]
+    assert tasks and max(tasks) <= 4 * cores
+    assert spark.conf.get(key) == before and files.count() == 6 * cores
