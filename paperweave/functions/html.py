@@ -63,13 +63,25 @@ def visible(c: Column | str) -> Column:
     return F.regexp_replace(F.col(c) if isinstance(c, str) else c, _HIDDEN, "")
 
 
-def gaps(c: Column, pattern: str, found: Column) -> Column:
+def _until(pattern: str) -> str:
+    """Pattern of all that stands before the next match of a pattern, or to the end.
+
+    All matches begin with the same character, with which the pattern is written after its flags; only
+    where it stands is a match looked for.
+    """
+    first = pattern.removeprefix("(?i)")[0]
+    return rf"[^{first}]*+(?:(?!{pattern}){first}[^{first}]*+)*+"
+
+
+def gaps(c: Column, pattern: str, found: Column, literal: bool = True) -> Column:
     """What stands between the matches ``found`` of a pattern: one more than there are matches.
 
-    Like ``split``, which compiles its pattern for every row.
+    Like ``split``, which compiles its pattern for every row. ``literal`` tells that the pattern begins
+    with a character that all its matches begin with.
     """
+    gap = _until(pattern) if literal else ".*?"
     return F.slice(
-        F.regexp_extract_all(c, F.lit(rf"(?s)(.*?)(?:{pattern}|\z)"), F.lit(1)), F.lit(1), F.size(found) + 1)
+        F.regexp_extract_all(c, F.lit(rf"(?s)({gap})(?:{pattern}|\z)"), F.lit(1)), F.lit(1), F.size(found) + 1)
 
 
 def _ahead(attribute: str) -> str:
@@ -207,7 +219,7 @@ def first_element(page: Column | str, tag: str, opening: str) -> Column:
 def all_elements(page: Column | str, tag: str, opening: str) -> Column:
     """Bodies of all matching elements that do not contain one another."""
     page = F.col(page) if isinstance(page, str) else page
-    rests = F.regexp_extract_all(page, F.lit(rf"{opening}(?s)(.*?)(?={opening}|\z)"), F.lit(1))
+    rests = F.regexp_extract_all(page, F.lit(rf"{opening}({_until(opening)})"), F.lit(1))
 
     def body(rest: Column) -> Column:
         whole = F.concat(F.lit(f"<{tag}>"), rest)
@@ -243,7 +255,7 @@ def labelled_values(page: Column | str, opening: str) -> Column:
     tag, or of the page when there is none; the value is its own text.
     """
     page = F.col(page) if isinstance(page, str) else page
-    found = labelled(page, rf"(?i)</?(?:{_CONTAINERS})\b{_REST}>", opening, _TAG)
+    found = labelled(page, rf"(?i)(</?(?:{_CONTAINERS})\b{_REST}>)", opening, _TAG)
     return F.transform(found, lambda pair: F.struct(
         decode_references(pair["label"]).alias("label"), decode_references(pair["value"]).alias("value")))
 

@@ -206,7 +206,7 @@ def replace_numbers(c: Column | str, strict: bool = False) -> Column:
     def rule(text: Column) -> Column:
         def joined(runs: Column) -> Column:
             return F.array_join(F.zip_with(
-                gaps(text, RUN, runs), runs,
+                gaps(text, RUN, runs, literal=False), runs,
                 lambda gap, run: F.when(run.isNull(), gap)
                 .otherwise(F.concat(gap, number_text(run, strict)))), "")
 

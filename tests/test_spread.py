@@ -1,7 +1,11 @@
 """Costly per-row work is dealt out evenly, and done once."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from paperweave.functions import containers, html
+from paperweave.functions.html import open_tag
 from paperweave.plans import registry
 from paperweave.plans.registry import QUERIES
 from paperweave.schema import PAGE_SCHEMA
@@ -67,3 +71,32 @@ def test_a_folder_of_many_is_listed_by_few_tasks(spark, tmp_path):
              for stage in tracker.getJobInfo(job).stageIds]
     assert tasks and max(tasks) <= 4 * cores
     assert spark.conf.get(key) == before and files.count() == 6 * cores
+
+
+def test_a_tag_that_stands_often_is_matched_once():
+    asked = []
+
+    class Opening:
+        def match(self, written):
+            asked.append(written)
+            return re.match("<div class=v>", written)
+
+    page = "<li>a<div class=v>1<b>2</b></div></li>" * 50
+    found = containers.pairs(page, re.compile("(</?(?:div|li)[^>]*>)"), Opening(), re.compile("<[^>]*>"), {})
+    assert found == [("a12", "12")] * 50 and sorted(asked) == ["<div class=v>", "<li>"]
+
+
+def test_elements_and_gaps_look_for_a_match_only_where_one_can_begin(spark):
+    """A search that tries every character is lazy; rows are those of a lazy one all the same."""
+    texts = ["", "<", "<div", "<div>a<div>b", "x<DIV a='>'>1<divs>2</div>3<div b=\"<div>\">4</div>5", "&amp;&x&lt"]
+    opening, reference = open_tag("div"), r"(?i)&(?:amp;|lt;?)"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select(
+        "t", html.all_elements("t", "div", opening).alias("bodies"),
+        html.gaps(F.col("t"), reference, F.regexp_extract_all("t", F.lit(reference), F.lit(0))).alias("gaps"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(.*?)" not in plan
+    lazy = lambda t: re.findall(rf"(?s)(?:(?i:<div\b{html._REST}>))(.*?)(?=(?i:<div\b{html._REST}>)|\Z)", t)
+    for r in found.collect():
+        assert [re.split("(?i)</div", b)[0] for b in lazy(r["t"])] == r["bodies"]
+        assert re.split(reference, r["t"]) == r["gaps"]
