@@ -1,6 +1,7 @@
 """Costly per-row work is dealt out evenly, and done once."""
 
 import hashlib
+import pathlib
 import re
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from paperweave.plans import registry
 from paperweave.plans.registry import QUERIES
 from paperweave.schema import PAGE_SCHEMA
 from paperweave.session import spread
+from paperweave.sources import tables
 from paperweave.sources.tables import few_listings, page_files
 from paperweave.streaming.harvest import ExtractionSink
 
@@ -56,6 +58,35 @@ def test_page_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     assert len(writers) > 1
 
 
+def test_pages_of_many_files_go_to_folders_of_few(spark, tmp_path, monkeypatch):
+    """What the driver holds of the files of a stream does not grow with the table."""
+    monkeypatch.setattr(registry, "shared_folder", lambda _, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(tables, "FOLDER_PAGES", 20, raising=False)
+    taken = []
+
+    def seen(spark, path, **options):
+        taken.append((path, len(list(pathlib.Path(path).rglob("part-*.txt")))))
+        return page_files(spark, path, **options)
+
+    monkeypatch.setattr(registry, "page_files", seen)
+    rows = [(n, f"u{n}", f"<p>{n}") for n in range(60)] + [(None, "lost", "x"), (7, "blank", " \n"), (8, None, "y")]
+    spark.createDataFrame(rows, PAGE_SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["src1_page_files"](spark, str(tmp_path)).collect()
+    wanted = {(n, url, hashlib.sha256(html.encode()).hexdigest()) for n, url, html in rows if html.strip()}
+    assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+    folders = {path for path, _ in taken}
+    assert len(taken) == 2 * len(folders) and len(folders) > 2
+    assert max(files for _, files in taken) < 40
+
+
+def test_a_page_table_of_no_or_one_row_is_taken(spark, tmp_path, monkeypatch):
+    for n in (0, 1):
+        monkeypatch.setattr(registry, "shared_folder", lambda _, name, n=n: f"{tmp_path}/{n}/{name}")
+        rows = spark.createDataFrame([(1, "u", "x")][:n], PAGE_SCHEMA)
+        rows.write.parquet(f"{tmp_path}/{n}/pages.parquet")
+        assert QUERIES["src1_page_files"](spark, f"{tmp_path}/{n}").count() == n
+
+
 def test_a_folder_of_many_is_listed_by_few_tasks(spark, tmp_path):
     cores, key = spark.sparkContext.defaultParallelism, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     for n in range(6 * cores):
