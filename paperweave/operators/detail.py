@@ -44,15 +44,19 @@ def _all(*checks: Column) -> Column:
 
 
 def _finish(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Page identity, all record fields in order, ``ok``."""
+    """Page identity, all record fields in order, ``ok``.
+
+    A filter on ``ok`` stays above what reads the pages (see :func:`settled`), and fields that are not
+    asked for are not read; :func:`records_of` keeps filters on fields above.
+    """
     fields = [name for name in RECORD_FIELDS if name != "url"]
     have = set(df.columns)
-    return settled(df.select(
+    return df.select(
         *keep,
         *[F.coalesce(F.col(n), F.lit("")).alias(n) if n in have else F.lit("").alias(n)
           for n in fields],
         "ok",
-    ))
+    ).select(*keep, *fields, F.explode(F.array("ok")).alias("ok"))
 
 
 def _identity(pages: DataFrame) -> list[str]:
@@ -70,18 +74,24 @@ def extract_a(pages: DataFrame, numbers_first: bool = False) -> DataFrame:
     doc = pages.select(*keep, visible("html").alias("_doc"))
 
     def block(**attrs) -> Column:
-        return text_of(first_element("_doc", "div", open_tag("div", **attrs)))
+        return first_element("_doc", "div", open_tag("div", **attrs))
 
+    # a block has a text if it is there, so the texts need not be made to tell whether a page is whole
     parts = doc.select(
         *keep,
-        block(style=STYLE_TITLE).alias("title"),
+        block(style=STYLE_TITLE).alias("_title_block"),
         F.array_join(F.transform(
             all_elements("_doc", "div", open_tag("div", style=STYLE_AUTHORS)), text_of), ""
         ).alias("authors"),
-        squeeze(block(style=STYLE_ABSTRACT)).alias("_abstract"),
-        squeeze(block(cls="xx_font", style=STYLE_INFO)).alias("_info"),
-        squeeze(block(style=STYLE_SOURCE), tabs=True).alias("_source"),
-    ).withColumn("_numbered", replace_numbers("_source"))
+        block(style=STYLE_ABSTRACT).alias("_abstract_block"),
+        block(cls="xx_font", style=STYLE_INFO).alias("_info_block"),
+        squeeze(text_of(block(style=STYLE_SOURCE)), tabs=True).alias("_source"),
+    ).withColumns({
+        "title": text_of(F.col("_title_block")),
+        "_abstract": squeeze(text_of(F.col("_abstract_block"))),
+        "_info": squeeze(text_of(F.col("_info_block"))),
+        "_numbered": replace_numbers("_source"),
+    })
 
     abstract, info, numbered = F.col("_abstract"), F.col("_info"), F.col("_numbered")
     named = numbered if numbers_first else F.col("_source")
@@ -94,7 +104,8 @@ def extract_a(pages: DataFrame, numbers_first: bool = False) -> DataFrame:
         "year": digits_before(numbered, "年"),
         "issue": digits_before(numbered, "期"),
     }).withColumn("ok", _all(
-        F.col("title").isNotNull(), abstract.isNotNull(), info.isNotNull(), named.isNotNull(),
+        F.col("_title_block").isNotNull(), F.col("_abstract_block").isNotNull(),
+        F.col("_info_block").isNotNull(), named.isNotNull(),
         ~named.contains("《") | (F.col("publication") != ""),
         ~numbered.contains("年") | (F.col("year") != ""),
         ~numbered.contains("期") | (F.col("issue") != ""),
@@ -111,11 +122,12 @@ def extract_b(pages: DataFrame) -> DataFrame:
         *keep, heading.alias("_heading"), tables.alias("_tables"),
     ).select(
         *keep,
-        text_of(first_element("_heading", "h1", open_tag("h1"))).alias("title"),
+        first_element("_heading", "h1", open_tag("h1")).alias("_title_block"),
         text_of(first_element("_heading", "strong", open_tag("strong"))).alias("_line"),
         F.replace(text_of(F.get("_tables", F.lit(0))), F.lit("\n"), F.lit("")).alias("_first"),
         F.replace(text_of(F.get("_tables", F.lit(1))), F.lit("\n"), F.lit("")).alias("_second"),
     ).withColumns({
+        "title": text_of(F.col("_title_block")),
         "_bar": F.split(before("_line", NBSP * 2), r"\|"),
         "_colons": F.split("_first", "："),
         "_origin": replace_numbers(before(after("_second", "【出　处】"), "【收　录】")),
@@ -144,7 +156,7 @@ def extract_b(pages: DataFrame) -> DataFrame:
         "pagecode": last("_pages"),
         "issue": last("_issues"),
     }).withColumn("ok", _all(
-        F.col("title").isNotNull(), F.col("publication") != "",
+        F.col("_title_block").isNotNull(), F.col("publication") != "",
         F.col("authors").isNotNull(), F.col("unit").isNotNull(),
         F.col("abstract").isNotNull(), F.col("keywords").isNotNull(),
         F.col("_origin").isNotNull(),
@@ -160,23 +172,28 @@ def literature_type(crumbs: Column) -> Column:
         reversed(TYPES), F.lit(OTHER_TYPE))
 
 
-def authors_by_type(kind: Column, page: Column | str) -> Column:
+def _author_card(kind: Column, page: Column | str) -> Column:
+    """The author card of a thesis."""
+    return F.when(kind == "D", first_element(page, "a", open_tag("a", id="card01")))
+
+
+def authors_by_type(kind: Column, page: Column | str, card: Column | None = None) -> Column:
     """Authors of a layout C page; where they stand depends on the type.
 
-    NULL when a thesis has no author card.
+    NULL when a thesis has no author card. ``card`` is the card, where it was looked for already.
     """
     inputs = attributes(page, open_tag("input", cls="dw"), "value")
     names = F.transform(
         all_elements(page, "a", open_tag("a", cls="info_right_name")), text_of)
-    card = text_of(first_element(page, "a", open_tag("a", id="card01")))
+    card = _author_card(kind, page) if card is None else card
     return (F.when(kind == "J", join_values(inputs))
-            .when(kind == "D", card)
+            .when(kind == "D", text_of(card))
             .when(kind == "C", join_values(names))
             .otherwise(""))
 
 
-def _field_rules(label: Column, value: Column) -> dict[str, Column]:
-    """What one labelled value sets, per field; NULL when it sets nothing.
+def _field_rule(name: str, label: Column, value: Column) -> Column:
+    """What one labelled value sets of a field; NULL when it sets nothing.
 
     Where a value matches several labels of one field, the later label wins.
     """
@@ -187,22 +204,23 @@ def _field_rules(label: Column, value: Column) -> dict[str, Column]:
     online = F.regexp_replace(
         F.translate(F.replace(value, F.lit("\r\n"), F.lit("")), "\t", ""), r"(?U)^\s+|\s+$", "")
     apostrophe = lambda c: F.translate(c, "'", "")
-    return {
-        "doi": F.when(has("doi："), value),
-        "keywords": F.when(has("关键词："), F.replace(trim_lines(value), F.lit("\n\n"), F.lit(";"))),
-        "unit": F.when(has("学位授予单位"), trim_lines(value))
+    rules = {
+        "doi": lambda: F.when(has("doi："), value),
+        "keywords": lambda: F.when(has("关键词："), F.replace(trim_lines(value), F.lit("\n\n"), F.lit(";"))),
+        "unit": lambda: F.when(has("学位授予单位"), trim_lines(value))
         .when(has("作者单位") & ~has("Author"), join_lines(value)),
-        "publication": F.when(has("刊名：") & plain, apostrophe(trim_lines(value)))
+        "publication": lambda: F.when(has("刊名：") & plain, apostrophe(trim_lines(value)))
         .when(has("会议名称") | has("学位授予单位"), trim_lines(value)),
-        "year": F.when(has("学位年度"), value)
+        "year": lambda: F.when(has("学位年度"), value)
         .when(has("在线出版日期"), before(online, "年"))
         .when(dated, F.get(pieces, F.lit(0))),
-        "volume": F.when(dated, before(F.get(pieces, F.lit(1)), "(")),
-        "issue": F.when(dated, between(value, "(", ")")),
-        "sponser": F.when(has("基金项目：") & plain, apostrophe(join_lines(value))),
-        "pagecode": F.when(has("页码：") & plain, value),
-        "broken": F.when(dated & (F.size(pieces) < 2), "1"),
+        "volume": lambda: F.when(dated, before(F.get(pieces, F.lit(1)), "(")),
+        "issue": lambda: F.when(dated, between(value, "(", ")")),
+        "sponser": lambda: F.when(has("基金项目：") & plain, apostrophe(join_lines(value))),
+        "pagecode": lambda: F.when(has("页码：") & plain, value),
+        "broken": lambda: F.when(dated & (F.size(pieces) < 2), "1"),
     }
+    return rules[name]()
 
 
 def extract_c(pages: DataFrame, require_abstract: bool = False) -> DataFrame:
@@ -213,36 +231,29 @@ def extract_c(pages: DataFrame, require_abstract: bool = False) -> DataFrame:
     keep = _identity(pages)
     parts = pages.select(*keep, visible("html").alias("_doc")).select(
         *keep, "_doc",
-        text_of(first_element(
-            "_doc", "font", open_tag("font", style="font-weight:bold;"))).alias("_title"),
-        text_of(first_element("_doc", "div", open_tag("div", cls="abstract"))).alias("_abstract"),
+        first_element("_doc", "font", open_tag("font", style="font-weight:bold;")).alias("_title_block"),
+        first_element("_doc", "div", open_tag("div", cls="abstract")).alias("_abstract_block"),
         text_of(first_element("_doc", "div", open_tag("div", cls="crumbs"))).alias("_crumbs"),
         labelled_values("_doc", open_tag("div", cls="info_right")).alias("_values"),
-    ).withColumns({
-        "type": literature_type(F.col("_crumbs")),
-        "_set": F.transform("_values", lambda v: F.struct(
-            *[rule.alias(name) for name, rule in _field_rules(v["label"], v["value"]).items()])),
-    })
+    ).withColumn("type", literature_type(F.col("_crumbs"))) \
+        .withColumn("_card", _author_card(F.col("type"), "_doc"))
+
+    def picked(name: str) -> Column:
+        found = F.transform("_values", lambda v: _field_rule(name, v["label"], v["value"]))
+        return F.coalesce(F.try_element_at(F.filter(found, F.isnotnull), F.lit(-1)), F.lit(""))
+
     names = ["doi", "keywords", "unit", "publication", "year", "volume", "issue", "sponser",
-             "pagecode", "broken"]
-    picked = F.aggregate(
-        "_set",
-        F.struct(*[F.lit("").alias(n) for n in names]),
-        lambda kept, new: F.struct(
-            *[F.coalesce(new[n], kept[n]).alias(n) for n in names]),
-    )
-    staged = parts.select(
-        *keep, "type", "_title", "_abstract", "_crumbs",
-        authors_by_type(F.col("type"), "_doc").alias("authors"), picked.alias("_picked"))
-    fields = staged.select(
-        *keep, "type", "authors",
-        F.translate("_title", "'", "").alias("title"),
-        F.translate(before("_abstract", "摘要"), "\n'", "").alias("abstract"),
-        *[F.col("_picked")[n].alias(n) for n in names],
+             "pagecode"]
+    fields = parts.select(
+        *keep, "type",
+        authors_by_type(F.col("type"), "_doc", F.col("_card")).alias("authors"),
+        F.translate(text_of(F.col("_title_block")), "'", "").alias("title"),
+        F.translate(before(text_of(F.col("_abstract_block")), "摘要"), "\n'", "").alias("abstract"),
+        *[picked(n).alias(n) for n in names],
         _all(
-            F.col("_title").isNotNull(), F.col("_crumbs").isNotNull(),
-            F.col("authors").isNotNull(), F.col("_picked")["broken"] == "",
-            F.col("_abstract").isNotNull() if require_abstract else F.lit(True),
+            F.col("_title_block").isNotNull(), F.col("_crumbs").isNotNull(),
+            (F.col("type") != "D") | F.col("_card").isNotNull(), picked("broken") == "",
+            F.col("_abstract_block").isNotNull() if require_abstract else F.lit(True),
         ).alias("ok"),
     )
     return _finish(fields, keep)
@@ -275,16 +286,15 @@ def extract(pages: DataFrame, mode: str = "123") -> DataFrame:
         layout = LAYOUT_OF_SITE[site]
         rest = [c for c in staged.columns if c != f"_html_{layout}"]
         staged = _EXTRACT[layout](staged.withColumnRenamed(f"_html_{layout}", "html")).select(
-            *rest, F.struct(*fields).alias(f"_{layout}"))
-    mine = F.coalesce(*[
-        F.when(F.col("source") == site, F.col(f"_{LAYOUT_OF_SITE[site]}")) for site in sites])
-    return staged.select(*keep, mine.alias("_mine")).select(
-        *keep, *[F.col("_mine")[name].alias(name) for name in fields])
+            *rest, *[F.col(name).alias(f"_{layout}_{name}") for name in fields])
+    return staged.select(*keep, *[
+        F.coalesce(*[F.when(F.col("source") == site, F.col(f"_{LAYOUT_OF_SITE[site]}_{name}")) for site in sites])
+        .alias(name) for name in fields])
 
 
 def records_of(extracted: DataFrame) -> DataFrame:
     """The accepted pages as records."""
-    return with_record_defaults(extracted.where("ok").drop("ok", "source"))
+    return settled(with_record_defaults(extracted.where("ok").drop("ok", "source")))
 
 
 def failures_of(extracted: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperweave.functions import containers, html
 from paperweave.functions.html import open_tag
+from paperweave.operators import detail
 from paperweave.plans import registry
 from paperweave.plans.registry import QUERIES
 from paperweave.schema import PAGE_SCHEMA
@@ -107,6 +108,27 @@ def test_a_folder_of_many_is_listed_by_few_tasks(spark, tmp_path):
     assert spark.conf.get(key) == before and files.count() == 6 * cores
 
 
+def test_failures_are_told_without_the_fields_of_records(spark):
+    schema = "page_id bigint, url string, html string, source string"
+    rows = [(n, f"u{n}", html, site) for site in ("Cnki", "Cqvip", "Wanfang") for n, html in enumerate(
+        [None, "", "<p>x", "<div class=crumbs>学位</div><font style='font-weight:bold;'>t</font>"])]
+    parsed = detail.extract(spark.createDataFrame(rows, schema))
+    found, records = detail.failures_of(parsed), detail.records_of(parsed)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        every, failed, kept, some = (
+            df._jdf.queryExecution().optimizedPlan().toString()
+            for df in (parsed, found, records, records.where("title = 't'")))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    for field in ("info_right_name", "关键词：", "摘要"):
+        assert field in every and field not in failed
+    # neither a filter on the state of a page nor one on a field reads the page anew
+    hidden = "script\\b"
+    assert every.count(hidden) == failed.count(hidden) == kept.count(hidden) == some.count(hidden) == 3
+    assert found.count() == len(rows)
+
+
 def test_a_tag_that_stands_often_is_matched_once():
     asked = []
 
